@@ -5,13 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secret_scan, url_filter
+from . import divergence_rules, mixing, piece_counts, secret_scan, token_files, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written to wavelet-matrix files and read back; see :mod:`.token_files`."""
+    return token_files.encode_corpus(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op4_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of every document; see :mod:`.divergence_rules`."""
+    return divergence_rules.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+
+
+def op5_flow_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of every document; see :mod:`.mixing`."""
+    mixed = mixing.mix_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy longest-match piece counts of every document; see :mod:`.piece_counts`."""
+    return piece_counts.count_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of every document; see :mod:`.secret_scan`."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -55,7 +76,11 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM d WHERE k
 """
 
 QUERIES = {
+    "op1_wavelet_tokens": op1_wavelet_tokens,
+    "op4_divergence_rules": op4_divergence_rules,
+    "op5_flow_mix": op5_flow_mix,
     "op8_secret_ledger": op8_secret_ledger,
+    "op9_piece_counts": op9_piece_counts,
     "op10_url_filter": op10_url_filter,
 }
 ORACLE_SQL = {"op10_url_filter": OP10_SQL}
