@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence_rules, mixing, piece_counts, secret_scan, token_files, url_filter
+from . import divergence_rules, mixing, ngram_join, piece_counts, secret_scan, token_files, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op9_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_counts.count_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents; see :mod:`.ngram_join`."""
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of every document; see :mod:`.secret_scan`."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -79,6 +84,7 @@ QUERIES = {
     "op1_wavelet_tokens": op1_wavelet_tokens,
     "op4_divergence_rules": op4_divergence_rules,
     "op5_flow_mix": op5_flow_mix,
+    "op6_ngram_join": op6_ngram_join,
     "op8_secret_ledger": op8_secret_ledger,
     "op9_piece_counts": op9_piece_counts,
     "op10_url_filter": op10_url_filter,
