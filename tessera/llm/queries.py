@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence_rules, mixing, ngram_join, piece_counts, secret_scan, token_files, url_filter
+from . import divergence_rules, mixing, ngram_join, piece_counts, repeat_spans, secret_scan, token_files, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,11 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_repeat_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without repeated strings; see :mod:`.repeat_spans`."""
+    return repeat_spans.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of every document; see :mod:`.secret_scan`."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -85,6 +90,7 @@ QUERIES = {
     "op4_divergence_rules": op4_divergence_rules,
     "op5_flow_mix": op5_flow_mix,
     "op6_ngram_join": op6_ngram_join,
+    "op7_repeat_spans": op7_repeat_spans,
     "op8_secret_ledger": op8_secret_ledger,
     "op9_piece_counts": op9_piece_counts,
     "op10_url_filter": op10_url_filter,
