@@ -114,12 +114,17 @@ def min_cost_flow(supplies: Sequence[int], members: Sequence[Sequence[int]], dem
     return flow
 
 
+def place_of(doc_id: Column, text: Column) -> Column:
+    """A seeded place between 0 and 1 for a document."""
+    digest = F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+    key = F.concat_ws("\x00", F.lit(str(SEED)), F.coalesce(doc_id.cast("string"), F.lit("")), digest)
+    return F.conv(F.substring(F.sha2(key.cast("binary"), 256), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+
+
 def sizes_of(docs: DataFrame, sources: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, size, members (sorted array of sources) and a seeded place of every row."""
     size = F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORD)), F.lit(0)).cast("long")
-    key = F.concat_ws("\x00", F.lit(str(SEED)), F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")), F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"), 256))
-    place = F.conv(F.substring(F.sha2(key.cast("binary"), 256), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
-    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), size.alias("size"), sources.alias("members"), place.alias("place"))
+    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), size.alias("size"), sources.alias("members"), place_of(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("place"))
 
 
 def mix(sized: DataFrame, weights: Sequence[int] = WEIGHTS, share: int = SHARE, repeats: int = REPEATS) -> tuple[DataFrame, DataFrame]:

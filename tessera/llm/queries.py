@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence_rules, mixing, ngram_join, piece_counts, repeat_spans, secret_scan, token_files, url_filter
+from . import divergence_rules, mixing, ngram_join, piece_counts, repeat_spans, rule_ensemble, secret_scan, template_decontam, token_files, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,21 @@ def op1_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encode_corpus(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents; see :mod:`.rule_ensemble`."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = rule_ensemble.train(docs, table(spark, sf_dir, "labels"))
+    scored = rule_ensemble.score(docs, model)
+    out = F.coalesce(rule_ensemble.held_out(F.col("doc_id")), F.lit(False)).alias("held_out")
+    return scored.select("doc_id", out, "score", (F.col("score") >= rule_ensemble.KEEP_AT).cast("int").alias("predicted"))
+
+
+def op3_template_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, and which; see :mod:`.template_decontam`."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return template_decontam.find_leaks(docs, table(spark, sf_dir, "benchmark")).drop("digest")
+
+
 def op4_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict of every document; see :mod:`.divergence_rules`."""
     return divergence_rules.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
@@ -87,6 +102,8 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM d WHERE k
 
 QUERIES = {
     "op1_wavelet_tokens": op1_wavelet_tokens,
+    "op2_rule_ensemble": op2_rule_ensemble,
+    "op3_template_decontam": op3_template_decontam,
     "op4_divergence_rules": op4_divergence_rules,
     "op5_flow_mix": op5_flow_mix,
     "op6_ngram_join": op6_ngram_join,
