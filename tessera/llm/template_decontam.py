@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +44,8 @@ _NUMBER = _DIGIT.copy()
 _NUMBER[list(b".,:/%+-")] = True
 _SMALL = np.zeros(256, bool)
 _SMALL[97:123] = True
-_SMALL[0x80:] = True
+_INNER = np.zeros(256, bool)
+_INNER[0x80:0xC0] = True
 _CAPITAL = np.zeros(256, bool)
 _CAPITAL[65:91] = True
 _STOP = np.zeros(256, bool)
@@ -59,12 +61,21 @@ _UNIT_HASHES = np.sort(_text_hash(UNITS))
 _NUM, _NAME, _UNIT = _text_hash(["\x00number", "\x00name", "\x00unit"])
 
 
+def _lower(data: np.ndarray) -> np.ndarray:
+    """All letters small; the bytes as they are if that would change their number."""
+    if not (data >= 0x80).any():
+        return lowered(data)
+    low = np.frombuffer(pc.utf8_lower(pa.array([data.tobytes().decode("utf-8", "replace")])).buffers()[2], np.uint8)
+    return low if len(low) == len(data) else lowered(data)
+
+
 def templates(data: np.ndarray, offsets: np.ndarray):
     """(first word of each text, template token of each word, is a slot, value of each word)."""
     starts, ends, first = word_spans(data, offsets)
+    low = _lower(data)
     if not len(starts):
         return first, np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.uint64)
-    sums = lambda table: np.concatenate(([0], np.cumsum(table[data], dtype=np.int32)))
+    sums = lambda x: np.concatenate(([0], np.cumsum(x, dtype=np.int32)))
     new_line = np.concatenate(([0], np.cumsum(data == 10, dtype=np.int32)))
     opens = np.ones(len(starts), bool)
     opens[1:] = _STOP[data[ends[:-1] - 1]] | (new_line[starts[1:]] > new_line[ends[:-1]])
@@ -73,14 +84,16 @@ def templates(data: np.ndarray, offsets: np.ndarray):
     for _ in range(3):
         a += (b - a > 1) & _EDGE[data[a]]
         b -= (b - a > 1) & _EDGE[data[b - 1]]
-    values = span_hashes(lowered(data), a, b)
-    digit, number, small = sums(_DIGIT), sums(_NUMBER), sums(_SMALL)
+    values = span_hashes(low, a, b)
+    same = low == data
+    digit, number, small = sums(_DIGIT[data]), sums(_NUMBER[data]), sums(_SMALL[data] | (_INNER[data] & same))
+    capital = _CAPITAL[data[a]] | ((data[a] >= 0xC3) & ~same[np.minimum(a + 1, len(data) - 1)])
     is_number = (digit[b] > digit[a]) & (number[b] - number[a] == b - a)
     after = np.zeros(len(starts), bool)
     after[1:] = is_number[:-1]
     after[first[:-1][first[:-1] < len(starts)]] = False
     is_unit = after & ~is_number & np.isin(values, _UNIT_HASHES)
-    is_name = ~opens & _CAPITAL[data[a]] & (small[b] > small[a]) & ~is_unit & ~is_number
+    is_name = ~opens & capital & (small[b] > small[a]) & ~is_unit & ~is_number
     tokens = values.copy()
     tokens[is_number], tokens[is_unit], tokens[is_name] = _NUM, _UNIT, _NAME
     return first, tokens, is_number | is_unit | is_name, values
