@@ -22,6 +22,7 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain, compress, count
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +30,17 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import by_size, fresh_path, small_batches, stored
+from .shared import by_size, fresh_path, slices, small_batches, span_hashes, stored, text_buffer
 
 MAGIC = b"WVM1"
 #: Bits of a plane in one compressed block.
 BLOCK = 1 << 18
 #: A shard file is closed at this many tokens (and holds one document at least).
-SHARD_TOKENS = 1 << 22
+SHARD_TOKENS = 1 << 21
 #: Distinct pieces of text whose ids a worker remembers.
-MEMO = 400_000
+MEMO = 300_000
+#: Bytes of text encoded at once.
+SLICE_BYTES = 1 << 20
 VOCABULARY = "byte_bpe_50k.json"
 BROADCAST_SHARDS = 1_000_000
 
@@ -68,17 +71,19 @@ def build(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> byt
     put("ids", np.array([0 if d is None else d for d in doc_ids], np.int64).tobytes())
     put("null", np.array([d is None for d in doc_ids], np.uint8).tobytes())
     put("lengths", np.array(lengths, np.int64).tobytes())
-    zeros, ranks = [], []
+    zeros, ranks, spare = [], [], np.empty_like(a)
     for k in range(planes - 1, -1, -1):
-        bits = (a >> k & 1).astype(bool)
+        bits = (a & a.dtype.type(1 << k)) != 0
         packed = np.packbits(bits, bitorder="little")
-        ones = np.add.reduceat(bits, np.arange(0, len(bits), BLOCK), dtype=np.int64)
+        ones = np.add.reduceat(np.bitwise_count(packed), np.arange(0, len(packed), BLOCK // 8), dtype=np.int64)
         ranks.append(np.concatenate(([0], np.cumsum(ones)[:-1])))
         zeros.append(len(bits) - int(ones.sum()))
         for b in range(0, len(packed), BLOCK // 8):
             put(f"plane{k}", packed[b : b + BLOCK // 8].tobytes())
-        if k:
-            a = np.concatenate((a.take(np.flatnonzero(~bits)), a.take(np.flatnonzero(bits))))
+        if k:  # mode spares a buffer; all places are in range
+            a.take(np.flatnonzero(~bits), out=spare[: zeros[-1]], mode="clip")
+            a.take(np.flatnonzero(bits), out=spare[zeros[-1] :], mode="clip")
+            a, spare = spare, a
     put("zeros", np.array(zeros, np.int64).tobytes())
     put("ranks", np.array(ranks, np.int64).tobytes())
     header = json.dumps({"tokens": int(len(ids)), "planes": planes, "docs": len(doc_ids), "sections": sections}).encode()
@@ -165,15 +170,18 @@ class WaveletMatrix:
 
     def to_array(self) -> np.ndarray:
         """All tokens in order."""
-        codes = np.zeros(self.tokens, np.uint32)
+        kind = np.uint16 if self.planes <= 16 else np.uint32
+        codes = np.zeros(self.tokens, kind)
         blocks = range(-(-self.tokens // BLOCK))
         for level in range(self.planes - 1, -1, -1):
             bits = np.concatenate([self._bits(level, b) for b in blocks])
             zeros = int(self._zeros[level])
             before = np.empty_like(codes)
-            before[np.flatnonzero(bits == 0)] = codes[:zeros]
-            ones = np.flatnonzero(bits)
-            before[ones] = codes[zeros:] | np.uint32(1 << (self.planes - 1 - level))
+            bits = bits.view(bool)
+            if zeros:
+                np.place(before, ~bits, codes[:zeros])
+            if zeros < self.tokens:
+                np.place(before, bits, codes[zeros:] | kind(1 << (self.planes - 1 - level)))
             codes = before
         return self.alphabet[codes]
 
@@ -190,14 +198,24 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: First bytes of what certainly is no blank: ASCII signs, and lead bytes without blanks.
+_SOLID = np.zeros(256, bool)
+_SOLID[0x21:0x7F] = True
+_SOLID[0xC3:] = True
+_SOLID[[0xE1, 0xE2, 0xE3]] = False
+_SIGN = np.zeros(256, bool)
+_SIGN[0x21:0x7F] = True
+_ONE_LINE = re.compile(r" ?\S+")
+
+
 class Encoder:
     """Ids of whole texts. For a byte-level vocabulary with the usual pattern, a text is cut
-    before each space that a non-blank follows: the pattern never joins what such a cut
-    parts, so pieces can be encoded once and remembered. Other vocabularies get whole texts."""
-
-    _CUT = re.compile(r"(?= \S)")
+    before each space that a non-blank follows and around a single line break between
+    signs: the pattern never joins what such a cut parts, so each distinct piece is encoded once and remembered by a 64-bit hash and its
+    length. Other vocabularies get whole texts."""
 
     def __init__(self, name: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         path = vocabulary(name)
@@ -208,45 +226,66 @@ class Encoder:
         self._cuts = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and not any(
             " " in t["content"] or t.get("lstrip") or t.get("rstrip") for t in spec.get("added_tokens") or ()
         )
-        self._known: dict[str, int] = {}
-        self._flat, self._at, self._n = [], [0], np.zeros(0, np.int64)
-
-    def _pieces(self, text: str) -> list[str]:
-        if not self._cuts:
-            return [text]
-        first, *rest = text.split(" ")
-        if all(rest) and not any(map(str.isspace, [x[0] for x in rest])):
-            return [first, *[" " + x for x in rest]]
-        return self._CUT.split(text)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all ``texts`` and the number of each."""
+        newline = self._tokenizer.encode("\n", add_special_tokens=False).ids
+        self._break = newline[0] if self._cuts and len(newline) == 1 else None
+        self._forget()
+
+    def _forget(self) -> None:
+        self._known: dict[int, int] = {}
+        self._flat, self._ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _learn(self, keys: list[int], new: list[str]) -> None:
+        """Ids of pieces not seen before. Pieces without other blanks are encoded many to a
+        string, a line each: the line break is one token, and the pattern keeps it apart."""
+        fits = _ONE_LINE.fullmatch if self._break is not None else lambda p: None
+        line = [fits(p) is not None for p in new]
+        plain, odd = list(compress(new, line)), [p for p, x in zip(new, line, strict=True) if not x]
+        flat, ends, base = [], [], len(self._flat)
+        if plain:
+            lines = ["\n".join(plain[i : i + 256]) + "\n" for i in range(0, len(plain), 256)]
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self._tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+            stop = np.flatnonzero(ids == self._break)
+            flat.append(np.delete(ids, stop))
+            ends.append(stop - np.arange(len(stop)) + base)
+            base += len(flat[0])
+        if odd:
+            own = [np.array(e.ids, np.uint32) for e in self._tokenizer.encode_batch_fast(odd, add_special_tokens=False)]
+            ends.append(np.cumsum([len(x) for x in own]) + base)
+            flat += own
+        order = chain(compress(keys, line), (k for k, x in zip(keys, line, strict=True) if not x))
+        self._known.update(zip(order, count(len(self._ends))))
+        self._flat, self._ends = np.concatenate((self._flat, *flat)), np.concatenate((self._ends, *ends))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a buffer, and the number of each."""
         if len(self._known) > MEMO:
-            self._known, self._flat, self._at = {}, [], [0]
-        known, index, pieces_of = self._known, [], []
-        new: list[str] = []
-        for text in texts:
-            pieces = self._pieces(text)
-            for p in pieces:
-                if p not in known:
-                    known[p] = len(known)
-                    new.append(p)
-            index.append(np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces)))
-            pieces_of.append(len(pieces))
-        for i in range(0, len(new), 4096):
-            for e in self._tokenizer.encode_batch_fast(new[i : i + 4096], add_special_tokens=False):
-                self._flat.append(np.array(e.ids, np.uint32))
-                self._at.append(self._at[-1] + len(e.ids))
-        if len(self._flat) > 1:
-            self._flat = [np.concatenate(self._flat)]
-        at = np.array(self._at)
-        which = np.concatenate(index) if index else np.zeros(0, np.int64)
-        n = at[which + 1] - at[which]
-        ends = np.cumsum(n)
-        where = np.arange(ends[-1] if len(ends) else 0) + np.repeat(at[which] - (ends - n), n)
-        ids = self._flat[0][where] if self._flat else np.zeros(0, np.uint32)
-        per_text = np.add.reduceat(np.append(n, 0), np.cumsum([0, *pieces_of[:-1]])) if texts else np.zeros(0, np.int64)
-        return ids, per_text
+            self._forget()
+        cut = np.zeros(len(data), bool)
+        if self._cuts and len(data):
+            solid = _SOLID[data]
+            np.logical_and(data[:-1] == 0x20, solid[1:], out=cut[:-1])
+            # a single line break between signs is a token of its own
+            line = np.flatnonzero((data[1:-1] == 0x0A) & solid[2:] & _SIGN[data[:-2]]) + 1
+            cut[line] = cut[line + 1] = True
+        cut[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+        starts = np.flatnonzero(cut)
+        ends = np.append(starts[1:], len(data))
+        hashes = span_hashes(data, starts, ends)
+        unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        keys = unique.tolist()
+        new = [i for i, k in enumerate(keys) if k not in self._known]
+        if new:
+            raw = data.tobytes()
+            at = first[new]
+            self._learn([keys[i] for i in new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+        place = np.fromiter(map(self._known.__getitem__, keys), np.int64, len(keys))
+        begin = self._ends[place - 1]
+        size = (self._ends[place] - begin)[inverse]
+        stop = np.cumsum(size)
+        where = np.arange(stop[-1] if len(stop) else 0)
+        where += np.repeat(begin[inverse] - (stop - size), size)
+        sums = np.concatenate(([0], stop))[np.searchsorted(starts, offsets)]
+        return self._flat[where], np.diff(sums)
 
 
 def _open(uri: str):
@@ -298,11 +337,11 @@ def write_files(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=["part", "seq", "file", "tokens", "docs"])
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                some = batch.slice(i, 512)
-                ids, counts = encoder.encode([t or "" for t in some.column(1).to_pylist()])
+            data, offsets = text_buffer(batch.column(1))
+            for i, j in slices(offsets, SLICE_BYTES):
+                ids, counts = encoder.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 at = 0
-                for d, k in zip(some.column(0).to_pylist(), counts.tolist(), strict=True):
+                for d, k in zip(batch.column(0).slice(i, j - i).to_pylist(), counts.tolist(), strict=True):
                     held += [ids[at : at + k], np.array([end], np.uint32)]
                     at += k
                     ids_held.append(d)
