@@ -17,12 +17,10 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain, compress, count
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +36,9 @@ BLOCK = 1 << 18
 #: A shard file is closed at this many tokens (and holds one document at least).
 SHARD_TOKENS = 1 << 21
 #: Distinct pieces of text whose ids a worker remembers.
-MEMO = 300_000
+MEMO = 2_000_000
+#: Pieces that are encoded as one string.
+LINES = 256
 #: Bytes of text encoded at once.
 SLICE_BYTES = 1 << 20
 VOCABULARY = "byte_bpe_50k.json"
@@ -205,7 +205,8 @@ _SOLID[0xC3:] = True
 _SOLID[[0xE1, 0xE2, 0xE3]] = False
 _SIGN = np.zeros(256, bool)
 _SIGN[0x21:0x7F] = True
-_ONE_LINE = re.compile(r" ?\S+")
+_INNER = np.zeros(256, bool)
+_INNER[0x80:0xC0] = True
 
 
 class Encoder:
@@ -231,37 +232,58 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self._known: dict[int, int] = {}
+        self._keys, self._places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self._flat, self._ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def _learn(self, keys: list[int], new: list[str]) -> None:
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of sorted ``keys``; 0 for those not known."""
+        if not len(self._keys):
+            return np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(self._keys, keys), len(self._keys) - 1)
+        return np.where(self._keys[at] == keys, self._places[at], 0)
+
+    def _learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         """Ids of pieces not seen before. Pieces without other blanks are encoded many to a
         string, a line each: the line break is one token, and the pattern keeps it apart."""
-        fits = _ONE_LINE.fullmatch if self._break is not None else lambda p: None
-        line = [fits(p) is not None for p in new]
-        plain, odd = list(compress(new, line)), [p for p, x in zip(new, line, strict=True) if not x]
-        flat, ends, base = [], [], len(self._flat)
-        if plain:
-            lines = ["\n".join(plain[i : i + 256]) + "\n" for i in range(0, len(plain), 256)]
-            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self._tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
-            stop = np.flatnonzero(ids == self._break)
-            flat.append(np.delete(ids, stop))
-            ends.append(stop - np.arange(len(stop)) + base)
+        doubtful = np.concatenate(([0], np.cumsum(~_SOLID[data] & ~_INNER[data], dtype=np.int64)))
+        inner = starts + (data[starts] == 0x20)
+        plain = (doubtful[ends] == doubtful[inner]) & (ends > inner) if self._break is not None else np.zeros(len(keys), bool)
+        order = np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))
+        flat, stops, base = [], [], len(self._flat)
+        a, b = starts[plain], ends[plain]
+        if len(a):
+            n = b - a + 1  # with a line break
+            stop = np.cumsum(n)
+            where = np.arange(stop[-1]) + np.repeat(a - (stop - n), n)
+            text = data[np.minimum(where, len(data) - 1)]
+            text[stop - 1] = 0x0A
+            cuts = [0, *stop[LINES - 1 :: LINES].tolist()]
+            cuts += [int(stop[-1])] if cuts[-1] != stop[-1] else []
+            raw = text.tobytes()
+            blocks = [raw[i:j].decode("utf-8", "replace") for i, j in zip(cuts, cuts[1:], strict=False)]
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self._tokenizer.encode_batch_fast(blocks, add_special_tokens=False)])
+            at = np.flatnonzero(ids == self._break)
+            flat.append(np.delete(ids, at))
+            stops.append(at - np.arange(len(at)) + base)
             base += len(flat[0])
+        odd = [data[i:j].tobytes().decode("utf-8", "replace") for i, j in zip(starts[~plain].tolist(), ends[~plain].tolist(), strict=True)]
         if odd:
             own = [np.array(e.ids, np.uint32) for e in self._tokenizer.encode_batch_fast(odd, add_special_tokens=False)]
-            ends.append(np.cumsum([len(x) for x in own]) + base)
+            stops.append(np.cumsum([len(x) for x in own]) + base)
             flat += own
-        order = chain(compress(keys, line), (k for k, x in zip(keys, line, strict=True) if not x))
-        self._known.update(zip(order, count(len(self._ends))))
-        self._flat, self._ends = np.concatenate((self._flat, *flat)), np.concatenate((self._ends, *ends))
+        places = np.arange(len(keys)) + len(self._ends)
+        self._flat, self._ends = np.concatenate((self._flat, *flat)), np.concatenate((self._ends, *stops))
+        keys = np.concatenate((self._keys, keys[order]))
+        places = np.concatenate((self._places, places))
+        by_key = np.argsort(keys, kind="stable")
+        self._keys, self._places = keys[by_key], places[by_key]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a buffer, and the number of each."""
-        if len(self._known) > MEMO:
+        if len(self._keys) > MEMO:
             self._forget()
         cut = np.zeros(len(data), bool)
-        if self._cuts and len(data):
+        if self._cuts and len(data) > 1:
             solid = _SOLID[data]
             np.logical_and(data[:-1] == 0x20, solid[1:], out=cut[:-1])
             # a single line break between signs is a token of its own
@@ -270,15 +292,12 @@ class Encoder:
         cut[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(data))
-        hashes = span_hashes(data, starts, ends)
-        unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        keys = unique.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self._known]
-        if new:
-            raw = data.tobytes()
-            at = first[new]
-            self._learn([keys[i] for i in new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-        place = np.fromiter(map(self._known.__getitem__, keys), np.int64, len(keys))
+        unique, first, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        place = self._find(unique)
+        new = np.flatnonzero(place == 0)
+        if len(new):
+            self._learn(unique[new], data, starts[first[new]], ends[first[new]])
+            place = self._find(unique)
         begin = self._ends[place - 1]
         size = (self._ends[place] - begin)[inverse]
         stop = np.cumsum(size)
@@ -288,6 +307,12 @@ class Encoder:
         return self._flat[where], np.diff(sums)
 
 
+@lru_cache(4)
+def encoder(name: str) -> Encoder:
+    """One encoder for each vocabulary of a worker process: its pieces serve later tasks too."""
+    return Encoder(name)
+
+
 def _open(uri: str):
     from pyarrow import fs
 
@@ -325,7 +350,7 @@ def write_files(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str
         from pyspark import TaskContext
 
         part, seq, held, ids_held, lengths_held, n = TaskContext.get().partitionId(), 0, [], [], [], 0
-        encoder = Encoder(vocab)
+        own_encoder = encoder(vocab)
 
         def close():
             nonlocal seq, held, ids_held, lengths_held, n
@@ -339,7 +364,7 @@ def write_files(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
             for i, j in slices(offsets, SLICE_BYTES):
-                ids, counts = encoder.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                ids, counts = own_encoder.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 at = 0
                 for d, k in zip(batch.column(0).slice(i, j - i).to_pylist(), counts.tolist(), strict=True):
                     held += [ids[at : at + k], np.array([end], np.uint32)]
