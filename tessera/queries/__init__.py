@@ -1,0 +1,6 @@
+"""All queries of the engine and their SQL."""
+
+from . import graph_queries  # noqa: F401  (registers its queries)
+from .catalogue import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
