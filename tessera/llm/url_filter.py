@@ -104,11 +104,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", otherwise:
                         F.length("rule").alias("l"), "path_length",
                         (F.col("rule_verdict") == "block").alias("b"), "rule", "rule_verdict",
                     )
-                ).alias("best")
+                ).alias("__best")
             )
         )
         judged = pages.join(best, ["host", "path"], "left")
-        rule, verdict = F.col("best.rule"), F.coalesce("best.rule_verdict", F.lit(otherwise))
+        rule, verdict = F.col("__best.rule"), F.coalesce("__best.rule_verdict", F.lit(otherwise))
     else:
         judged, rule, verdict = pages, F.lit(None).cast("string"), F.lit(otherwise)
     return judged.select(*own, "host", "path", rule.alias("rule"), verdict.alias("verdict"))
