@@ -47,7 +47,7 @@ def arabic_numerals(text: Column) -> Column:
     """Chinese numerals from 0 to 99 become digits: a ten takes the digits next to it."""
     digits = "一二三四五六七八九"
     marked = F.regexp_replace(text, f"([{digits}])?十([{digits}])?", "\u0002$1\u0003$2\u0004")
-    for a, b in (("\u0002\u0003", "1"), ("\u0003\u0004", "0"), ("\u0002", ""), ("\u0003", ""), ("\u0004", "")):
+    for a, b in (("\u0002\u0003\u0004", "10"), ("\u0002\u0003", "1"), ("\u0003\u0004", "0"), ("\u0002", ""), ("\u0003", ""), ("\u0004", "")):
         marked = F.replace(marked, F.lit(a), F.lit(b))
     return F.translate(marked, "".join(V.NUMERALS), "".join(V.NUMERALS.values()))
 
