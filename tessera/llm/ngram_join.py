@@ -4,16 +4,25 @@ The join is a product of the sparse document by n-gram matrix with its transpose
 blocks and only where the size-derived bounds leave a pair possible:
 
 * Documents of equal sets form one class; only classes are joined.
-* Two sets of similarity 0.75 or more share one of the first ``n // 4 + 1`` n-grams of each, in
-  any order that is the same for all. The order puts frequent n-grams last (a bounded list of
-  them, counted over all documents; it changes the work, never the result), so passages that
-  many documents share don't pair them.
-* An n-gram with more than one class is a candidate block. Each class of a block is first
-  compared with the block's two outermost classes. Components of these links are then known,
-  and only classes of one block that are still in different components are compared with each
-  other. A group of near copies is so joined by about as many comparisons as it has members.
-* Pairs whose sizes alone exclude the similarity are dropped before their sets are fetched;
-  for the rest, a block's overlap counts are accumulated from its incidence rows, exactly.
+* N-grams have one order for all documents: by hash, but with the frequent ones last (a bounded
+  list of them, counted over all documents; it changes the work, never the result). Each set
+  lists its first ``n // 4 + 1`` n-grams and ``n // 10`` more. Of two linked sets, take the one
+  whose list ends first: at most ``n // 4`` of its n-grams are missing from the other, so any
+  ``n // 4 + 1`` of its list hold one that the other lists too. It therefore suffices to probe
+  with its rarest ones, and a set whose list has that many n-grams of its own needs no probe:
+  what many documents share is left out, and only near copies are left.
+* How many n-grams the two lists must share grows with the other set's size, so each probe holds
+  for partners up to a size only, and the rarest probes for the largest.
+* Each set is first compared with one leader: the most central set (of the most widely shared
+  n-grams) that most of its probes lead to. Components of these links are then known, and only
+  sets of different components are compared further. The sets whose leaders are in one component
+  are a family; families are cut into blocks, and the product of two blocks is taken inside a task, so the
+  pairs of a large group are never rows. Pairs of different families are found by the probes,
+  for two components first the pair that shares most of them.
+* Sizes bound what two linked sets may lack of each other. Pairs whose sizes exclude the
+  similarity, or whose lists have fewer n-grams in common than the sizes demand, are dropped
+  before any set is fetched; for the rest, a block's overlap counts are accumulated from its
+  incidence rows, exactly.
 """
 
 from __future__ import annotations
@@ -23,7 +32,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -34,14 +43,21 @@ WORDS = 5
 SIMILARITY = 75
 #: The list of frequent n-grams has so many entries at most (8 MB), each counted so often at least.
 MOST_FREQUENT, LEAST_FREQUENT = 1 << 20, 6
+#: A set lists its first n // 4 + 1 n-grams and this share of it more, so that frequent ones needn't be probed.
+SLACK = 10
+_ALL = (1 << 63) - 1
+#: About so many sets of a family are multiplied with so many others at once.
+BLOCK = 192
 #: N-grams counted at once in a worker.
-_COUNTED = 1 << 22
+_COUNTED = 1 << 21
 #: Tables up to so many rows of one or two numbers are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: The same for tables of one number, as 64 bits.
+BROADCAST_GRAMS = 2_000_000
 
 
-def frequent_grams(texts: DataFrame, words: int = WORDS) -> np.ndarray:
-    """The most frequent n-grams, rarest first: those that repeat among the documents a worker
+def frequent_grams(texts: DataFrame, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent n-grams, rarest first, and their counts: those that repeat among the documents a worker
     counts at once, summed over all documents."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,39 +88,83 @@ def frequent_grams(texts: DataFrame, words: int = WORDS) -> np.ndarray:
             break
         level, room = r.n, room - r["count"]
     if level is None:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     found = counted.where(F.col("n") >= level).toPandas().sort_values(["n", "gram"])
-    return found["gram"].to_numpy(np.int64).view(np.uint64)
+    return found["gram"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
 
 
-def class_table(docs: DataFrame, frequent: np.ndarray, words: int = WORDS) -> DataFrame:
-    """doc_id, n, class (two halves of a digest of the set) and the prefix of the set."""
-    order = np.argsort(frequent, kind="stable")
-    shared = docs.sparkSession.sparkContext.broadcast((frequent[order], order))
+def class_table(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: int = WORDS) -> DataFrame:
+    """doc_id, n, class (and rest: two halves of a digest of the set), the n-grams that the set
+    lists (rare by hash, then frequent from the rarest), the counts of the frequent ones, and
+    ``upto``, where in the order of all n-grams the list ends."""
+    grams, counts = frequent
+    order = np.argsort(grams, kind="stable")
+    shared = docs.sparkSession.sparkContext.broadcast((grams[order], order, counts[order]))
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rank = shared.value
+        known, rank, count = shared.value
+        none = np.zeros(0, np.int64)
+        lists = lambda x: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]).astype(np.int32)), pa.array(np.concatenate([none, *x])))
         for batch in batches:
-            sizes, digests, prefixes = [], [], []
+            sizes, digests, rare, often, times, limits = [], [], [], [], [], []
             for s in shingle_sets(batch.column(1), words):
                 n = len(s)
                 sizes.append(n)
                 digests.append(hashlib.md5(s.tobytes()).digest())
+                most = min(n, n // 4 + 1 + n // SLACK)
+                late = late_counts = none
+                place = -1
                 if n and len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    often = known[at] == s
-                    late = s[often][np.argsort(rank[at[often]], kind="stable")]
-                    s = np.concatenate((s[~often], late))
-                prefixes.append(s[: n // 4 + 1] if n else s)
+                    hit = known[at] == s
+                    if hit.any():
+                        own = at[hit][np.argsort(rank[at[hit]], kind="stable")]
+                        s = s[~hit]
+                        own = own[: max(0, most - len(s))]
+                        late, late_counts = known[own].view(np.int64), count[own]
+                        place = int(rank[own[-1]]) if len(own) else -1
+                s = s[:most]
+                limits.append(_ALL if most == n else (1 << 62) + place if place >= 0 else int(s[-1] >> np.uint64(2)))
+                rare.append(s.view(np.int64))
+                often.append(late)
+                times.append(late_counts)
             halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            ends = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
-            flat = np.concatenate(prefixes).view(np.int64) if prefixes else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                names=["doc_id", "n", "class", "rest", "prefix"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), lists(rare), lists(often), lists(times), pa.array(limits, pa.int64())],
+                names=["doc_id", "n", "class", "rest", "rare", "often", "times", "upto"],
             )
 
-    return stored(docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n long, class long, rest long, prefix array<long>"), "classes")
+    schema = "doc_id long, n long, class long, rest long, rare array<long>, often array<long>, times array<long>, upto long"
+    return stored(docs.select("doc_id", "text").mapInArrow(rows, schema), "classes")
+
+
+def _shared_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (gram, class) sorted by both: each row once of grams that two classes have, with the
+    number of classes. A group that goes on in the next batch waits for it."""
+    rest = None
+    schema = pa.schema([("gram", pa.int64()), ("class", pa.int64()), ("times", pa.int64())])
+
+    def out(g, c):
+        once = np.append(True, (np.diff(g) != 0) | (np.diff(c) != 0))
+        g, c = g[once], c[once]
+        first = np.concatenate(([0], np.flatnonzero(np.diff(g)) + 1))
+        sizes = np.diff(np.append(first, len(g)))
+        times = np.repeat(sizes, sizes)
+        many = times > 1
+        return pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (g, c, times)], schema=schema)
+
+    for batch in batches:
+        g, c = (batch.column(i).to_numpy() for i in range(2))
+        if rest is not None:
+            g, c = (np.concatenate(x) for x in zip(rest, (g, c), strict=True))
+        if not len(g):
+            continue
+        last = int(np.searchsorted(g, g[-1]))
+        rest = g[last:], c[last:]
+        if last:
+            yield out(g[:last], c[:last])
+    if rest is not None:
+        yield out(*rest)
 
 
 def class_sets(docs: DataFrame, carriers: DataFrame, n: int, words: int = WORDS) -> DataFrame:
@@ -120,8 +180,7 @@ def class_sets(docs: DataFrame, carriers: DataFrame, n: int, words: int = WORDS)
     wanted = carriers.select(key.alias("key"), "class")
     texts = docs.withColumn("key", key).join(by_size(wanted.select("key").distinct(), n, BROADCAST_ROWS), "key", "left_semi").select("text")
     made = texts.mapInArrow(rows, "class long, n long, grams binary")
-    made = made.join(by_size(carriers.select("class"), n, BROADCAST_ROWS), "class", "left_semi")
-    return stored(made.dropDuplicates(["class"]), "sets")
+    return stored(made.join(by_size(carriers.select("class"), n, BROADCAST_ROWS), "class", "left_semi"), "sets")
 
 
 def _overlaps(rows: list[np.ndarray], column: np.ndarray) -> np.ndarray:
@@ -132,8 +191,25 @@ def _overlaps(rows: list[np.ndarray], column: np.ndarray) -> np.ndarray:
     return np.bincount(np.repeat(np.arange(len(rows)), np.diff(ends, prepend=0)), weights=column[at] == grams, minlength=len(rows)).astype(np.int64)
 
 
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The ``pairs`` (u, v) of classes whose sets reach the similarity."""
+def _possible(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """The ``pairs`` (u, v) that sizes and lists leave possible; ``own`` has n, upto and the shared
+    n-grams that each class lists. Of the two, the set whose list ends first lacks no more of
+    its list than of itself, and lists what it shares together with the other."""
+    side = lambda k: own.select(F.col("class").alias(k), F.col("n").alias(f"n{k}"), F.col("upto").alias(f"upto{k}"), F.transform("grams", lambda g: g["gram"]).alias(f"g{k}"))
+    both = pairs.join(side("u"), "u").join(side("v"), "v").where(100 * F.least("nu", "nv") >= SIMILARITY * F.greatest("nu", "nv"))
+    overlap = F.ceil(F.lit(SIMILARITY) * (F.col("nu") + F.col("nv")) / F.lit(float(100 + SIMILARITY)) - F.lit(1e-6))
+    need = lambda k: _listed(F.col(f"n{k}")) - F.col(f"n{k}") + overlap
+    least = F.when(F.col("uptou") < F.col("uptov"), need("u")).when(F.col("uptou") > F.col("uptov"), need("v")).otherwise(F.least(need("u"), need("v")))
+    return both.where(F.size(F.array_intersect("gu", "gv")) >= least).select("u", "v")
+
+
+def _listed(n: Column) -> Column:
+    """How many n-grams a set of ``n`` lists."""
+    return F.least(n, F.floor(n / 4) + 1 + F.floor(n / SLACK))
+
+
+def linked(docs: DataFrame, table: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The ``pairs`` (u, v) of classes whose sets reach the similarity, as a table."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,12 +226,12 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep[a:b] = 100 * both >= SIMILARITY * union
             yield pa.RecordBatch.from_arrays([pa.array(u[keep]), pa.array(v[keep])], names=["u", "v"])
 
-    small = sets.select("class", "n")
-    sized = pairs.join(small.toDF("u", "nu"), "u").join(small.toDF("v", "nv"), "v")
-    sized = sized.where(100 * F.least("nu", "nv") >= SIMILARITY * F.greatest("nu", "nv")).select("u", "v")
-    grams = sets.select("class", "grams")
-    full = sized.join(grams.toDF("u", "gu"), "u").join(grams.toDF("v", "gv"), "v").select("u", "v", "gu", "gv")
-    return full.mapInArrow(rows, "u long, v long")
+    pairs = stored(pairs, "pairs")
+    classes = pairs.select(F.col("u").alias("class")).union(pairs.select("v")).distinct()
+    carriers = stored(table.where("n > 0").join(classes, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id")), "carriers")
+    grams = class_sets(docs, carriers, carriers.count()).select("class", "grams")
+    full = pairs.join(grams.toDF("u", "gu"), "u").join(grams.toDF("v", "gv"), "v").select("u", "v", "gu", "gv")
+    return stored(full.mapInArrow(rows, "u long, v long").distinct(), "links")
 
 
 def _roots(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -164,36 +240,150 @@ def _roots(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(roots, "class", "left").withColumn("root", F.coalesce("r", "class")).drop("r")
 
 
+def _product(grams_a: list[np.ndarray], grams_b: list[np.ndarray]) -> np.ndarray:
+    """Overlap counts of two blocks of incidence rows: their sparse product, by postings."""
+    empty = np.zeros(0, np.int64)
+    all_b = np.concatenate([empty, *grams_b])
+    of_b = np.repeat(np.arange(len(grams_b)), [len(g) for g in grams_b])
+    order = np.argsort(all_b, kind="stable")
+    all_b, of_b = all_b[order], of_b[order]
+    out = np.zeros((len(grams_a), len(grams_b)), np.int64)
+    for i in range(0, len(grams_a), 16):  # bounds the postings that are spread out at once
+        part = grams_a[i : i + 16]
+        g = np.concatenate([empty, *part])
+        of_a = np.repeat(np.arange(len(part)), [len(x) for x in part])
+        lo, hi = np.searchsorted(all_b, g, "left"), np.searchsorted(all_b, g, "right")
+        n = hi - lo
+        stop = np.cumsum(n)
+        at = np.arange(stop[-1] if len(stop) else 0) + np.repeat(lo - (stop - n), n)
+        flat = np.repeat(of_a * len(grams_b), n) + of_b[at]
+        out[i : i + len(part)] = np.bincount(flat, minlength=len(part) * len(grams_b)).reshape(len(part), -1)
+    return out
+
+
+_ROW = "class long, root long, n long, upto long, grams array<long>"
+
+
+def _block_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of blocks (x, y: lists of rows) of each family that has several roots; the block
+    x never belongs to the family's main root, so its largest component isn't multiplied with itself.
+
+    ``rows`` has family and the columns of a row. Blocks are cut by a hash of the class."""
+    parts = rows.groupBy("family", "root").agg(F.count("*").alias("c"))
+    main = parts.groupBy("family").agg(F.count("*").alias("k"), F.max_by("root", F.struct("c", "root")).alias("main"), F.max("c").alias("in_main"), F.sum("c").alias("c")).where("k > 1")
+    cut = rows.join(main, "family").withColumn("is_main", F.col("root") == F.col("main"))
+    size = F.when(F.col("is_main"), F.col("in_main")).otherwise(F.col("c") - F.col("in_main"))
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("class"), F.ceil(size / F.lit(float(BLOCK))).cast("long")))
+    row = F.struct("class", "root", "n", "upto", "grams")
+    blocks = stored(cut.groupBy("family", "is_main", "block").agg(F.collect_list(row).alias("rows")), "family-blocks")
+    x = blocks.where("NOT is_main").select("family", F.col("block").alias("bx"), F.col("rows").alias("x"))
+    y = blocks.select("family", "is_main", "block", F.col("rows").alias("y"))
+    return x.join(y, "family").where("is_main OR bx <= block").select("x", "y")
+
+
+def _read_block(column: pa.Array, i: int):
+    rows = column[i].values
+    fields = {k: rows.field(k) for k in ("class", "root", "n", "upto", "grams")}
+    grams = [np.asarray(g.values, np.int64) for g in fields.pop("grams")]
+    return {k: v.to_numpy(zero_copy_only=False) for k, v in fields.items()}, grams
+
+
+def _each_product(batches: Iterable[pa.RecordBatch]):
+    for batch in batches:
+        for i in range(batch.num_rows):
+            (x, gx), (y, gy) = _read_block(batch.column(0), i), _read_block(batch.column(1), i)
+            yield x, y, _product(gx, gy)
+
+
+def _plausible(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Classes of block pairs with a partner of another root that sizes and lists leave possible."""
+    for x, y, both in _each_product(batches):
+        nx, ny, ux, uy = x["n"][:, None], y["n"][None, :], x["upto"][:, None], y["upto"][None, :]
+        overlap = -(-SIMILARITY * (nx + ny) // (100 + SIMILARITY))
+        listed = lambda n: np.minimum(n, n // 4 + 1 + n // SLACK)
+        need_x, need_y = listed(nx) - nx + overlap, listed(ny) - ny + overlap
+        need = np.where(ux < uy, need_x, np.where(ux > uy, need_y, np.minimum(need_x, need_y)))
+        ok = (both >= need) & (x["root"][:, None] != y["root"][None, :]) & (100 * np.minimum(nx, ny) >= SIMILARITY * np.maximum(nx, ny))
+        found = np.concatenate((x["class"][ok.any(axis=1)], y["class"][ok.any(axis=0)]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(found))], names=["class"])
+
+
+def _family_links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One link for each two roots that a block pair links."""
+    for x, y, both in _each_product(batches):
+        union = x["n"][:, None] + y["n"][None, :] - both
+        i, j = np.nonzero((100 * both >= SIMILARITY * union) & (x["root"][:, None] != y["root"][None, :]))
+        _, first = np.unique(np.stack((x["root"][i], y["root"][j]), axis=1), axis=0, return_index=True)
+        yield pa.RecordBatch.from_arrays([pa.array(x["class"][i[first]]), pa.array(y["class"][j[first]])], names=["u", "v"])
+
+
+def _as_grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(g.as_py(), np.int64) for g in batch.column(4)]
+        ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], lists], names=["family", "class", "root", "n", "grams"])
+
+
 def class_components(docs: DataFrame, table: DataFrame) -> DataFrame:
     """(class, root) of every class that any link reaches; ``table`` is the class table."""
     filled = table.where("n > 0")
-    postings = filled.select("class", F.explode("prefix").alias("gram"))
-    blocks = stored(postings.groupBy("gram").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b"), "blocks")
-    n_blocks = blocks.count()
-    members = stored(postings.join(by_size(blocks, n_blocks, BROADCAST_ROWS), "gram").distinct(), "members")
-    carriers = stored(
-        filled.join(members.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id")), "carriers"
-    )
-    sets = class_sets(docs, carriers, carriers.count())
-    star = members.select("class", "a").union(members.select("class", "b")).toDF("u", "v").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    links = stored(linked(star, sets), "links")
-    # blocks that still hold more than one component, and the component with most of their classes
-    placed = stored(_roots(members.select("gram", "class"), links), "placed")
-    parts = placed.groupBy("gram", "root").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("gram").agg(F.count("*").alias("k"), F.max(F.struct("n", "root")).alias("most")).where("k > 1")
-    mixed = stored(mixed.select("gram", F.col("most.root").alias("main")), "mixed")
-    n_mixed = mixed.count()
-    open_ = stored(placed.join(by_size(mixed, n_mixed, BROADCAST_ROWS), "gram").join(sets.select("class", "n"), "class"), "open")
-    x, y = open_.where("root <> main"), open_
-    x = x.select("gram", *(F.col(c).alias(f"{c}_x") for c in ("class", "root", "n")))
+    # frequent n-grams are known to be shared; they need no count and are never dealt by n-gram
+    rare = filled.select(F.explode("rare").alias("gram"), "class").repartition("gram").sortWithinPartitions("gram", "class")
+    often = filled.select(F.explode(F.arrays_zip("often", "times")).alias("x"), "class").select("x.often", "class", "x.times").distinct()
+    shared = stored(rare.mapInArrow(_shared_rows, "gram long, class long, times long").union(often), "shared")
+    sizes = filled.groupBy("class").agg(F.min("n").alias("n"), F.min("upto").alias("upto"))
+    # a set's probes: what its list lacks of n // 4 + 1 n-grams that no other set lists
+    lists = shared.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("times", "gram"))).alias("grams"), F.avg("times").alias("central"))
+    own = stored(lists.join(sizes, "class"), "own")
+    listed, quarter, g = _listed(F.col("n")), F.floor(F.col("n") / 4), F.size("grams")
+    probing = own.withColumn("open", (g - listed + quarter + 1).cast("int")).where("open > 0")
+    probing = probing.select("class", "n", "upto", g.alias("g"), listed.alias("listed"), F.posexplode(F.slice("grams", F.lit(1), F.col("open"))).alias("i", "x"))
+    # probe i serves partners that must share g - i listed n-grams at most
+    most = F.floor((F.col("g") - F.col("i") - F.col("listed") + F.col("n")) * F.lit((100 + SIMILARITY) / SIMILARITY) + 1e-6) - F.col("n")
+    probes = stored(probing.select("class", F.col("x.gram").alias("gram"), most.alias("most")), "probes")
+    probed = stored(probes.select("gram").distinct(), "probed")
+    members = shared.select("gram", "class").join(by_size(probed, probed.count(), BROADCAST_GRAMS), "gram", "left_semi")
+    members = stored(members.join(own.select("class", "central"), "class"), "members")
+    leaders = members.groupBy("gram").agg(F.max_by("class", F.struct("central", "class")).alias("v"))
+    votes = probes.join(leaders, "gram").where("class <> v").groupBy("class", "v").agg(F.count("*").alias("c"))
+    star = stored(votes.groupBy("class").agg(F.max_by("v", F.struct("c", "v")).alias("v")).toDF("u", "v"), "star")
+    links = linked(docs, table, _possible(star, own))
+    # families: sets whose leaders are in one component, with those leaders
+    nodes = stored(members.select("class").distinct(), "nodes")
+    roots = stored(_roots(nodes, links), "roots")
+    led = star.toDF("class", "v").join(roots.toDF("v", "family"), "v").select("class", "family")
+    leads = star.select(F.col("v").alias("class")).distinct().withColumn("leads", F.lit(True))
+    placed = roots.join(led, "class", "left").join(leads, "class", "left")
+    placed = placed.withColumn("family", F.when(F.col("leads"), F.col("root")).otherwise(F.coalesce("family", "root")))
+    placed = stored(placed.select("class", "root", "family"), "placed")
+    rows = placed.join(own, "class").select("family", "class", "root", "n", "upto", F.transform("grams", lambda x: x["gram"]).alias("grams"))
+    plausible = stored(_block_pairs(rows).mapInArrow(_plausible, "class long").distinct(), "plausible")
+    carriers = stored(filled.join(plausible, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id")), "carriers")
+    sets = class_sets(docs, carriers, carriers.count()).dropDuplicates(["class"])
+    full = placed.join(sets, "class").select("family", "class", "root", "n", "grams").mapInArrow(_as_grams, "family long, class long, root long, n long, grams array<long>")
+    inside = stored(_block_pairs(full.withColumn("upto", F.lit(0).cast("long"))).mapInArrow(_family_links, "u long, v long").distinct(), "links")
+    links = links.union(inside)
+    # pairs of different families
+    placed = _roots(nodes, links).join(placed.select("class", "family"), "class").join(own.select("class", "n", "upto"), "class")
+    placed = stored(placed, "placed")
+    x = probes.select("class", "gram", "most").join(placed, "class").select("gram", *(F.col(c).alias(f"{c}_x") for c in ("class", "root", "family", "n", "upto")), "most")
+    y = members.select("class", "gram").join(placed, "class")
     cross = x.join(y, "gram").where(
-        (F.col("root_x") != F.col("root"))
-        & ((F.col("root") == F.col("main")) | (F.col("class_x") < F.col("class")))
-        & (100 * F.least("n_x", "n") >= SIMILARITY * F.greatest("n_x", "n"))
+        (F.col("root_x") != F.col("root")) & (F.col("family_x") != F.col("family")) & (F.col("upto_x") <= F.col("upto"))
+        & (F.col("n") <= F.col("most")) & (100 * F.col("n") >= SIMILARITY * F.col("n_x"))
     )
-    cross = cross.select(F.greatest("class_x", "class").alias("u"), F.least("class_x", "class").alias("v")).distinct()
-    cross = cross.join(star, ["u", "v"], "left_anti")  # these were compared before
-    more = stored(linked(cross, sets), "links")
+    pair = F.greatest("class_x", "class").alias("u"), F.least("class_x", "class").alias("v")
+    roots = F.greatest("root_x", "root").alias("ru"), F.least("root_x", "root").alias("rv")
+    cross = stored(cross.groupBy(*pair, *roots).agg(F.count("*").alias("c")), "cross")
+    # of two components first the pair that shares most probes; then what is still apart
+    best = cross.groupBy("ru", "rv").agg(F.max_by(F.struct("u", "v"), F.struct("c", "u", "v")).alias("p")).select("p.u", "p.v")
+    links = stored(links.union(linked(docs, table, _possible(best, own))), "links")
+    # `now` has one row for each class, so this neither adds nor repeats pairs
+    now = stored(_roots(nodes, links), "roots")
+    apart = cross.select(F.col("u").alias("class_x"), F.col("v").alias("class")).join(now.toDF("class_x", "root_x"), "class_x").join(now, "class").where("root_x <> root")
+    apart = apart.select(F.col("class_x").alias("u"), F.col("class").alias("v")).join(best, ["u", "v"], "left_anti")
+    more = linked(docs, table, _possible(stored(apart, "apart"), own))
     return connected_components(links.union(more)).toDF("class", "root")
 
 

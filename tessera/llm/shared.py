@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Most bytes of one Arrow batch sent to Python, so that long texts cannot fill a worker.
 BATCH_BYTES = 8 << 20
+#: Bytes of texts whose words are hashed at once.
+SLICE_BYTES = 1 << 20
 
 _own_dirs: dict[str, str] = {}
 
@@ -162,16 +164,18 @@ def shingle_sets(column: pa.Array, n: int = 5):
     Words are lower-cased in A-Z; a text of fewer than ``n`` words has its whole word
     sequence as one shingle; a text without words has none.
     """
-    data, offsets = text_buffer(column)
-    data = lowered(data)
-    starts, ends, first = word_spans(data, offsets)
-    words = span_hashes(data, starts, ends)
-    windows = window_hashes(words, n)
-    for i in range(len(offsets) - 1):
-        a, b = first[i], first[i + 1]
-        if b - a >= n:
-            yield np.unique(windows[a : b - n + 1])
-        elif b > a:
-            yield window_hashes(words[a:b], b - a)
-        else:
-            yield np.zeros(0, np.uint64)
+    whole, all_offsets = text_buffer(column)
+    for x, y in slices(all_offsets, SLICE_BYTES):
+        offsets = all_offsets[x : y + 1] - all_offsets[x]
+        data = lowered(whole[all_offsets[x] : all_offsets[y]])
+        starts, ends, first = word_spans(data, offsets)
+        words = span_hashes(data, starts, ends)
+        windows = window_hashes(words, n)
+        for i in range(y - x):
+            a, b = first[i], first[i + 1]
+            if b - a >= n:
+                yield np.unique(windows[a : b - n + 1])
+            elif b > a:
+                yield window_hashes(words[a:b], b - a)
+            else:
+                yield np.zeros(0, np.uint64)
