@@ -3,7 +3,7 @@
 Documents are aggregated by the set of sources they belong to. Each set supplies its words
 once at no cost and again at a cost that rises with each repetition; each source demands its
 target. A min-cost flow routes the words of sets to sources, and documents are then selected
-in a seeded order until each set's share for each source is filled.
+in a seeded order: each that still fits is taken, until no document left fits.
 """
 
 from __future__ import annotations
@@ -24,8 +24,6 @@ REPEATS = 2
 SEED = 20
 #: About so many documents share a slot of the seeded order.
 SLOT = 2048
-#: Rounds that fill what whole documents left open.
-FILLS = 3
 BROADCAST_GROUPS = 100_000
 
 
@@ -127,6 +125,50 @@ def sizes_of(docs: DataFrame, sources: Column, doc_id: str = "doc_id", text: str
     return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), size.alias("size"), sources.alias("members"), place_of(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("place"))
 
 
+def _before(column: str, keys: list[str], order: str) -> Column:
+    """The sum of ``column`` over the rows before this one."""
+    return F.coalesce(F.sum(column).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def first_fit(placed: DataFrame, open_: Sequence[int], largest: Sequence[int]) -> list[list[tuple[int, int, int, int | None]]]:
+    """For each set g the runs (low, high, most, one) of documents that are taken when all are
+    offered in order and each that fits into what is left of ``open_[g]`` is taken: in a run,
+    those with ``low < end <= high`` whose size is ``most`` at most, and the one with ``end == one``.
+
+    ``placed``: g, slot, size and end, the words up to and with the document in its set's order.
+    A run takes small documents until fewer words than ``most``, the larger of those that still
+    come or half of what is left, stay open, or a large one fits. So what is left is halved by
+    each run at least, however sizes are ordered; a run is one pass over what may still fit.
+    """
+    spark = placed.sparkSession
+    sized = placed.where("size > 0").select("g", "slot", "size", "end")
+    runs: list[list[tuple[int, int, int, int | None]]] = [[] for _ in open_]
+    state = {g: (0, int(x)) for g, x in enumerate(open_) if x > 0}
+    while state:
+        rows = [(g, low, left, min(left // 2, largest[g])) for g, (low, left) in state.items()]
+        now = spark.createDataFrame(rows, "g int, low long, left long, most long")
+        free = sized.join(by_size(now, len(rows), BROADCAST_GROUPS), "g").where("end > low AND size <= left")
+        free = free.withColumn("small", F.when(F.col("size") <= F.col("most"), F.col("size")).otherwise(0))
+        slots = free.groupBy("g", "slot").agg(F.sum("small").alias("s"))
+        slots = slots.select("g", "slot", _before("s", ["g"], "slot").alias("before_slot"))
+        run = F.col("before_slot") + F.sum("small").over(Window.partitionBy("g", "slot").orderBy("end").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        free = free.join(slots, ["g", "slot"]).withColumn("run", run)
+        one = (F.col("small") == 0) & (F.col("run") + F.col("size") <= F.col("left"))
+        stop = one | ((F.col("small") > 0) & (F.col("run") > F.col("left") - F.col("most")))
+        first = F.min(F.when(stop, F.struct("end", one.alias("one"), (F.col("run") + F.when(one, F.col("size")).otherwise(0)).alias("words"))))
+        found = free.groupBy("g").agg(first.alias("first")).collect()
+        before, state = state, {}
+        for g, x in found:
+            (low, left), most = before[g], min(before[g][1] // 2, largest[g])
+            if x is None:  # all small documents that still come fit, and no large one does
+                runs[g].append((low, 1 << 62, most, None))
+            else:
+                runs[g].append((low, x.end, most, x.end if x.one else None))
+                if left > x.words:
+                    state[g] = (x.end, left - x.words)
+    return runs
+
+
 def mix(sized: DataFrame, weights: Sequence[int] = WEIGHTS, share: int = SHARE, repeats: int = REPEATS) -> tuple[DataFrame, DataFrame]:
     """(taken, targets). ``sized`` comes from :func:`sizes_of`, written as a table.
 
@@ -138,11 +180,11 @@ def mix(sized: DataFrame, weights: Sequence[int] = WEIGHTS, share: int = SHARE,
     Only one row for each distinct set of sources comes to the driver. The order inside a set
     is a seeded hash, cut into slots of about 2,048 documents: sums of slots place each slot,
     and running sums inside a slot place each document, so that a set which holds most of the
-    corpus is spread over many tasks. What whole documents leave open of a share is filled by
-    the largest document that fits, a few times over.
+    corpus is spread over many tasks. Documents are taken first-fit in this order; see
+    :func:`first_fit`.
     """
     spark = sized.sparkSession
-    groups = sized.groupBy("members").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()
+    groups = sized.groupBy("members").agg(F.sum("size").alias("words"), F.count("*").alias("n"), F.max("size").alias("largest")).collect()
     names = sorted({s for g in groups for s in g.members if s is not None}) + ([None] if any(None in g.members for g in groups) else [])
     at = {s: i for i, s in enumerate(names)}
     supplies = [int(g.words) for g in groups]
@@ -157,30 +199,26 @@ def mix(sized: DataFrame, weights: Sequence[int] = WEIGHTS, share: int = SHARE,
     want = [[0] * repeats for _ in groups]
     for (p, _, r), x in flow.items():
         want[live[p]][r] += x
-    rows = [(list(g.members), int(g.words), max(1, round(g.n / SLOT)), [int(x) for x in w]) for g, w in zip(groups, want, strict=True)]
-    plan = spark.createDataFrame(rows, "members array<string>, words long, slots long, want array<long>")
+    # a set's words go round its documents: whole rounds first, then one partial round
+    total = [sum(int(x) for x in w) for w in want]
+    copies = [t // w if w else 0 for t, w in zip(total, supplies, strict=True)]
+    open_ = [t - c * w for t, c, w in zip(total, copies, supplies, strict=True)]
+    rows = [(i, list(g.members), max(1, round(g.n / SLOT)), c) for i, (g, c) in enumerate(zip(groups, copies, strict=True))]
+    plan = spark.createDataFrame(rows, "g int, members array<string>, slots long, copies long")
     quota = spark.createDataFrame([(s, sizes[i], targets[i]) for s, i in at.items()], "source string, source_size long, target double")
 
-    # a set's words go round its documents: whole rounds first, then one partial round
-    rounds = F.when(F.col("words") > 0, F.expr("aggregate(want, 0L, (a, x) -> a + x)") / F.col("words")).otherwise(F.lit(0.0))
-    whole = F.floor(rounds).cast("long")
-    plan = plan.withColumn("copies", whole).withColumn("open", F.expr("aggregate(want, 0L, (a, x) -> a + x)") - F.col("copies") * F.col("words"))
-    plan = plan.drop("want")
     joined = sized.join(by_size(plan, len(rows), BROADCAST_GROUPS), "members")
     slotted = joined.withColumn("slot", F.floor(F.col("place") * F.col("slots")).cast("long"))
-    slot_sums = slotted.groupBy("members", "slot").agg(F.sum("size").alias("s"))
-    before_slot = F.coalesce(F.sum("s").over(Window.partitionBy("members").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    slot_sums = slot_sums.select("members", "slot", before_slot.alias("before_slot"))
-    inside = Window.partitionBy("members", "slot").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    slot_sums = slotted.groupBy("g", "slot").agg(F.sum("size").alias("s"))
+    slot_sums = slot_sums.select("g", "slot", _before("s", ["g"], "slot").alias("before_slot"))
+    inside = Window.partitionBy("g", "slot").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.sum("size").over(inside) + F.col("before_slot")
-    placed = slotted.join(slot_sums, ["members", "slot"]).withColumn("end", end)
-    placed = stored(placed.withColumn("extra", (F.col("end") <= F.col("open")).cast("int")).withColumn("row", F.sha2(F.concat_ws("|", "place", "doc_id", "end"), 256)), "placed")
-    for _ in range(FILLS):
-        left = placed.groupBy("members").agg((F.max("open") - F.sum(F.col("extra") * F.col("size"))).alias("left"))
-        left = left.where("left > 0")
-        free = placed.where("extra = 0 AND size > 0").join(by_size(left, len(rows), BROADCAST_GROUPS), "members").where("size <= left")
-        best = free.groupBy("members").agg(F.max(F.struct("size", "row")).alias("best")).select("best.row", F.lit(1).alias("fill"))
-        placed = stored(placed.join(by_size(best, len(rows), BROADCAST_GROUPS), "row", "left").withColumn("extra", F.greatest("extra", F.coalesce("fill", F.lit(0)))).drop("fill"), "filled")
+    placed = stored(slotted.join(slot_sums, ["g", "slot"]).withColumn("end", end), "placed")
+    runs = first_fit(placed, open_, [int(g.largest) for g in groups])
+    runs = spark.createDataFrame([(i, x) for i, x in enumerate(runs) if x], "g int, runs array<struct<low:long,high:long,most:long,one:long>>")
+    placed = placed.join(by_size(runs, len(rows), BROADCAST_GROUPS), "g", "left")
+    chosen = F.exists("runs", lambda x: (F.col("end") > x["low"]) & (F.col("end") <= x["high"]) & ((F.col("size") <= x["most"]) | (F.col("end") == x["one"])))
+    placed = placed.withColumn("extra", F.coalesce(chosen, F.lit(False)).cast("int"))
     taken = placed.select("doc_id", "size", "members", "place", (F.col("size") * (F.col("copies") + F.col("extra"))).alias("taken"))
     return taken, quota
 

@@ -195,6 +195,37 @@ def test_mix_meets_targets_and_reruns_agree(docs, rows, none):
     assert mixing.mix_documents(none).count() == 0
 
 
+def test_mix_goes_on_behind_documents_that_do_not_fit(spark):
+    import random
+
+    def order(sizes, name):
+        rows = [(i, n, [name], (i + 0.5) / len(sizes)) for i, n in enumerate(sizes)]
+        return rows, [r[0] for r in rows]
+
+    rng = random.Random(7)
+    sets = {
+        "a": [300] * 100 + [300_000] + [300] * 900,  # a long document comes early and never fits
+        "b": [x for k in range(99) for x in (1, 100 - k)],  # each that doesn't fit is one less than the last
+        "c": [rng.choice((0, 1, 3, 50, 700, rng.randint(1, 9000))) for _ in range(6000)],
+        "d": [7],
+    }
+    rows = [r for name, sizes in sets.items() for r in order(sizes, name)[0]]
+    sized = spark.createDataFrame(rows, "doc_id long, size long, members array<string>, place double").repartition(5)
+    taken, quota = mixing.mix(sized, weights=(200_000, 93, 900_000, 4), share=20, repeats=1)
+    target = {q.source: round(q.target) for q in quota.collect()}
+    assert target["a"] < 299_700 and 90 < target["b"] < 101 and target["d"] < 7
+    got = {name: {} for name in sets}
+    for r in taken.collect():
+        got[r.members[0]][r.doc_id] = r.taken
+    for name, sizes in sets.items():
+        left, want = target[name], {}
+        for i, n in enumerate(sizes):
+            want[i] = n if n <= left else 0
+            left -= want[i]
+        assert got[name] == want, name
+        assert left < min((n for i, n in enumerate(sizes) if n and not want[i]), default=1 << 62)
+
+
 def test_flow_routes_overlapping_sources():
     # the shared set serves the source that has nothing else before it repeats
     flow = mixing.min_cost_flow([100, 50], [[0, 1], [1]], [100, 50])
