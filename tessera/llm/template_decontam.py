@@ -5,7 +5,9 @@ sentence are replaced by typed placeholders, all else is lower-cased without mar
 Windows of eight tokens of documents and benchmark items are hash-joined. Matches of one item
 on one alignment must agree in their slots: equal values stand for equal values throughout, in
 both directions. So a question asked again with other numbers or names is found, and chance
-matches of placeholders are not.
+matches of placeholders are not. Windows of plain lower-cased words are joined beside them, for
+items of any length and however few of their words are literal, so that verbatim copies are
+found whatever the placeholders are.
 """
 
 from __future__ import annotations
@@ -18,14 +20,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import by_size, lowered, slices, small_batches, span_hashes, stored, text_buffer, window_hashes, word_spans
+from .shared import _K1, by_size, lowered, mix, slices, small_batches, span_hashes, stored, text_buffer, window_hashes, word_spans
 
 WINDOW = 8
-#: Items of fewer words than a window are matched whole; below this many words they are not searched.
+#: Items of fewer words than a window are matched whole; below this many words only verbatim.
 LEAST_WORDS = 5
 #: Share of an item's windows that a document must hold.
 COVERAGE = 0.5
-#: Literal tokens that a window must have.
+#: Literal tokens that a window of templates must have; verbatim windows need none.
 LITERALS = 4
 #: Up to so many benchmark windows are sent to all workers, which then emit matching windows
 #: only; for more, all windows are shuffled.
@@ -36,6 +38,11 @@ UNITS = (
     "minute minutes second seconds meter meters metre metres kilometer kilometers kilometre kilometres mile miles gram grams "
     "kilogram kilograms liter liters litre litres dollar dollars euro euros cent cents percent degree degrees"
 ).split()
+#: Words that open a sentence with a capital and are no names, wherever they stand.
+OPENERS = (
+    "a an the this that these those what which who whom whose when where why how if in on at for from of to by with as and or but "
+    "is are was were do does did can could will would should has have had he she it they we you i there then each every all some let"
+).split()
 _EDGE = np.zeros(256, bool)
 _EDGE[list(b".,;:!?'\"()[]$")] = True
 _DIGIT = np.zeros(256, bool)
@@ -57,7 +64,8 @@ def _text_hash(words: list[str]) -> np.ndarray:
     return span_hashes(data, offsets[:-1], offsets[1:])
 
 
-_UNIT_HASHES = np.sort(_text_hash(UNITS))
+_UNIT_HASHES, _OPENER_HASHES = np.sort(_text_hash(UNITS)), np.sort(_text_hash(OPENERS))
+_VERBATIM = np.uint64(0x5851F42D4C957F2D)
 _NUM, _NAME, _UNIT = _text_hash(["\x00number", "\x00name", "\x00unit"])
 
 
@@ -70,11 +78,12 @@ def _lower(data: np.ndarray) -> np.ndarray:
 
 
 def templates(data: np.ndarray, offsets: np.ndarray):
-    """(first word of each text, template token of each word, is a slot, value of each word)."""
+    """(first word of each text, template token of each word, is a slot, value of each word, may
+    be a name that opens a sentence)."""
     starts, ends, first = word_spans(data, offsets)
     low = _lower(data)
     if not len(starts):
-        return first, np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.uint64)
+        return first, np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.uint64), np.zeros(0, bool)
     sums = lambda x: np.concatenate(([0], np.cumsum(x, dtype=np.int32)))
     new_line = np.concatenate(([0], np.cumsum(data == 10, dtype=np.int32)))
     opens = np.ones(len(starts), bool)
@@ -93,56 +102,85 @@ def templates(data: np.ndarray, offsets: np.ndarray):
     after[1:] = is_number[:-1]
     after[first[:-1][first[:-1] < len(starts)]] = False
     is_unit = after & ~is_number & np.isin(values, _UNIT_HASHES)
-    is_name = ~opens & capital & (small[b] > small[a]) & ~is_unit & ~is_number
+    may_name = capital & (small[b] > small[a]) & ~is_unit & ~is_number
+    may_name &= ~np.isin(values, _OPENER_HASHES)
+    is_name = may_name & ~opens
     tokens = values.copy()
     tokens[is_number], tokens[is_unit], tokens[is_name] = _NUM, _UNIT, _NAME
-    return first, tokens, is_number | is_unit | is_name, values
+    return first, tokens, is_number | is_unit | is_name, values, may_name & opens
+
+
+def _named_hashes(tokens: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """:func:`window_hashes` at ``at`` as if the first token of each window were a name."""
+    h = np.full(len(at), size, np.uint64)
+    for k in range(size):
+        h = mix((h * _K1) ^ (tokens[at + k] if k else _NAME))
+    return h
 
 
-_ROWS = "id long, digest long, pos int, size int, hash long, slots array<long>"
+_ROWS = "id long, digest long, pos int, size int, hash long, verbatim boolean, slots array<long>"
 
 
 def windows(texts: DataFrame, sizes: list[int], whole: bool, wanted: np.ndarray | None = None) -> DataFrame:
-    """Windows of the texts (id, digest, text): id, digest, pos, size, hash and the values of the
-    slots. ``whole``: a text shorter than WINDOW gives one window of its own size; else windows
-    of all ``sizes`` are made. With ``wanted`` (sorted), only hashes in it are emitted."""
+    """Windows of the texts (id, digest, text): id, digest, pos, size, hash, whether it is of plain
+    words, and else the values of the slots. ``whole``: a text shorter than WINDOW gives windows
+    of its own size; else windows of all ``sizes`` are made. A word that opens a sentence with a
+    capital stands both as a literal and as a name at the start of a window. With ``wanted``
+    (sorted), only hashes in it are emitted."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column(2))
             for i, j in slices(offsets, _PIECE):
                 part = data[offsets[i] : offsets[j]]
-                first, tokens, slot, values = templates(part, offsets[i : j + 1] - offsets[i])
+                first, tokens, slot, values, opening = templates(part, offsets[i : j + 1] - offsets[i])
                 n = np.diff(first)
                 doc_of = np.repeat(np.arange(j - i), n)
                 place = np.arange(len(tokens)) - first[doc_of]
                 before = np.concatenate(([0], np.cumsum(slot)))
-                for size in sizes:
-                    if len(tokens) < size:
-                        continue
-                    at = np.arange(len(tokens) - size + 1)
-                    fits = place[at] + size <= n[doc_of[at]]
-                    if whole and size < WINDOW:
-                        fits &= n[doc_of[at]] == size
-                    fits &= before[at + size] - before[at] <= size - min(LITERALS, size)
-                    h = window_hashes(tokens, size)
+
+                def emit(size, at, h, verbatim, named=False):
                     if wanted is not None:
                         if not len(wanted):
-                            continue
-                        fits &= wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
-                    at = np.flatnonzero(fits)
+                            return
+                        keep = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
+                        at, h = at[keep], h[keep]
+                    if verbatim and size < WINDOW and len(at):  # a whole item: once for each text
+                        keep = np.sort(np.unique(np.stack((doc_of[at].astype(np.uint64), h)), axis=1, return_index=True)[1])
+                        at, h = at[keep], h[keep]
                     if not len(at):
-                        continue
-                    slots = [values[k : k + size][slot[k : k + size]].view(np.int64) for k in at.tolist()]
+                        return
+                    if verbatim:
+                        slots = pa.array([[]] * len(at), pa.list_(pa.int64()))
+                    else:
+                        is_slot = lambda k: np.concatenate(([True], slot[k + 1 : k + size])) if named else slot[k : k + size]
+                        slots = pa.array([values[k : k + size][is_slot(k)].view(np.int64) for k in at.tolist()], pa.list_(pa.int64()))
                     take = pa.array(doc_of[at] + i)
                     yield pa.RecordBatch.from_arrays(
                         [
                             batch.column(0).take(take), batch.column(1).take(take), pa.array(place[at].astype(np.int32)), pa.array(np.full(len(at), size, np.int32)),
-                            pa.array(h[at].view(np.int64)), pa.array(slots, pa.list_(pa.int64())),
+                            pa.array(h.view(np.int64)), pa.array(np.full(len(at), verbatim)), slots,
                         ],
-                        names=["id", "digest", "pos", "size", "hash", "slots"],
+                        names=["id", "digest", "pos", "size", "hash", "verbatim", "slots"],
                     )
 
+                for size in sizes:
+                    if len(tokens) < size:
+                        continue
+                    at = np.arange(len(tokens) - size + 1)
+                    fits = place[at] + size <= n[doc_of[at]]
+                    if whole and size < WINDOW:
+                        fits &= n[doc_of[at]] == size
+                    of = np.flatnonzero(fits)
+                    yield from emit(size, of, mix(window_hashes(values, size)[of] ^ _VERBATIM), True)
+                    if size < LEAST_WORDS:
+                        continue
+                    literals = size - (before[at + size] - before[at])
+                    of = np.flatnonzero(fits & (literals >= LITERALS))
+                    yield from emit(size, of, window_hashes(tokens, size)[of], False)
+                    of = np.flatnonzero(fits & opening[at] & (literals > LITERALS))
+                    yield from emit(size, of, _named_hashes(tokens, of, size), False, True)
+
     return texts.select("id", "digest", "text").mapInArrow(rows, _ROWS)
 
 
@@ -156,15 +194,18 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
     ``template`` if slots changed), n_windows of the item, n_matched of them, n_changed slot
     values; one row for each document and item.
 
-    Null texts are empty and contain nothing; null ids are ids like others; repeated rows of a
-    document give one row; items repeated with the same id and text count once; other columns
-    are ignored; without documents or items there are no rows. A benchmark passage that a third
-    of all documents hold is joined where the documents lie while the benchmark is small.
+    An item is held if ``coverage`` of its template windows match, or of its windows of plain
+    words; the figures are of that with fewer changes, the templates first. Items of one word
+    or more are searched. Null texts are empty and contain nothing; null ids are ids like
+    others; repeated rows of a document give one row; items repeated with the same id and text
+    count once; other columns are ignored; without documents or items there are no rows. A
+    benchmark passage that a third of all documents hold is joined where the documents lie
+    while the benchmark is small.
     """
     spark = docs.sparkSession
     small_batches(spark)
     items = _identified(items, item_id, text).distinct()
-    every = list(range(LEAST_WORDS, WINDOW + 1))
+    every = list(range(1, WINDOW + 1))
     bench = stored(windows(items, every, whole=True), "bench")
     n = bench.count()
     sizes = sorted(r.size for r in bench.select("size").distinct().collect())
@@ -172,11 +213,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
     if n <= BROADCAST_WINDOWS:
         wanted = np.unique(bench.select("hash").toPandas()["hash"].to_numpy(np.int64).view(np.uint64))
     found = windows(_identified(docs, doc_id, text), sizes, whole=False, wanted=wanted)
-    total = bench.groupBy("id", "digest").agg(F.count("*").alias("n_windows")).toDF("item", "item_digest", "n_windows")
-    b = bench.select(F.col("id").alias("item"), F.col("digest").alias("item_digest"), F.col("pos").alias("item_pos"), "size", "hash", F.col("slots").alias("item_slots"))
-    pairs = found.join(by_size(b, n, BROADCAST_WINDOWS // 10), ["hash", "size"])
+    total = bench.groupBy("id", "digest", "verbatim").agg(F.count_distinct("pos").alias("n_windows")).toDF("item", "item_digest", "verbatim", "n_windows")
+    b = bench.select(F.col("id").alias("item"), F.col("digest").alias("item_digest"), F.col("pos").alias("item_pos"), "size", "hash", "verbatim", F.col("slots").alias("item_slots"))
+    pairs = found.join(by_size(b, n, BROADCAST_WINDOWS // 10), ["hash", "size", "verbatim"])
     pairs = pairs.withColumn("slots", F.arrays_zip(F.col("item_slots").alias("b"), F.col("slots").alias("d")))
-    key = ["id", "digest", "item", "item_digest"]
+    key = ["id", "digest", "item", "item_digest", "verbatim"]
     aligned = pairs.groupBy(*key, (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
         F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots")
     )
@@ -188,12 +229,15 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
         F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n_matched"), F.min("changed").alias("n_changed")
     )
     held = held.alias("h").join(
-        by_size(total, n, BROADCAST_WINDOWS // 10).alias("t"), F.col("h.item").eqNullSafe(F.col("t.item")) & (F.col("h.item_digest") == F.col("t.item_digest"))
+        by_size(total, n, BROADCAST_WINDOWS // 10).alias("t"),
+        F.col("h.item").eqNullSafe(F.col("t.item")) & (F.col("h.item_digest") == F.col("t.item_digest")) & (F.col("h.verbatim") == F.col("t.verbatim")),
     )
     out = held.where(F.col("n_matched") >= coverage * F.col("n_windows"))
+    best = F.min(F.struct(F.col("n_changed"), F.col("h.verbatim").alias("verbatim"), F.col("n_windows"), F.col("n_matched"))).alias("x")
+    out = out.groupBy("id", "digest", F.col("h.item").alias("item_id"), F.col("h.item_digest")).agg(best)
     return out.select(
-        F.col("id").alias("doc_id"), "digest", F.col("h.item").alias("item_id"), F.when(F.col("n_changed") > 0, "template").otherwise("exact").alias("kind"),
-        F.col("n_windows"), F.col("n_matched").cast("long").alias("n_matched"), F.col("n_changed").cast("long").alias("n_changed"),
+        F.col("id").alias("doc_id"), "digest", "item_id", F.when(F.col("x.n_changed") > 0, "template").otherwise("exact").alias("kind"),
+        F.col("x.n_windows").alias("n_windows"), F.col("x.n_matched").cast("long").alias("n_matched"), F.col("x.n_changed").cast("long").alias("n_changed"),
     )
 
 

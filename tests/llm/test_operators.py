@@ -138,6 +138,32 @@ def test_templates_find_items_and_changed_slots(spark, none):
     assert template_decontam.find_leaks(docs, items.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [2_000_000, 0])
+def test_verbatim_copies_of_any_item_are_found(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(template_decontam, "BROADCAST_WINDOWS", broadcast)
+    items = [
+        (1, "Sort 5 3 9 1 7 2 8 in ascending order"),  # no window with four literals
+        (2, "Add 12 34 56 now"),
+        (3, "zymurgy quiz"),
+        (4, "xylophones"),
+        (5, "Alice buys 12 red apples for 3 friends"),  # one window, opened by a name
+        (6, "Compute 7 km 8 kg 9 lb 4 oz 3 ft 2 in 6 mi 5 yd"),
+        (7, "What is the capital of Peru"),
+        (8, ""),
+    ]
+    docs = [(10 + i, f"some text before it, {t} and some text after it") for i, t in items if t]
+    docs += [(20 + i, f"Before it. {t.upper()}\nAfter it.") for i, t in items if t]
+    docs += [(30, "They say that Maria buys 15 red apples for 8 friends today."), (31, "It is so. Maria buys 15 red apples for 8 friends today.")]
+    docs += [(40, "Sort 5 3 9 1 7 2 6 in descending order, quiz zymurgy xylophone"), (41, "Lima is the capital of Peru and Paris is the capital of France")]
+    docs += [(42, "buys 12 red apples for 3 friends"), (43, None)]
+    got = template_decontam.find_leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {(r.doc_id, r.item_id): (r.kind, r.n_changed) for r in got}
+    assert len(found) == len(got)
+    exact = {(k + i, i) for i, t in items if t for k in (10, 20)}
+    assert {k for k, (kind, n) in found.items() if kind == "exact" and n == 0} == exact
+    assert {k: v for k, v in found.items() if k not in exact} == {(30, 5): ("template", 3), (31, 5): ("template", 3)}
+
+
 # ---------------------------------------------------------------- 4: quality rules
 
 
