@@ -23,7 +23,8 @@ COMMON = 64
 MOST_CHAR_DISTANCE, MOST_WORD_DISTANCE = 0.28, 0.50
 #: Least letters and words for a document to be judged by the histogram of them.
 LEAST_CHARS, LEAST_WORDS = 100, 40
-#: A language needs so many words over all documents to be a reference.
+#: A language needs so many words over all documents to be a reference; the histograms don't
+#: judge documents of a language with fewer.
 LEAST_REFERENCE = 1000
 #: Base rules: least words, and the most of them (in hundredths) in repeated windows of so many words.
 BASE_WORDS, BASE_REPEATED, WINDOW = 20, 30, 8
@@ -156,9 +157,9 @@ _OUT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines
 def judge(docs: DataFrame, refs: dict, doc_id: str = "doc_id", lang: str = "lang", text: str = "text") -> DataFrame:
     """Base counts, distances and verdict of every row's whole text.
 
-    Null texts count nothing and fail the base rules; a null or unknown language is compared
-    with all references; with no reference at all, only the base rules decide; repeated rows
-    stay repeated; other columns are ignored; an empty table gives no rows.
+    Null texts count nothing and fail the base rules; a null language is compared with all
+    references; for a language without a reference, or with no reference at all, only the base
+    rules decide and the distances are 0; repeated rows stay repeated; other columns are ignored; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
 
@@ -180,9 +181,10 @@ def judge(docs: DataFrame, refs: dict, doc_id: str = "doc_id", lang: str = "lang
             lines, repeated = np.array(rep, np.int64).reshape(-1, 2).T
             failed = (n < BASE_WORDS) | (100 * repeated > BASE_REPEATED * n)
             doc_of_word, n_chars = np.repeat(np.arange(docs_n), n), classes.sum(axis=1)
-            char = np.zeros(docs_n) if not refs else np.full(docs_n, np.inf)
-            word, fits = char.copy(), np.full(docs_n, not refs)
             langs = batch.column(1).to_pylist()
+            fits = np.array([not refs or (x is not None and x not in refs) for x in langs], bool)
+            char = np.where(fits, 0.0, np.inf)
+            word = char.copy()
 
             def look(g, rows, char, word, fits):
                 pick = np.zeros(docs_n, bool)

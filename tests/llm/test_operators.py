@@ -199,6 +199,19 @@ def test_divergence_drops_symbols_and_keeps_prose(spark):
     assert kept >= set(range(60)) and not kept & set(range(100, 105))
 
 
+def test_divergence_leaves_languages_without_a_reference_to_the_base_rules(spark):
+    import random
+
+    rng = random.Random(4)
+    prose = [(i, "en", "\n".join("The " + corpus.sentence(rng, 9) for _ in range(12))) for i in range(60)]
+    rare = " ".join("".join(rng.choices("αβγδεζηθικλμνξ", k=rng.randint(2, 9))) for _ in range(60))
+    rows = [*prose, (100, "el", rare), (101, "el", "λ " * 60), (102, "el", "λόγος"), (103, None, rare)]
+    got = {r.doc_id: r for r in divergence_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, lang string, text string")).collect()}
+    assert got[100].kept and got[100].char_distance == got[100].word_distance == 0
+    assert not got[101].kept and not got[102].kept and not got[103].kept  # the base rules, and the references for a row without a language
+    assert all(got[i].kept for i in range(60))
+
+
 # ---------------------------------------------------------------- 5: mixing
 
 
