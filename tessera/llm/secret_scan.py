@@ -26,14 +26,18 @@ BASE = (
 )
 #: Kinds that this method adds to the base, listed after it.
 ADDED = (
-    ("pem", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\r\n]+-----END [A-Z ]*PRIVATE KEY-----"), 0, 1),
+    # header lines, blanks and escaped line breaks may stand inside a key
+    ("pem", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z][A-Za-z0-9-]*+:(?:(?!-----)[^\r\n\\])*+|[A-Za-z0-9+/=]++|\s|\\+[nrt/])++-----END [A-Z ]*PRIVATE KEY-----"), 0, 1),
     ("jwt", re.compile(r"\beyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", A), 0, 30),
     ("forge", re.compile(r"\b(?:gh[pousr]_[A-Za-z0-9]+|glpat-[A-Za-z0-9_-]+|xox[abprs]-[A-Za-z0-9-]+)", A), 0, 20),
-    ("login", re.compile(r"\b[a-z][a-z0-9+.]{1,15}://[^\s/:@]{1,64}:([^\s/@]{1,128})@", A), 1, 6),
+    # its match starts at the separator; find_spans adds the scheme before it
+    ("login", re.compile(r"://[^\s/:@]+:([^\s/@]+)@"), 1, 6),
 )
+_SCHEME = re.compile(r"\b[a-z][a-z0-9+.]+", A)
+_IN_SCHEME = frozenset("abcdefghijklmnopqrstuvwxyz0123456789+.")
 RULES = (*BASE, *ADDED)
 #: Changes whenever a rule does, so that old blobs are scanned again under new rules.
-RULE_VERSION = hashlib.sha256(repr([(k, p.pattern, p.flags, g, n) for k, p, g, n in RULES]).encode()).hexdigest()[:16]
+RULE_VERSION = hashlib.sha256(repr([(k, p.pattern, p.flags, g, n) for k, p, g, n in RULES] + [_SCHEME.pattern]).encode()).hexdigest()[:16]
 LEDGER = "blob string, rule_version string, kinds array<string>, starts array<int>, ends array<int>"
 _SCHEMA = pa.schema([
     ("blob", pa.string()), ("rule_version", pa.string()), ("kinds", pa.list_(pa.string())),
@@ -43,12 +47,21 @@ _SCHEMA = pa.schema([
 
 def find_spans(text: str, rules=RULES) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points: leftmost non-overlapping matches of each kind whose
-    counted group is long enough, by start, then in the order of the kinds."""
+    counted group is long enough, by start, then in the order of the kinds. The scheme of a
+    login is looked for backwards from its separator, so long dotted runs are read once."""
     out = []
     for order, (kind, pattern, group, least) in enumerate(rules):
         for m in pattern.finditer(text):
             if m.end(group) - m.start(group) >= least:
-                out.append((m.start(), order, m.end(), kind))
+                start = m.start()
+                if kind == "login":
+                    while start and text[start - 1] in _IN_SCHEME:
+                        start -= 1
+                    scheme = _SCHEME.search(text, start, m.start())
+                    if not scheme:
+                        continue
+                    start = scheme.start()
+                out.append((start, order, m.end(), kind))
     return [(kind, start, end) for start, _, end, kind in sorted(out)]
 
 
