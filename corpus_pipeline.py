@@ -20,17 +20,23 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component: that whose doc_id names it. Documents
-    without words are linked with nothing and stay; of rows that repeat a doc_id, one stays."""
-    found = ngram_join.near_duplicates(docs.select("doc_id", "text"))
-    keep = stored(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "kept")
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    first = F.row_number().over(Window.partitionBy("__key").orderBy(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)))
-    kept = docs.withColumn("__key", key).join(by_size(keep.select(key.alias("__key")), keep.count(), 1_000_000), "__key", "left_semi")
+    """One document of each near-duplicate component: that of the smallest doc_id, null last,
+    and of several with it that of the smallest key. Documents without words are linked with
+    nothing and stay. Rows are told apart by a 64-bit key of doc_id and text, so rows without an
+    id stay unless their texts are linked, and a near copy never stands for another text of its
+    id. Of the documents chosen so, one stays for each doc_id that isn't null."""
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+    found = ngram_join.near_duplicates(keyed.select("__key", "text"), doc_id="__key").select(F.col("doc_id").alias("__key"), "component_id")
+    ids = keyed.select("__key", "doc_id").join(found.distinct(), "__key")
+    best = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key")).alias("best"))
+    nameless = F.when(F.col("best.doc_id").isNull(), F.col("best.__key"))
+    keep = stored(best.groupBy("best.doc_id", nameless).agg(F.min("best.__key").alias("__key")).select("__key"), "kept")
+    kept = keyed.join(by_size(keep, keep.count(), 1_000_000), "__key", "left_semi")
     repeated = stored(kept.groupBy("__key").count().where("count > 1").select("__key"), "repeated")
     n = repeated.count()
     if not n:
         return kept.drop("__key")
+    first = F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64(*docs.columns)))
     twice = kept.join(by_size(repeated, n, 1_000_000), "__key", "left_semi").withColumn("__k", first).where("__k = 1").drop("__k")
     return kept.join(by_size(repeated, n, 1_000_000), "__key", "left_anti").unionByName(twice).drop("__key")
 

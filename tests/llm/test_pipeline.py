@@ -81,6 +81,20 @@ def test_stages(spark, sf_dir, tmp_path):
             docs, before = out, after
 
 
+def test_null_and_repeated_ids_drop_no_unlinked_text(spark):
+    words = [f"w{i}" for i in range(60)]
+    text = " ".join(words)
+    near = " ".join([*words[:30], "changed", *words[31:]])
+    rows = [
+        (None, "one text without an id that stands alone"), (None, "another text without an id, of other words"), (None, "   "),
+        (1, text), (2, near), (2, "a text of its own under an id that a near copy has too"), (3, "twice the same"), (3, "twice the same"),
+        (None, text), (4, None), (4, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = [tuple(r) for r in cp.ngram_jaccard_join(spark, docs, "").collect()]
+    assert sorted(out, key=repr) == sorted([rows[i] for i in (0, 1, 2, 3, 5, 6, 9)], key=repr)
+
+
 def test_empty_tables(spark, sf_dir, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{sf_dir}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
