@@ -16,7 +16,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents that the rule ensemble doesn't reject. It learns from labelled documents
     outside the held-out fold."""
     model = rule_ensemble.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return rule_ensemble.score(docs, model, "__score").where(F.col("__score") >= rule_ensemble.KEEP_AT).drop("__score")
+    return rule_ensemble.keep_good(docs, model)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

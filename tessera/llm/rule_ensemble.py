@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD
+from .shared import WORD, unused_prefix
 
 #: Labelled rows that a model is fitted on, at most; smallest seeded hashes first.
 SAMPLE = 20_000
@@ -26,29 +26,61 @@ SUPPORT = 0.002
 KEEP_AT = 0.3
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """What rules may speak of: counts and shares over the whole text (null: empty)."""
+def _raw(text: Column) -> dict[str, Column]:
+    """What statistics are made of: plain counts over the whole text (null: empty)."""
     text = F.coalesce(text, F.lit(""))
     count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("double")
-    chars = F.greatest(F.length(text), F.lit(1)).cast("double")
-    n_words = count(WORD)
-    words = F.greatest(n_words, F.lit(1.0))
-    distinct = F.size(F.array_distinct(F.split(text, r"[\x20\x09-\x0D]+"))).cast("double")
     return {
-        "words": n_words,
+        "chars": F.length(text).cast("double"),
+        "words": count(WORD),
+        "distinct": F.size(F.array_distinct(F.split(text, r"[\x20\x09-\x0D]+"))).cast("double"),
+        "again": count(r"(?<![^ ])(\S+) (?=\1(?![^ ]))"),
+        "symbols": count(r"[#*$%&<>=^~_+{}\[\]\\@]"),
+        "bars": count(r"\|"),
+        "capitals": count(r"[A-Z]"),
+        "exclaimed": count(r"!"),
+        "stops": count(r"[.,;:?](?= |\n|$)"),
+        "digits": count(r"[0-9]"),
+        "breaks": count(r"\n"),
+    }
+
+
+def _ratios(raw: dict[str, Column]) -> dict[str, Column]:
+    chars, words = F.greatest(raw["chars"], F.lit(1.0)), F.greatest(raw["words"], F.lit(1.0))
+    return {
+        "words": raw["words"],
         "letters_a_word": chars / words,
-        "distinct": distinct / words,
-        "again": count(r"(?<![^ ])(\S+) (?=\1(?![^ ]))") / words,
-        "symbols": count(r"[#*$%&<>=^~_+{}\[\]\\@]") / chars,
-        "bars": count(r"\|") / words,
-        "capitals": count(r"[A-Z]") / chars,
-        "exclaimed": count(r"!") / words,
-        "stops": count(r"[.,;:?](?= |\n|$)") / words,
-        "digits": count(r"[0-9]") / chars,
-        "lines": (count(r"\n") + 1) / words,
+        "distinct": raw["distinct"] / words,
+        "again": raw["again"] / words,
+        "symbols": raw["symbols"] / chars,
+        "bars": raw["bars"] / words,
+        "capitals": raw["capitals"] / chars,
+        "exclaimed": raw["exclaimed"] / words,
+        "stops": raw["stops"] / words,
+        "digits": raw["digits"] / chars,
+        "lines": (raw["breaks"] + 1) / words,
     }
 
 
+def statistics(text: Column) -> dict[str, Column]:
+    """What rules may speak of: counts and shares over the whole text (null: empty)."""
+    return _ratios(_raw(text))
+
+
+def measured(docs: DataFrame, kept: list[Column], text: Column, prefix: str) -> DataFrame:
+    """``kept`` and, named with ``prefix``, the statistics that rules may speak of.
+
+    The counts come out of a one-row generator, through which no filter or projection passes:
+    otherwise a filter by the score would be pushed to the scan, with the expressions of the
+    counts in the place of each mention of them, and every rule would search the text again.
+    """
+    raw = F.struct(*(c.alias(f"{prefix}raw_{k}") for k, c in _raw(text).items()))
+    counted = docs.select(*kept, F.inline(F.array(raw)))
+    own = counted.columns[: len(kept)]
+    stats = _ratios({k: F.col(f"{prefix}raw_{k}") for k in _raw(text)})
+    return counted.select(*(F.col(f"`{k}`") for k in own), *(stats[k].alias(prefix + k) for k in NAMES))
+
+
 NAMES = ("words", "letters_a_word", "distinct", "again", "symbols", "bars", "capitals", "exclaimed", "stops", "digits", "lines")
 
 
@@ -189,16 +221,24 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         usable = usable.where(F.col("place") <= cut).orderBy("place", "doc_id", "quality").limit(sample)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).where("text IS NOT NULL")
     rows = own.join(F.broadcast(usable.select("doc_id", "quality")), "doc_id")  # bounded by sample
-    stats = statistics(F.col("text"))
-    got = rows.select("doc_id", "quality", *(stats[k].alias(k) for k in NAMES)).toPandas().sort_values(["doc_id", "quality", *NAMES])
-    return fit(got[list(NAMES)].to_numpy(np.float64), got["quality"].to_numpy(np.float64))
+    got = measured(rows, [F.col("doc_id"), F.col("quality")], F.col("text"), "stat_").toPandas()
+    names = [f"stat_{k}" for k in NAMES]
+    got = got.sort_values(["doc_id", "quality", *names])
+    return fit(got[names].to_numpy(np.float64), got["quality"].to_numpy(np.float64))
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """``docs`` with the column ``name``: the score of each whole text, 0 to 1, null and empty
-    texts too. Repeated rows stay repeated; all other columns are passed through."""
-    stats = statistics(F.col("text"))
-    prefix = "__stat_"
-    kept = [F.col(f"`{c}`") for c in docs.columns if c != name]
-    measured = docs.select(*kept, *(stats[k].alias(prefix + k) for k in NAMES))
-    return measured.select(*kept, model.column(prefix).alias(name))
+    texts too. Repeated rows stay repeated; all other columns are passed through, but one that
+    has this name already, in whatever case, is replaced."""
+    prefix = unused_prefix(docs.columns)
+    kept = [c for c in docs.columns if c.lower() != name.lower()]
+    found = measured(docs, [F.col(f"`{c}`") for c in kept], F.col("text"), prefix)
+    return found.select(*(F.col(f"`{c}`") for c in kept), model.column(prefix).alias(name))
+
+
+def keep_good(docs: DataFrame, model: Model, least: float = KEEP_AT) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is ``least`` or more."""
+    prefix = unused_prefix(docs.columns)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return measured(docs, own, F.col("text"), prefix).where(model.column(prefix) >= least).select(*own)

@@ -38,6 +38,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
+def unused_prefix(columns: list[str]) -> str:
+    """A prefix that none of ``columns`` begins with, in whatever case."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
