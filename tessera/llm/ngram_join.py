@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import by_size, shingle_sets, small_batches, stored
+from .shared import by_size, lean, shingle_sets, small_batches, stored
 
 WORDS = 5
 #: Hundredths of the union that the intersection must reach.
@@ -46,8 +46,10 @@ MOST_FREQUENT, LEAST_FREQUENT = 1 << 20, 6
 #: A set lists its first n // 4 + 1 n-grams and this share of it more, so that frequent ones needn't be probed.
 SLACK = 10
 _ALL = (1 << 63) - 1
-#: About so many sets of a family are multiplied with so many others at once.
-BLOCK = 192
+#: About so many sets of a family, of so many n-grams together, are multiplied with so many others at once.
+BLOCK, BLOCK_GRAMS = 192, 1 << 17
+#: Products of single n-grams that are spread out at once.
+SPREAD = 1 << 20
 #: N-grams counted at once in a worker.
 _COUNTED = 1 << 21
 #: Tables up to so many rows of one or two numbers are broadcast; larger ones are shuffled.
@@ -78,7 +80,7 @@ def frequent_grams(texts: DataFrame, words: int = WORDS) -> tuple[np.ndarray, np
         if held:
             yield rows()
 
-    counted = texts.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_FREQUENT)
+    counted = texts.mapInArrow(lean(count), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_FREQUENT)
     counted = stored(counted, "frequent")
     # how many n-grams have each count: the counts above some size are few
     level, room = None, MOST_FREQUENT
@@ -135,7 +137,9 @@ def class_table(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words:
             )
 
     schema = "doc_id long, n long, class long, rest long, rare array<long>, often array<long>, times array<long>, upto long"
-    return stored(docs.select("doc_id", "text").mapInArrow(rows, schema), "classes")
+    table = stored(docs.select("doc_id", "text").mapInArrow(lean(rows), schema), "classes")
+    shared.unpersist()
+    return table
 
 
 def _shared_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +183,7 @@ def class_sets(docs: DataFrame, carriers: DataFrame, n: int, words: int = WORDS)
     key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
     wanted = carriers.select(key.alias("key"), "class")
     texts = docs.withColumn("key", key).join(by_size(wanted.select("key").distinct(), n, BROADCAST_ROWS), "key", "left_semi").select("text")
-    made = texts.mapInArrow(rows, "class long, n long, grams binary")
+    made = texts.mapInArrow(lean(rows), "class long, n long, grams binary")
     return stored(made.join(by_size(carriers.select("class"), n, BROADCAST_ROWS), "class", "left_semi"), "sets")
 
 
@@ -231,7 +235,7 @@ def linked(docs: DataFrame, table: DataFrame, pairs: DataFrame) -> DataFrame:
     carriers = stored(table.where("n > 0").join(classes, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id")), "carriers")
     grams = class_sets(docs, carriers, carriers.count()).select("class", "grams")
     full = pairs.join(grams.toDF("u", "gu"), "u").join(grams.toDF("v", "gv"), "v").select("u", "v", "gu", "gv")
-    return stored(full.mapInArrow(rows, "u long, v long").distinct(), "links")
+    return stored(full.mapInArrow(lean(rows), "u long, v long").distinct(), "links")
 
 
 def _roots(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -248,16 +252,20 @@ def _product(grams_a: list[np.ndarray], grams_b: list[np.ndarray]) -> np.ndarray
     order = np.argsort(all_b, kind="stable")
     all_b, of_b = all_b[order], of_b[order]
     out = np.zeros((len(grams_a), len(grams_b)), np.int64)
-    for i in range(0, len(grams_a), 16):  # bounds the postings that are spread out at once
-        part = grams_a[i : i + 16]
-        g = np.concatenate([empty, *part])
-        of_a = np.repeat(np.arange(len(part)), [len(x) for x in part])
-        lo, hi = np.searchsorted(all_b, g, "left"), np.searchsorted(all_b, g, "right")
-        n = hi - lo
-        stop = np.cumsum(n)
-        at = np.arange(stop[-1] if len(stop) else 0) + np.repeat(lo - (stop - n), n)
-        flat = np.repeat(of_a * len(grams_b), n) + of_b[at]
-        out[i : i + len(part)] = np.bincount(flat, minlength=len(part) * len(grams_b)).reshape(len(part), -1)
+    g = np.concatenate([empty, *grams_a])
+    of_a = np.repeat(np.arange(len(grams_a)), [len(x) for x in grams_a])
+    lo = np.searchsorted(all_b, g, "left")
+    n = np.searchsorted(all_b, g, "right") - lo
+    met = np.flatnonzero(n)
+    lo, n, of_a = lo[met], n[met], of_a[met]
+    stop = np.cumsum(n)
+    i = 0
+    while i < len(n):  # a posting has a row for each set of the block at most
+        base = stop[i - 1] if i else 0
+        j = max(i + 1, int(np.searchsorted(stop, base + SPREAD, side="right")))
+        at = np.arange(stop[j - 1] - base) + np.repeat(lo[i:j] - (stop[i:j] - n[i:j] - base), n[i:j])
+        np.add.at(out.reshape(-1), np.repeat(of_a[i:j] * len(grams_b), n[i:j]) + of_b[at], 1)
+        i = j
     return out
 
 
@@ -268,12 +276,16 @@ def _block_pairs(rows: DataFrame) -> DataFrame:
     """Pairs of blocks (x, y: lists of rows) of each family that has several roots; the block
     x never belongs to the family's main root, so its largest component isn't multiplied with itself.
 
-    ``rows`` has family and the columns of a row. Blocks are cut by a hash of the class."""
-    parts = rows.groupBy("family", "root").agg(F.count("*").alias("c"))
-    main = parts.groupBy("family").agg(F.count("*").alias("k"), F.max_by("root", F.struct("c", "root")).alias("main"), F.max("c").alias("in_main"), F.sum("c").alias("c")).where("k > 1")
+    ``rows`` has family and the columns of a row. Blocks are cut by a hash of the class, so that
+    each holds about ``BLOCK`` sets and ``BLOCK_GRAMS`` n-grams at most (or one longer set)."""
+    parts = rows.groupBy("family", "root").agg(F.count("*").alias("c"), F.sum(F.size("grams")).alias("w"))
+    main = parts.groupBy("family").agg(
+        F.count("*").alias("k"), F.max_by("root", F.struct("c", "root")).alias("main"), F.max(F.struct("c", "root", "w")).alias("most"), F.sum("c").alias("c"), F.sum("w").alias("w")
+    ).where("k > 1")
     cut = rows.join(main, "family").withColumn("is_main", F.col("root") == F.col("main"))
-    size = F.when(F.col("is_main"), F.col("in_main")).otherwise(F.col("c") - F.col("in_main"))
-    cut = cut.withColumn("block", F.pmod(F.xxhash64("class"), F.ceil(size / F.lit(float(BLOCK))).cast("long")))
+    part = lambda k: F.when(F.col("is_main"), F.col(f"most.{k}")).otherwise(F.col(k) - F.col(f"most.{k}"))
+    blocks = F.greatest(F.ceil(part("c") / F.lit(float(BLOCK))), F.ceil(part("w") / F.lit(float(BLOCK_GRAMS))), F.lit(1))
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("class"), blocks.cast("long")))
     row = F.struct("class", "root", "n", "upto", "grams")
     blocks = stored(cut.groupBy("family", "is_main", "block").agg(F.collect_list(row).alias("rows")), "family-blocks")
     x = blocks.where("NOT is_main").select("family", F.col("block").alias("bx"), F.col("rows").alias("x"))
@@ -331,7 +343,7 @@ def class_components(docs: DataFrame, table: DataFrame) -> DataFrame:
     # frequent n-grams are known to be shared; they need no count and are never dealt by n-gram
     rare = filled.select(F.explode("rare").alias("gram"), "class").repartition("gram").sortWithinPartitions("gram", "class")
     often = filled.select(F.explode(F.arrays_zip("often", "times")).alias("x"), "class").select("x.often", "class", "x.times").distinct()
-    shared = stored(rare.mapInArrow(_shared_rows, "gram long, class long, times long").union(often), "shared")
+    shared = stored(rare.mapInArrow(lean(_shared_rows), "gram long, class long, times long").union(often), "shared")
     sizes = filled.groupBy("class").agg(F.min("n").alias("n"), F.min("upto").alias("upto"))
     # a set's probes: what its list lacks of n // 4 + 1 n-grams that no other set lists
     lists = shared.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("times", "gram"))).alias("grams"), F.avg("times").alias("central"))
@@ -358,11 +370,11 @@ def class_components(docs: DataFrame, table: DataFrame) -> DataFrame:
     placed = placed.withColumn("family", F.when(F.col("leads"), F.col("root")).otherwise(F.coalesce("family", "root")))
     placed = stored(placed.select("class", "root", "family"), "placed")
     rows = placed.join(own, "class").select("family", "class", "root", "n", "upto", F.transform("grams", lambda x: x["gram"]).alias("grams"))
-    plausible = stored(_block_pairs(rows).mapInArrow(_plausible, "class long").distinct(), "plausible")
+    plausible = stored(_block_pairs(rows).mapInArrow(lean(_plausible), "class long").distinct(), "plausible")
     carriers = stored(filled.join(plausible, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id")), "carriers")
     sets = class_sets(docs, carriers, carriers.count()).dropDuplicates(["class"])
-    full = placed.join(sets, "class").select("family", "class", "root", "n", "grams").mapInArrow(_as_grams, "family long, class long, root long, n long, grams array<long>")
-    inside = stored(_block_pairs(full.withColumn("upto", F.lit(0).cast("long"))).mapInArrow(_family_links, "u long, v long").distinct(), "links")
+    full = placed.join(sets, "class").select("family", "class", "root", "n", "grams").mapInArrow(lean(_as_grams), "family long, class long, root long, n long, grams array<long>")
+    inside = stored(_block_pairs(full.withColumn("upto", F.lit(0).cast("long"))).mapInArrow(lean(_family_links), "u long, v long").distinct(), "links")
     links = links.union(inside)
     # pairs of different families
     placed = _roots(nodes, links).join(placed.select("class", "family"), "class").join(own.select("class", "n", "upto"), "class")
@@ -398,10 +410,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     small_batches(docs.sparkSession)
     own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     table = class_table(own, frequent_grams(own.select("text")))
-    roots = class_components(own, table)
+    roots = stored(class_components(own, table), "roots")
+    roots = by_size(roots, roots.count(), BROADCAST_ROWS)
     placed = table.select("doc_id", "n", "class", "rest").join(roots, "class", "left")
     # the root of a class that no link reaches is the class itself, in full length
     placed = stored(placed.withColumn("r", F.coalesce("root", "class")).withColumn("q", F.when(F.col("root").isNull(), F.col("rest"))), "rooted")
-    least = placed.where("n > 0").groupBy("r", "q").agg(F.min("doc_id").alias("least"))
-    joined = placed.alias("p").join(least.alias("l"), (F.col("p.n") > 0) & (F.col("p.r") == F.col("l.r")) & F.col("p.q").eqNullSafe(F.col("l.q")), "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    # a class that stands alone needs no answer from others
+    least = placed.where("n > 0").groupBy("r", "q").agg(F.min("doc_id").alias("least"), F.count("*").alias("k")).where("k > 1").drop("k")
+    least = stored(least, "least")
+    found = by_size(least, least.count(), BROADCAST_ROWS).alias("l")
+    joined = placed.alias("p").join(found, (F.col("p.n") > 0) & (F.col("p.r") == F.col("l.r")) & F.col("p.q").eqNullSafe(F.col("l.q")), "left")
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))

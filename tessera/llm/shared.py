@@ -3,9 +3,10 @@ lineage, and batch-wise word hashing over Arrow buffers."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +67,22 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def lean(rows: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``rows`` for mapInArrow, after which the worker gives freed memory back to the system:
+    workers outlive their tasks, and several share an executor's memory with its JVM."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from rows(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def by_size(df: DataFrame, rows: int, most: int) -> DataFrame:
     """Hint a broadcast only if the counted ``rows`` stay within ``most``; else Spark shuffles."""
     return F.broadcast(df) if rows <= most else df
