@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import _SPACE, lowered, small_batches, span_hashes, stored, text_buffer, window_hashes, word_spans
+from .shared import _SPACE, lean, lowered, small_batches, span_hashes, stored, text_buffer, window_hashes, word_spans
 
 #: Words are counted by the hash bucket they fall in; a reference's common words are its fullest buckets.
 BUCKETS = 4096
@@ -91,7 +91,7 @@ def references(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataF
         yield rows()
 
     own = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text"))
-    counted = own.mapInArrow(count, "lang string, kind string, slot int, n long")
+    counted = own.mapInArrow(lean(count), "lang string, kind string, slot int, n long")
     return counted.groupBy("lang", "kind", "slot").agg(F.sum("n").alias("n"))
 
 
@@ -214,7 +214,7 @@ def judge(docs: DataFrame, refs: dict, doc_id: str = "doc_id", lang: str = "lang
             )
 
     own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text"))
-    return own.mapInArrow(rows, _OUT)
+    return own.mapInArrow(lean(rows), _OUT)
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import lean, small_batches
 from .token_files import vocabulary
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -125,4 +125,4 @@ def count_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vo
             )
 
     own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return own.mapInArrow(count, "doc_id long, n_words long, n_tokens long, n_unknown long")
+    return own.mapInArrow(lean(count), "doc_id long, n_words long, n_tokens long, n_unknown long")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, small_batches, stored
+from .shared import fresh_path, lean, small_batches, stored
 
 A = re.ASCII
 #: Base kinds in order: pattern, group whose length counts, least length.
@@ -112,7 +112,7 @@ def scan_new(versions: DataFrame, ledger: str, path: str = "path", text: str = "
     n = carriers.count()
     if n:
         texts = own.join(carriers, ["at", "blob"], "left_semi").select("blob", "text")
-        found = texts.mapInArrow(_scan, LEDGER)
+        found = texts.mapInArrow(lean(_scan), LEDGER)
         # rows that repeat both path and blob were scanned alike; keep one
         found.dropDuplicates(["blob", "rule_version"]).write.mode("append").parquet(ledger)
     return n

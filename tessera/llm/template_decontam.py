@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import _K1, by_size, lowered, mix, slices, small_batches, span_hashes, stored, text_buffer, window_hashes, word_spans
+from .shared import _K1, by_size, lean, lowered, mix, slices, small_batches, span_hashes, stored, text_buffer, window_hashes, word_spans
 
 WINDOW = 8
 #: Items of fewer words than a window are matched whole; below this many words only verbatim.
@@ -181,7 +181,7 @@ def windows(texts: DataFrame, sizes: list[int], whole: bool, wanted: np.ndarray
                     of = np.flatnonzero(fits & opening[at] & (literals > LITERALS))
                     yield from emit(size, of, _named_hashes(tokens, of, size), False, True)
 
-    return texts.select("id", "digest", "text").mapInArrow(rows, _ROWS)
+    return texts.select("id", "digest", "text").mapInArrow(lean(rows), _ROWS)
 
 
 def _identified(df: DataFrame, key: str, text: str) -> DataFrame:

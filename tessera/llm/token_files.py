@@ -28,15 +28,17 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import by_size, fresh_path, slices, small_batches, span_hashes, stored, text_buffer
+from .shared import by_size, fresh_path, lean, slices, small_batches, span_hashes, stored, text_buffer
 
 MAGIC = b"WVM1"
 #: Bits of a plane in one compressed block.
 BLOCK = 1 << 18
+#: Bits whose ones are counted together in an open block.
+CHUNK = 512
 #: A shard file is closed at this many tokens (and holds one document at least).
 SHARD_TOKENS = 1 << 21
-#: Distinct pieces of text whose ids a worker remembers.
-MEMO = 2_000_000
+#: Bytes in which a worker remembers the ids of distinct pieces of text; beyond them it forgets all and learns anew.
+MEMO_BYTES = 32 << 20
 #: Pieces that are encoded as one string.
 LINES = 256
 #: Bytes of text encoded at once.
@@ -107,22 +109,30 @@ class WaveletMatrix:
         self._zeros = np.frombuffer(self._raw("zeros"), np.int64)
         self._ranks = np.frombuffer(self._raw("ranks"), np.int64).reshape(self.planes, -1) if self.planes else np.zeros((0, 0), np.int64)
         self._code = {int(t): i for i, t in enumerate(self.alphabet)}
-        self._block = lru_cache(64)(self._bits)
+        self._block = lru_cache(64)(self._opened)
 
     def _raw(self, name: str, i: int = 0) -> bytes:
         at, n = self._sections[name][i]
         return self._unpack.decompress(self._content[self._base + at : self._base + at + n])
 
-    def _bits(self, level: int, block: int) -> np.ndarray:
-        raw = np.frombuffer(self._raw(f"plane{self.planes - 1 - level}", block), np.uint8)
-        return np.unpackbits(raw, bitorder="little")[: self.tokens - block * BLOCK]
+    def _packed(self, level: int, block: int) -> np.ndarray:
+        return np.frombuffer(self._raw(f"plane{self.planes - 1 - level}", block), np.uint8)
+
+    def _opened(self, level: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of a block, and the ones before each of its chunks."""
+        packed = self._packed(level, block)
+        packed = np.pad(packed, (0, -len(packed) % (CHUNK // 8)))
+        return packed, np.concatenate(([0], np.bitwise_count(packed).reshape(-1, CHUNK // 8).sum(axis=1, dtype=np.int64).cumsum()))
 
     def _ones(self, level: int, i: int) -> int:
         """Ones before position ``i`` of a plane."""
         block, rest = divmod(i, BLOCK)
         if not rest:
             return int(self._ranks[level][block]) if i < self.tokens else self.tokens - int(self._zeros[level])
-        return int(self._ranks[level][block]) + int(self._block(level, block)[:rest].sum())
+        packed, sums = self._block(level, block)
+        chunk, byte = rest // CHUNK, rest // 8
+        ones = int(self._ranks[level][block]) + int(sums[chunk]) + int(np.bitwise_count(packed[chunk * CHUNK // 8 : byte]).sum())
+        return ones + (int(packed[byte]) & ((1 << rest % 8) - 1)).bit_count() if rest % 8 else ones
 
     def access(self, i: int) -> int:
         """The token at position ``i``."""
@@ -130,7 +140,7 @@ class WaveletMatrix:
             raise IndexError(i)
         code = 0
         for level in range(self.planes):
-            bit = int(self._block(level, i // BLOCK)[i % BLOCK])
+            bit = int(self._block(level, i // BLOCK)[0][i % BLOCK // 8]) >> i % 8 & 1
             ones = self._ones(level, i)
             i = int(self._zeros[level]) + ones if bit else i - ones
             code = code << 1 | bit
@@ -164,8 +174,12 @@ class WaveletMatrix:
             want = i - int(self._zeros[level]) if bit else i
             ranks = self._ranks[level] if bit else np.arange(len(self._ranks[level])) * BLOCK - self._ranks[level]
             block = int(np.searchsorted(ranks, want, side="right")) - 1
-            inside = np.flatnonzero(self._block(level, block) == bit)
-            i = block * BLOCK + int(inside[want - int(ranks[block])])
+            packed, sums = self._block(level, block)
+            want -= int(ranks[block])
+            sums = sums if bit else np.arange(len(sums)) * CHUNK - sums
+            chunk = int(np.searchsorted(sums, want, side="right")) - 1
+            bits = np.unpackbits(packed[chunk * CHUNK // 8 : (chunk + 1) * CHUNK // 8], bitorder="little")
+            i = block * BLOCK + chunk * CHUNK + int(np.flatnonzero(bits == bit)[want - int(sums[chunk])])
         return i
 
     def to_array(self) -> np.ndarray:
@@ -174,7 +188,7 @@ class WaveletMatrix:
         codes = np.zeros(self.tokens, kind)
         blocks = range(-(-self.tokens // BLOCK))
         for level in range(self.planes - 1, -1, -1):
-            bits = np.concatenate([self._bits(level, b) for b in blocks])
+            bits = np.unpackbits(np.concatenate([self._packed(level, b) for b in blocks]), bitorder="little")[: self.tokens]
             zeros = int(self._zeros[level])
             before = np.empty_like(codes)
             bits = bits.view(bool)
@@ -232,15 +246,29 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self._keys, self._places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self._many, self._late = none, none  # keys in order, and their places; late ones join the many from time to time
         self._flat, self._ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """Places of sorted ``keys``; 0 for those not known."""
-        if not len(self._keys):
-            return np.zeros(len(keys), np.int64)
-        at = np.minimum(np.searchsorted(self._keys, keys), len(self._keys) - 1)
-        return np.where(self._keys[at] == keys, self._places[at], 0)
+        out = np.zeros(len(keys), np.int64)
+        for known, places in (self._many, self._late):
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = known[at] == keys
+                out[hit] = places[at[hit]]
+        return out
+
+    def _remember(self, keys: np.ndarray, places: np.ndarray) -> None:
+        def joined(a, b):
+            keys, places = (np.concatenate(x) for x in zip(a, b, strict=True))
+            order = np.argsort(keys, kind="stable")
+            return keys[order], places[order]
+
+        self._late = joined(self._late, (keys, places))
+        if 4 * len(self._late[0]) > len(self._many[0]):
+            self._many, self._late = joined(self._many, self._late), (keys[:0], places[:0])
 
     def _learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         """Ids of pieces not seen before. Pieces without other blanks are encoded many to a
@@ -273,14 +301,11 @@ class Encoder:
             flat += own
         places = np.arange(len(keys)) + len(self._ends)
         self._flat, self._ends = np.concatenate((self._flat, *flat)), np.concatenate((self._ends, *stops))
-        keys = np.concatenate((self._keys, keys[order]))
-        places = np.concatenate((self._places, places))
-        by_key = np.argsort(keys, kind="stable")
-        self._keys, self._places = keys[by_key], places[by_key]
+        self._remember(keys[order], places)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a buffer, and the number of each."""
-        if len(self._keys) > MEMO:
+        if sum(x.nbytes for x in (*self._many, *self._late, self._flat, self._ends)) > MEMO_BYTES:
             self._forget()
         cut = np.zeros(len(data), bool)
         if self._cuts and len(data) > 1:
@@ -320,16 +345,20 @@ def _open(uri: str):
 
 
 def _save(folder: str, name: str, content: bytes) -> None:
-    """Put a file in place whole: written aside, then renamed. A repeated task writes the same."""
+    """Put a file in place whole: written aside, then renamed. A repeated task writes the same, so
+    the file that another attempt has put there stays."""
     from pyarrow import fs
 
     store, base = _open(folder)
     store.create_dir(base)
+    there = store.get_file_info(f"{base}/{name}")
+    if there.type == fs.FileType.File and there.size == len(content):
+        with store.open_input_stream(f"{base}/{name}") as old:
+            if old.read() == content:
+                return
     aside = f"{base}/.{uuid.uuid4().hex}"
     with store.open_output_stream(aside) as out:
         out.write(content)
-    if store.get_file_info(f"{base}/{name}").type != fs.FileType.NotFound:
-        store.delete_file(f"{base}/{name}")
     store.move(aside, f"{base}/{name}")
 
 
@@ -378,7 +407,7 @@ def write_files(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str
             yield close()
 
     own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return stored(own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, _MANIFEST), "manifest")
+    return stored(own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(lean(write), _MANIFEST), "manifest")
 
 
 _DECODED = "file string, place long, doc_id long, before long, n_tokens long, ids_crc32 long"
@@ -421,7 +450,7 @@ def read_files(manifest: DataFrame, folder: str) -> DataFrame:
     if not bases:
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wm").load(folder).select("path", "content")
-    decoded = files.mapInArrow(_decode, _DECODED)
+    decoded = files.mapInArrow(lean(_decode), _DECODED)
     return decoded.join(by_size(offsets, manifest.count(), BROADCAST_SHARDS), "file").select(
         "doc_id", (F.col("offset") + F.col("before")).alias("start"), "n_tokens", "ids_crc32"
     )
