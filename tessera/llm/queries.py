@@ -54,8 +54,10 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_repeat_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of every document without repeated strings; see :mod:`.repeat_spans`."""
-    return repeat_spans.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """What is left of every document without repeated strings, as digests and as text (bytes of
+    a character that a cut parts come out as U+FFFD); see :mod:`.repeat_spans`."""
+    left = repeat_spans.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=True)
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"))
 
 
 def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,20 +1,23 @@
 """Repeated byte strings by a depth-limited radix sort of suffixes.
 
-A suffix matters only through its first ``length`` bytes: its window. Windows are sorted most
-significant digit first, each digit a fingerprint that equal windows share, and a group of one
-is finished as unique at whatever digit it becomes single:
-
-1. The first digit of a window is its anchor: the least hash among its 32-byte grams (the
-   leftmost of equals). Neighbouring windows share an anchor, so a run of them is one row.
-2. The second digit is a run's whole extent. Runs that agree in all of it repeat in full.
-3. Runs that agree in the anchor alone are cut into blocks of 16 windows at the same distance
-   from the anchor. A block whose common part is single is unique; a block whose whole extent
-   is not single repeats in full. One run of each finished group stays among them.
-4. What is left is sorted by the windows themselves. Groups of two or more are the repeats.
-
-Each pass is a count by fingerprint, summed on the map side, so a passage that a third of all
-documents hold is one row a task; rows are matched to counts by a join that Spark may split.
-Bytes in any repeated window are removed.
+A suffix matters only through its first ``LENGTH`` bytes: its window. Windows are sorted by
+most-significant-digit passes over their leading bytes: by bytes 0 to 31, then to 127, to 255 and
+to 399. After each pass only windows stay whose group has two or more; the groups of the last
+pass are exactly the repeated windows, and every byte of them is removed.
+
+One row for each byte of the corpus would be many times the corpus, so ranges of windows are
+settled before the passes wherever that is possible without a row for each:
+
+1. Neighbouring windows with the same anchor (the least hash among their 32-byte grams, the
+   leftmost of equals) form a run, one row. A run whose anchor gram occurs once is unique.
+2. Runs that agree in anchor gram and whole extent repeat in full.
+3. Other runs are cut into blocks of 16 windows at the same distance from the anchor. A block
+   whose common part occurs once is unique; blocks that agree in their whole extent repeat in
+   full. One run or block of each settled group stays, so that open ones can meet it.
+
+Only windows of open blocks go through the passes. Each count is by fingerprint, summed on the
+map side, so a passage that a third of all documents hold is one row a task; rows are matched to
+counts by a join that Spark may split. Bytes are removed only where two 64-bit fingerprints agree.
 """
 
 from __future__ import annotations
@@ -27,19 +30,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import S29, by_size, mix, slices, small_batches, stored, text_buffer
+from .shared import S29, by_size, lean, mix, slices, small_batches, stored, text_buffer
 
 LENGTH, GRAM, BLOCK = 400, 32, 16
 #: Bytes that are hashed at once; documents beyond it are taken in pieces.
 PIECE = 1 << 20
 BROADCAST_ROWS = 1_000_000
+#: Leading bytes that each pass sorts by; the last one is all of a window.
+DEPTHS = (32, 128, 256, 400)
+#: Spans of so many starts of a document are merged before all spans of it come together.
+MERGED = 1 << 14
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 _STEP = [mix(np.array([k + 1000], np.uint64))[0] | np.uint64(1) for k in range(8)]
 _PLACE = np.uint64((1 << 24) - 1)
 
 
 def _hashes(data: np.ndarray, span: int) -> dict[int, np.ndarray]:
-    """Hashes of all strings of 32 and of ``span`` (a power of two up to 256) bytes."""
+    """Hashes of all strings of 32, 128 and ``span`` (a power of two up to 256) bytes."""
     h, out, n = _BYTE[data], {}, 1
     for k in range(8):
         if n == span or len(h) <= n:
@@ -47,7 +54,7 @@ def _hashes(data: np.ndarray, span: int) -> dict[int, np.ndarray]:
         h = h[:-n] * _STEP[k] + h[n:]
         h ^= h >> S29
         n *= 2
-        if n in (GRAM, span):
+        if n in (GRAM, 128, span):
             out[n] = h
     return out
 
@@ -142,25 +149,32 @@ def runs(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "digest", "p1", "p2", "a", "gram", "whole"],
                 )
 
-    return docs.select("doc_id", "digest", "text").mapInArrow(rows, _RUNS)
+    return docs.select("doc_id", "digest", "text").mapInArrow(lean(rows), _RUNS)
 
 
-def _print_at(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Fingerprints of strings of one length anywhere in a text, hashed piece by piece."""
-    out = np.zeros(len(starts), np.uint64)
+def _prints_at(data: np.ndarray, starts: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:
+    """Fingerprints of the strings of these lengths at ``starts``, hashed piece by piece."""
+    out = [np.zeros(len(starts), np.uint64) for _ in lengths]
     order = np.argsort(starts, kind="stable")
     s, at = starts[order], 0
     while at < len(s):
         base = s[at]
         end = int(np.searchsorted(s, base + PIECE, side="right"))
-        h = _hashes(data[base : s[end - 1] + length], 256)[256]
-        out[order[at:end]] = _print(h, s[at:end] - base, np.full(end - at, length))
+        h = _hashes(data[base : s[end - 1] + max(lengths)], 256)
+        for o, n in zip(out, lengths, strict=True):
+            own = s[at:end] - base
+            o[order[at:end]] = mix(h[n][own]) if n in h else _print(h[256], own, np.full(end - at, n))
         at = end
     return out
 
 
+def _print_at(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    return _prints_at(data, starts, (length,))[0]
+
+
 _BLOCKS = "doc_id long, digest long, lo int, hi int, part long, extent long"
-_WINDOWS = "doc_id long, digest long, p int, window long"
+_DIGITS = [f"to_{d}" for d in DEPTHS]
+_WINDOWS = "doc_id long, digest long, p int, " + ", ".join(f"{d} long" for d in _DIGITS)
 
 
 def _block_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +204,7 @@ def _block_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _window_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, digest, text, blocks) to single windows."""
+    """(doc_id, digest, text, blocks) to single windows and the fingerprints of their leading bytes."""
     for batch in batches:
         data, offsets = text_buffer(batch.column(2))
         for i in range(batch.num_rows):
@@ -200,15 +214,22 @@ def _window_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             p = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
             take = pa.array(np.full(len(p), i))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(p.astype(np.int32)), pa.array(_print_at(text, p, LENGTH).view(np.int64))],
-                names=["doc_id", "digest", "p", "window"],
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array(p.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in _prints_at(text, p, DEPTHS))],
+                names=["doc_id", "digest", "p", *_DIGITS],
             )
 
 
-def _repeated(df: DataFrame, column: str) -> tuple[DataFrame, int]:
-    """Values of ``column`` that two or more rows have, and how many there are."""
-    found = stored(df.where(F.col(column).isNotNull()).groupBy(column).count().where("count > 1").select(column), f"repeated-{column}")
-    return found, found.count()
+def _repeated(df: DataFrame, *columns: str) -> DataFrame:
+    """Values of ``columns`` that two or more rows have, to be joined by these columns."""
+    found = df.where(F.col(columns[-1]).isNotNull()).groupBy(*columns).count().where("count > 1").select(*columns)
+    found = stored(found, f"repeated-{columns[-1]}")
+    return by_size(found, found.count(), BROADCAST_ROWS)
+
+
+def _witnesses(settled: DataFrame, opened: DataFrame, group: str, key: str) -> DataFrame:
+    """One row of each ``key`` of the ``settled`` rows, where open rows have the same ``group``."""
+    groups = stored(opened.select(group).distinct(), f"open-{group}")
+    return settled.dropDuplicates([group, key]).join(by_size(groups, groups.count(), BROADCAST_ROWS), group, "left_semi")
 
 
 _KEY = ["doc_id", "digest"]
@@ -228,28 +249,27 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, digest, spans (start, end) of all repeated windows of ``docs`` (doc_id not null,
     digest, text), one row for each row of a decided run, block or window."""
     all_runs = stored(runs(docs), "runs")
-    grams, n = _repeated(all_runs, "gram")
-    some = stored(all_runs.join(by_size(grams, n, BROADCAST_ROWS), "gram"), "anchored")
-    wholes, n = _repeated(some, "whole")
-    wholes = by_size(wholes, n, BROADCAST_ROWS)
-    full = some.join(wholes, "whole", "left_semi").select(*_KEY, F.col("p1").alias("lo"), F.col("p2").alias("hi"))
-    open_runs = some.join(wholes, "whole", "left_anti")
-    # one of each finished group stays, so that open runs of the same anchor can meet it
-    witness = some.join(wholes, "whole", "left_semi").join(open_runs.select("gram").distinct(), "gram", "left_semi").dropDuplicates(["whole"])
-    open_runs = open_runs.select(*_KEY, "p1", "p2", "a").union(witness.select(*_KEY, "p1", "p2", "a"))
+    some = stored(all_runs.join(_repeated(all_runs, "gram"), "gram", "left_semi"), "anchored")
+    same = ["gram", "whole"]
+    wholes = _repeated(some, *same)
+    settled, open_runs = some.join(wholes, same, "left_semi"), some.join(wholes, same, "left_anti")
+    full = settled.select(*_KEY, F.col("p1").alias("lo"), F.col("p2").alias("hi"))
+    own = [*_KEY, "p1", "p2", "a"]
+    open_runs = open_runs.select(*own).union(_witnesses(settled, open_runs, "gram", "whole").select(*own))
     texts = stored(_with_text(docs, open_runs, "p1", "p2", "a"), "texts")
-    blocks = stored(texts.mapInArrow(_block_rows, _BLOCKS), "blocks")
-    parts, n = _repeated(blocks, "part")
-    alive = stored(blocks.join(by_size(parts, n, BROADCAST_ROWS), "part", "left_semi"), "alive")
-    extents, n = _repeated(alive, "extent")
-    extents = by_size(extents, n, BROADCAST_ROWS)
-    whole_blocks = alive.join(extents, "extent", "left_semi").select(*_KEY, "lo", "hi")
-    open_blocks = alive.join(extents, "extent", "left_anti")
-    witness = alive.join(extents, "extent", "left_semi").join(open_blocks.select("part").distinct(), "part", "left_semi").dropDuplicates(["extent"])
-    open_blocks = open_blocks.select(*_KEY, "lo", "hi").union(witness.select(*_KEY, "lo", "hi"))
-    windows = stored(_with_text(texts.select(*_KEY, "text"), open_blocks, "lo", "hi").mapInArrow(_window_rows, _WINDOWS), "windows")
-    same, n = _repeated(windows, "window")
-    single = windows.join(by_size(same, n, BROADCAST_ROWS), "window", "left_semi").select(*_KEY, F.col("p").alias("lo"), F.col("p").alias("hi"))
+    blocks = stored(texts.mapInArrow(lean(_block_rows), _BLOCKS), "blocks")
+    alive = stored(blocks.join(_repeated(blocks, "part"), "part", "left_semi"), "alive")
+    same = ["part", "extent"]
+    extents = _repeated(alive, *same)
+    settled, open_blocks = alive.join(extents, same, "left_semi"), alive.join(extents, same, "left_anti")
+    whole_blocks = settled.select(*_KEY, "lo", "hi")
+    own = [*_KEY, "lo", "hi"]
+    open_blocks = open_blocks.select(*own).union(_witnesses(settled, open_blocks, "part", "extent").select(*own))
+    windows = stored(_with_text(texts.select(*_KEY, "text"), open_blocks, "lo", "hi").mapInArrow(lean(_window_rows), _WINDOWS), "windows")
+    for k in range(len(_DIGITS)):  # most significant digit first; a group is known by all bytes so far
+        group = _DIGITS[max(0, k - 1) : k + 1]
+        windows = windows.join(_repeated(windows, *group), group, "left_semi")
+    single = windows.select(*_KEY, F.col("p").alias("lo"), F.col("p").alias("hi"))
     return full.union(whole_blocks).union(single).select(*_KEY, F.col("lo").alias("start"), (F.col("hi") + LENGTH).alias("end"))
 
 
@@ -264,6 +284,15 @@ def merged(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
+def _merged_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, digest, spans) to (doc_id, digest, start, end) of the maximal spans of each list."""
+    for batch in batches:
+        lists = [merged([s["start"] for s in own], [s["end"] for s in own]) for own in batch.column(2).to_pylist()]
+        take = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]))
+        flat = np.array([s for x in lists for s in x], np.int32).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["doc_id", "digest", "start", "end"])
+
+
 def _kept_rows(with_text: bool):
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -302,7 +331,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("given"), F.xxhash64(text_, F.col(f"`{doc_id}`")).alias("digest"), text_.alias("text"))
     own = own.withColumn("doc_id", F.coalesce("given", F.lit(0)))
     spans = repeated_spans(own.select("doc_id", "digest", "text"))
-    lists = spans.groupBy(*_KEY).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    # first the spans of a part of a document, a bounded number, then the few that are left of each part
+    listed = F.collect_set(F.struct("start", "end")).alias("spans")
+    parts = spans.groupBy(*_KEY, F.floor(F.col("start") / MERGED).alias("part")).agg(listed).select(*_KEY, "spans")
+    parts = parts.mapInArrow(lean(_merged_rows), "doc_id long, digest long, start int, end int")
+    lists = parts.groupBy(*_KEY).agg(listed)
     whole = own.join(lists, _KEY, "left").select(F.col("given").alias("doc_id"), "text", "spans")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return whole.mapInArrow(_kept_rows(with_text), schema)
+    return whole.mapInArrow(lean(_kept_rows(with_text)), schema)
