@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from .shared import _SPACE, lean, lowered, small_batches, span_hashes, stored, text_buffer, window_hashes, word_spans
 
-#: Words are counted by the hash bucket they fall in; a reference's common words are its fullest buckets.
-BUCKETS = 4096
+#: A reference's common words: so many of its most frequent ones, lower-cased in A-Z, without marks around them.
 COMMON = 64
+#: Words counted at once in a worker.
+COUNTED = 1 << 20
 MOST_CHAR_DISTANCE, MOST_WORD_DISTANCE = 0.28, 0.50
 #: Least letters and words for a document to be judged by the histogram of them.
 LEAST_CHARS, LEAST_WORDS = 100, 40
@@ -46,7 +47,7 @@ CLASSES = 8
 
 
 def _histograms(column: pa.Array):
-    """Per text: class counts; per word: its bucket; word spans and hashes as they are written."""
+    """Per text: class counts; per word: a 64-bit hash of it without marks, small; word spans and hashes as they are written."""
     data, offsets = text_buffer(column)
     starts, ends, first = word_spans(data, offsets)
     hashes = span_hashes(data, starts, ends)
@@ -59,64 +60,71 @@ def _histograms(column: pa.Array):
     for _ in range(3):  # marks around a word don't belong to it
         a += (b - a > 1) & _EDGE[data[np.minimum(a, len(data) - 1)]] if len(data) else 0
         b -= (b - a > 1) & _EDGE[data[b - 1]] if len(data) else 0
-    buckets = (span_hashes(lowered(data), a, b) % np.uint64(BUCKETS)).astype(np.int64)
-    return data, offsets, starts, ends, first, hashes, classes, buckets
+    return data, offsets, starts, ends, first, hashes, classes, span_hashes(lowered(data), a, b)
 
 
 def references(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
-    """lang, kind (``char`` or ``word``), slot, n: class counts, and counts of word buckets,
-    of each language, over all documents. Rows without a language belong to none."""
+    """lang, kind (``char`` or ``word``), slot, n: counts of character classes, and of words (slot:
+    a hash), of each language, over all documents. Rows without a language belong to none."""
     small_batches(docs.sparkSession)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chars: dict[str, np.ndarray] = {}
-        words: dict[str, np.ndarray] = {}
+        held: list[tuple[str, np.ndarray, np.ndarray]] = []
+        n_held = 0
 
         def rows():
-            out = [(g, k, i, int(n)) for k, x in (("char", chars), ("word", words)) for g, c in x.items() for i, n in enumerate(c) if n]
-            chars.clear()
-            words.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.int64()))], names=["lang", "kind", "slot", "n"])
+            of: dict[str, list] = {}
+            for g, c, w in held:
+                of.setdefault(g, []).append((c, w))
+            for g, parts in of.items():
+                classes = np.sum([c for c, _ in parts], axis=0)
+                words, n = np.unique(np.concatenate([w for _, w in parts]), return_counts=True)
+                kinds = np.repeat(["char", "word"], [CLASSES, len(words)])
+                slots = np.concatenate((np.arange(CLASSES), words.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([g] * len(slots)), pa.array(kinds), pa.array(slots), pa.array(np.concatenate((classes, n)))], names=["lang", "kind", "slot", "n"])
 
         for batch in batches:
-            *_, first, _, classes, buckets = _histograms(batch.column(1))
+            *_, first, _, classes, words = _histograms(batch.column(1))
             langs = batch.column(0).to_pylist()
             n = np.diff(first)
             for g in set(langs) - {None}:
                 own = np.array([x == g for x in langs])
-                chars[g] = chars.get(g, 0) + classes[own].sum(axis=0)
-                words[g] = words.get(g, 0) + np.bincount(buckets[np.repeat(own, n)], minlength=BUCKETS)
-            if len(words) > 500:  # what a worker holds stays bounded
-                yield rows()
-        yield rows()
+                held.append((g, classes[own].sum(axis=0), words[np.repeat(own, n)]))
+                n_held += len(held[-1][2]) + CLASSES
+            if n_held >= COUNTED:
+                yield from rows()
+                held, n_held = [], 0
+        yield from rows()
 
     own = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text"))
-    counted = own.mapInArrow(lean(count), "lang string, kind string, slot int, n long")
-    return counted.groupBy("lang", "kind", "slot").agg(F.sum("n").alias("n"))
+    counted = own.mapInArrow(lean(count), "lang string, kind string, slot long, n long")
+    return counted.groupBy("lang", "kind", "slot").agg(F.sum("n").alias("n")).where("n > 0")
 
 
-def collect_references(refs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """language: class shares, column of each word bucket, shares of the common buckets and the
-    rest. What comes to the driver is 8 + 64 numbers for each language that has enough words."""
+def collect_references(refs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """language: class shares, hashes of its common words in order, the place of each in the
+    histogram, and the shares of the common words and the rest. What comes to the driver is 8 and
+    64 numbers for each language that has enough words."""
     refs = stored(refs, "references")
-    words = refs.where("kind = 'word'")
-    total = words.groupBy("lang").agg(F.sum("n").alias("total")).where(F.col("total") >= LEAST_REFERENCE)
+    total = refs.where("kind = 'word'").groupBy("lang").agg(F.sum("n").alias("total")).where(F.col("total") >= LEAST_REFERENCE)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "slot"))
-    top = words.withColumn("k", rank).where(F.col("k") <= COMMON)
+    top = refs.where("kind = 'word'").join(total, "lang").withColumn("k", rank).where(F.col("k") <= COMMON)
     out = {}
-    for r in total.collect():
-        out[r.lang] = [np.zeros(CLASSES), np.full(BUCKETS, COMMON, np.int64), np.zeros(COMMON + 1), r.total]
-    for r in top.collect():
-        if r.lang in out:
-            out[r.lang][1][r.slot] = r.k - 1
-            out[r.lang][2][r.k - 1] = r.n / out[r.lang][3]
-    for r in refs.where("kind = 'char'").collect():
-        if r.lang in out:
-            out[r.lang][0][r.slot] = r.n
-    for x in out.values():
-        x[0] /= max(x[0].sum(), 1)
-        x[2][COMMON] = max(0.0, 1 - x[2][:COMMON].sum())
-    return {g: tuple(x[:3]) for g, x in sorted(out.items())}
+    for r in top.orderBy("lang", "k").collect():
+        _, words, shares = out.setdefault(r.lang, (np.zeros(CLASSES), [], []))
+        words.append(r.slot)
+        shares.append(r.n / r.total)
+    for r in refs.where("kind = 'char'").join(total, "lang").collect():
+        out[r.lang][0][r.slot] = r.n
+    done = {}
+    for g, (chars, words, shares) in sorted(out.items()):
+        hashes = np.array(words, np.int64).view(np.uint64)
+        order = np.argsort(hashes)
+        common = np.zeros(COMMON + 1)
+        common[: len(shares)] = shares
+        common[COMMON] = max(0.0, 1 - sum(shares))
+        done[g] = (chars / max(chars.sum(), 1), hashes[order], order, common)
+    return done
 
 
 def js_distance(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
@@ -163,15 +171,17 @@ def judge(docs: DataFrame, refs: dict, doc_id: str = "doc_id", lang: str = "lang
     """
     small_batches(docs.sparkSession)
 
-    def distances(g, classes, buckets, doc_of_word, n, n_chars):
-        shares, column, common = refs[g]
+    def distances(g, classes, words, doc_of_word, n, n_chars):
+        shares, known, place, common = refs[g]
+        at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+        column = np.where(known[at] == words, place[at], COMMON)
         chars = np.where(n_chars >= LEAST_CHARS, js_distance(classes, shares), 0)
-        hist = np.bincount(doc_of_word * (COMMON + 1) + column[buckets], minlength=len(n) * (COMMON + 1)).reshape(len(n), COMMON + 1)
+        hist = np.bincount(doc_of_word * (COMMON + 1) + column, minlength=len(n) * (COMMON + 1)).reshape(len(n), COMMON + 1)
         return chars, np.where(n >= LEAST_WORDS, js_distance(hist, common), 0)
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets, starts, ends, first, hashes, classes, buckets = _histograms(batch.column(2))
+            data, offsets, starts, ends, first, hashes, classes, words = _histograms(batch.column(2))
             raw, n = data.tobytes(), np.diff(first)
             docs_n = len(n)
             prefix = lambda x: np.concatenate(([0], np.cumsum(x, dtype=np.int64)))
@@ -191,7 +201,7 @@ def judge(docs: DataFrame, refs: dict, doc_id: str = "doc_id", lang: str = "lang
                 pick[rows] = True
                 of = pick[doc_of_word]
                 place = np.cumsum(pick) - 1
-                c, w = distances(g, classes[rows], buckets[of], place[doc_of_word[of]], n[rows], n_chars[rows])
+                c, w = distances(g, classes[rows], words[of], place[doc_of_word[of]], n[rows], n_chars[rows])
                 ok = (c <= MOST_CHAR_DISTANCE) & (w <= MOST_WORD_DISTANCE)
                 nearer = ok | (np.maximum(c, w) < np.maximum(char[rows], word[rows]))
                 char[rows], word[rows] = np.where(nearer, c, char[rows]), np.where(nearer, w, word[rows])
