@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, lean, small_batches, stored
+from .shared import by_size, fresh_path, lean, small_batches, stored
 
 A = re.ASCII
 #: Base kinds in order: pattern, group whose length counts, least length.
@@ -80,6 +80,10 @@ def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+#: Blobs with findings, up to so many, are broadcast to the paths.
+BROADCAST_HITS = 100_000
+
+
 def blob_of(text: str = "text"):
     return F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"), 256)
 
@@ -118,13 +122,18 @@ def scan_new(versions: DataFrame, ledger: str, path: str = "path", text: str = "
     return n
 
 
-def findings(versions: DataFrame, ledger: str, path: str = "path", text: str = "text") -> DataFrame:
-    """Every row's path with its blob and the blob's findings under the present rules."""
-    spark = versions.sparkSession
-    known = read_ledger(spark, ledger).where(F.col("rule_version") == RULE_VERSION)
-    return versions.select(F.col(f"`{path}`").alias("path"), blob_of(text).alias("blob")).join(
-        known.dropDuplicates(["blob"]), "blob", "left"
-    )
+def findings(versions: DataFrame, ledger: str, path: str = "path", text: str = "text", scanned: bool = False) -> DataFrame:
+    """Every row's path with its blob and the blob's findings under the present rules; null for a
+    blob that the ledger doesn't have. ``scanned`` says that it has all of them: then only the
+    blobs that hold something are joined, which are few, and the others get empty lists."""
+    known = read_ledger(versions.sparkSession, ledger).where(F.col("rule_version") == RULE_VERSION)
+    own = versions.select(F.col(f"`{path}`").alias("path"), blob_of(text).alias("blob"))
+    if not scanned:
+        return own.join(known.dropDuplicates(["blob"]), "blob", "left")
+    hits = stored(known.where(F.size("kinds") > 0).dropDuplicates(["blob"]).drop("rule_version"), "hits")
+    joined = own.join(by_size(hits, hits.count(), BROADCAST_HITS), "blob", "left")
+    lists = (F.coalesce(c, F.array().cast(hits.schema[c].dataType)).alias(c) for c in ("kinds", "starts", "ends"))
+    return joined.select("blob", "path", F.lit(RULE_VERSION).alias("rule_version"), *lists)
 
 
 def scan(versions: DataFrame, ledger: str | None = None, path: str = "path", text: str = "text") -> DataFrame:
@@ -138,4 +147,4 @@ def scan(versions: DataFrame, ledger: str | None = None, path: str = "path", tex
     ledger = ledger or fresh_path(versions.sparkSession, "ledger")
     versions = versions.select(F.col(f"`{path}`").alias("path"), F.col(f"`{text}`").alias("text"))
     scan_new(versions, ledger)
-    return findings(versions, ledger)
+    return findings(versions, ledger, scanned=True)

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import by_size
+from .shared import by_size, stored
 
 #: (verdict, host, path)
 BASE_RULES = (
@@ -26,6 +26,8 @@ BASE_RULES = (
 SHORT = 8
 #: Rules up to this many are broadcast; more are shuffled.
 BROADCAST_RULES = 1_000_000
+#: Addresses that a rule fits, with that rule; more are shuffled.
+BROADCAST_ADDRESSES = 200_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -107,7 +109,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", otherwise:
                 ).alias("__best")
             )
         )
-        judged = pages.join(best, ["host", "path"], "left")
+        best = stored(best, "best")  # addresses that a rule fits
+        judged = pages.join(by_size(best, best.count(), BROADCAST_ADDRESSES), ["host", "path"], "left")
         rule, verdict = F.col("__best.rule"), F.coalesce("__best.rule_verdict", F.lit(otherwise))
     else:
         judged, rule, verdict = pages, F.lit(None).cast("string"), F.lit(otherwise)
