@@ -17,8 +17,9 @@ blocks and only where the size-derived bounds leave a pair possible:
   n-grams) that most of its probes lead to. Components of these links are then known, and only
   sets of different components are compared further. The sets whose leaders are in one component
   are a family; families are cut into blocks, and the product of two blocks is taken inside a task, so the
-  pairs of a large group are never rows. Pairs of different families are found by the probes,
-  for two components first the pair that shares most of them.
+  pairs of a large group are never rows. Pairs of different families are found by the probes:
+  by a probe that many sets share they are multiplied in blocks too, by others they are rows,
+  for two components first the pair that shares most probes.
 * Sizes bound what two linked sets may lack of each other. Pairs whose sizes exclude the
   similarity, or whose lists have fewer n-grams in common than the sizes demand, are dropped
   before any set is fetched; for the rest, a block's overlap counts are accumulated from its
@@ -48,6 +49,9 @@ SLACK = 10
 _ALL = (1 << 63) - 1
 #: About so many sets of a family, of so many n-grams together, are multiplied with so many others at once.
 BLOCK, BLOCK_GRAMS = 192, 1 << 17
+#: An n-gram by which more pairs of different components would meet than this, and than so many
+#: for each set that has it, has them multiplied in blocks; fewer are rows. Both ways are whole.
+HEAVY, PAIRS_A_SET = 1024, 16
 #: Products of single n-grams that are spread out at once.
 SPREAD = 1 << 20
 #: N-grams counted at once in a worker.
@@ -295,7 +299,7 @@ def _block_pairs(rows: DataFrame) -> DataFrame:
 
 def _read_block(column: pa.Array, i: int):
     rows = column[i].values
-    fields = {k: rows.field(k) for k in ("class", "root", "n", "upto", "grams")}
+    fields = {f.name: rows.field(f.name) for f in rows.type}
     grams = [np.asarray(g.values, np.int64) for g in fields.pop("grams")]
     return {k: v.to_numpy(zero_copy_only=False) for k, v in fields.items()}, grams
 
@@ -307,15 +311,26 @@ def _each_product(batches: Iterable[pa.RecordBatch]):
             yield x, y, _product(gx, gy)
 
 
+def _enough(x: dict, y: dict, both: np.ndarray) -> np.ndarray:
+    """Pairs that sizes and lists leave possible, by the n-grams that the lists share."""
+    nx, ny, ux, uy = x["n"][:, None], y["n"][None, :], x["upto"][:, None], y["upto"][None, :]
+    overlap = -(-SIMILARITY * (nx + ny) // (100 + SIMILARITY))
+    listed = lambda n: np.minimum(n, n // 4 + 1 + n // SLACK)
+    need_x, need_y = listed(nx) - nx + overlap, listed(ny) - ny + overlap
+    need = np.where(ux < uy, need_x, np.where(ux > uy, need_y, np.minimum(need_x, need_y)))
+    return (both >= need) & (100 * np.minimum(nx, ny) >= SIMILARITY * np.maximum(nx, ny))
+
+
+def _probing(x: dict, y: dict) -> np.ndarray:
+    """Pairs of different roots, met as a probe meets its partners, that no family holds."""
+    a, b = (lambda k: x[k][:, None]), (lambda k: y[k][None, :])
+    return (a("root") != b("root")) & (a("family") != b("family")) & (a("upto") <= b("upto")) & (b("n") <= a("most")) & (100 * b("n") >= SIMILARITY * a("n"))
+
+
 def _plausible(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Classes of block pairs with a partner of another root that sizes and lists leave possible."""
     for x, y, both in _each_product(batches):
-        nx, ny, ux, uy = x["n"][:, None], y["n"][None, :], x["upto"][:, None], y["upto"][None, :]
-        overlap = -(-SIMILARITY * (nx + ny) // (100 + SIMILARITY))
-        listed = lambda n: np.minimum(n, n // 4 + 1 + n // SLACK)
-        need_x, need_y = listed(nx) - nx + overlap, listed(ny) - ny + overlap
-        need = np.where(ux < uy, need_x, np.where(ux > uy, need_y, np.minimum(need_x, need_y)))
-        ok = (both >= need) & (x["root"][:, None] != y["root"][None, :]) & (100 * np.minimum(nx, ny) >= SIMILARITY * np.maximum(nx, ny))
+        ok = _enough(x, y, both) & (_probing(x, y) if "most" in x else x["root"][:, None] != y["root"][None, :])
         found = np.concatenate((x["class"][ok.any(axis=1)], y["class"][ok.any(axis=0)]))
         yield pa.RecordBatch.from_arrays([pa.array(np.unique(found))], names=["class"])
 
@@ -324,17 +339,61 @@ def _family_links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """One link for each two roots that a block pair links."""
     for x, y, both in _each_product(batches):
         union = x["n"][:, None] + y["n"][None, :] - both
-        i, j = np.nonzero((100 * both >= SIMILARITY * union) & (x["root"][:, None] != y["root"][None, :]))
+        apart = _probing(x, y) if "most" in x else x["root"][:, None] != y["root"][None, :]
+        i, j = np.nonzero((100 * both >= SIMILARITY * union) & apart)
         _, first = np.unique(np.stack((x["root"][i], y["root"][j]), axis=1), axis=0, return_index=True)
         yield pa.RecordBatch.from_arrays([pa.array(x["class"][i[first]]), pa.array(y["class"][j[first]])], names=["u", "v"])
 
 
 def _as_grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [np.frombuffer(g.as_py(), np.int64) for g in batch.column(4)]
+        sets = [np.frombuffer(g.as_py(), np.int64) for g in batch.column(batch.num_columns - 1)]
         ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], lists], names=["family", "class", "root", "n", "grams"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=batch.schema.names)
+
+
+def _probe_blocks(x: DataFrame, y: DataFrame) -> DataFrame:
+    """Pairs of blocks (x, y: lists of rows) that meet by a gram: the sets that probe with it and
+    the sets that list it, cut like families. Both have gram, kx, wx, ky, wy (the sets and
+    n-grams of either side) and the columns of a row."""
+
+    def cut(rows, k, w, fields):
+        blocks = F.greatest(F.ceil(F.col(k) / F.lit(float(BLOCK))), F.ceil(F.col(w) / F.lit(float(BLOCK_GRAMS))), F.lit(1))
+        block = F.pmod(F.xxhash64("class"), blocks.cast("long")).alias("block")
+        return rows.select("gram", block, F.struct(*fields).alias("row")).groupBy("gram", "block").agg(F.collect_list("row").alias("rows"))
+
+    fields = ["class", "root", "family", "n", "upto", "grams"]
+    a = cut(x, "kx", "wx", [*fields, "most"]).select("gram", F.col("rows").alias("x"))
+    return a.join(cut(y, "ky", "wy", fields).select("gram", F.col("rows").alias("y")), "gram").select("x", "y")
+
+
+def _heavy_grams(x: DataFrame, y: DataFrame) -> DataFrame:
+    """gram, kx, wx, ky, wy of the n-grams by which many sets of different components meet:
+    counted by component, so a large group that is linked already makes none of its n-grams heavy."""
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    sides = x.select("gram", "root", one.alias("kx"), F.col("n").cast("long").alias("wx"), none.alias("ky"), none.alias("wy")).union(
+        y.select("gram", "root", none, none, one, F.col("n").cast("long"))
+    )
+    k = ("kx", "wx", "ky", "wy")
+    each = sides.groupBy("gram", "root").agg(*(F.sum(c).alias(c) for c in k))
+    grams = each.withColumn("inside", F.col("kx") * F.col("ky")).groupBy("gram").agg(*(F.sum(c).alias(c) for c in k), F.sum("inside").alias("inside"))
+    apart = F.col("kx") * F.col("ky") - F.col("inside")
+    return grams.where((apart > HEAVY) & (apart > PAIRS_A_SET * (F.col("kx") + F.col("ky")))).drop("inside")
+
+
+def _heavy_links(docs: DataFrame, filled: DataFrame, own: DataFrame, x: DataFrame, y: DataFrame) -> DataFrame:
+    """Links between sets of different families that meet by heavy n-grams; ``x`` and ``y`` are the
+    probes and partners of these n-grams. As in families, blocks of lists are multiplied first, and
+    then the whole sets of those that have a possible partner; no pair becomes a row."""
+    listed = own.select("class", F.transform("grams", lambda g: g["gram"]).alias("grams"))
+    blocks = _probe_blocks(x.join(listed, "class"), y.join(listed, "class"))
+    plausible = stored(blocks.mapInArrow(lean(_plausible), "class long").distinct(), "plausible")
+    carriers = stored(filled.join(plausible, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id")), "carriers")
+    sets = class_sets(docs, carriers, carriers.count()).dropDuplicates(["class"]).select("class", "grams")
+    sets = stored(sets.mapInArrow(lean(_as_grams), "class long, grams array<long>"), "whole-sets")
+    blocks = _probe_blocks(x.join(sets, "class"), y.join(sets, "class"))
+    return stored(blocks.mapInArrow(lean(_family_links), "u long, v long").distinct(), "links")
 
 
 def class_components(docs: DataFrame, table: DataFrame) -> DataFrame:
@@ -379,8 +438,16 @@ def class_components(docs: DataFrame, table: DataFrame) -> DataFrame:
     # pairs of different families
     placed = _roots(nodes, links).join(placed.select("class", "family"), "class").join(own.select("class", "n", "upto"), "class")
     placed = stored(placed, "placed")
-    x = probes.select("class", "gram", "most").join(placed, "class").select("gram", *(F.col(c).alias(f"{c}_x") for c in ("class", "root", "family", "n", "upto")), "most")
+    x = stored(probes.select("class", "gram", "most").join(placed, "class"), "probing")
     y = members.select("class", "gram").join(placed, "class")
+    heavy = stored(_heavy_grams(x, y), "heavy")
+    n_heavy = heavy.count()
+    if n_heavy:
+        few = by_size(heavy, n_heavy, BROADCAST_ROWS)
+        links = stored(links.union(_heavy_links(docs, filled, own, x.join(few, "gram"), y.join(few, "gram"))), "links")
+        now = stored(_roots(nodes, links), "roots")
+        x, y = (side.join(few, "gram", "left_anti").drop("root").join(now, "class") for side in (x, y))
+    x = x.select("gram", *(F.col(c).alias(f"{c}_x") for c in ("class", "root", "family", "n", "upto")), "most")
     cross = x.join(y, "gram").where(
         (F.col("root_x") != F.col("root")) & (F.col("family_x") != F.col("family")) & (F.col("upto_x") <= F.col("upto"))
         & (F.col("n") <= F.col("most")) & (100 * F.col("n") >= SIMILARITY * F.col("n_x"))
