@@ -320,9 +320,6 @@ def test_ngram_join_large_group_and_frequent_passage(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)  # the shuffled way
     monkeypatch.setattr(ngram_join, "MOST_FREQUENT", 0)  # no list of frequent n-grams
     assert as_set(ngram_join.near_duplicates(df)) == brute_components(rows)
-    monkeypatch.setattr(ngram_join, "HEAVY", 0)  # every n-gram between components in blocks
-    monkeypatch.setattr(ngram_join, "PAIRS_A_SET", 0)
-    assert as_set(ngram_join.near_duplicates(df)) == brute_components(rows)
 
 
 # ---------------------------------------------------------------- 7: repeated spans
