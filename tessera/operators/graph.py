@@ -188,9 +188,10 @@ def expand_facts(entities: DataFrame, nodes: DataFrame, edges: DataFrame, depth:
 
 def delete_document(nodes: DataFrame, edges: DataFrame, doc_ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) without what only the documents ``doc_ids`` (doc_id) state: edges lose those
-    documents and go when none is left, Document nodes go, other nodes stay."""
+    documents and go when none is left, Document nodes go, other nodes stay, and so do edges that
+    no document states."""
     gone = doc_ids.select(F.col("doc_id").cast("string").alias("d")).distinct()
-    rows = edges.select("src", "rel", "dst", "seq", F.explode("docs").alias("d")).join(by_rows(gone), "d", "left_anti")
+    rows = edges.select("src", "rel", "dst", "seq", F.explode_outer("docs").alias("d")).join(by_rows(gone), "d", "left_anti")
     left = rows.groupBy("src", "rel", "dst", "seq").agg(F.array_sort(F.collect_set("d")).alias("docs"))
     keys = gone.select(node_key(F.lit("Document"), F.col("d")).alias("key"))
     return nodes.join(by_rows(keys), "key", "left_anti"), left

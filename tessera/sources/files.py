@@ -58,7 +58,7 @@ def read_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFr
     kind = F.lower(F.regexp_extract("path", r"\.([^./\\]+)$", 1))
     rows = files.select("path", kind.alias("kind"), "content")
     packed = F.col("kind").isin("docx", "pdf")
-    plain = rows.where(~packed).select("path", clean_markdown(F.decode("content", "UTF-8")).alias("text"), F.lit(None).cast("string").alias("error"))
+    plain = rows.where(~packed).select("path", clean_markdown(F.make_valid_utf8(F.col("content").cast("string"))).alias("text"), F.lit(None).cast("string").alias("error"))
     other = rows.where(packed).withColumn("r", _packed_text(F.col("kind"), F.col("content"))).select("path", "r.text", "r.error")
     return plain.unionByName(other)
 

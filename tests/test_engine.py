@@ -10,7 +10,7 @@ from tessera.functions import text as T
 from tessera.functions.json_paths import at_path, json_leaf_paths, json_object_in, leaf_paths
 from tessera.operators import answers, chunking, evaluation, extraction, graph, live, logs
 from tessera.plans.engine import KnowledgeBase, agent_layers
-from tessera.sources.files import docx_text, read_folder, read_golden
+from tessera.sources.files import docx_text, read_files, read_folder, read_golden
 from tessera.sources.tables import VersionedTable
 from tessera.streaming import state
 
@@ -244,3 +244,17 @@ def test_knowledge_base(spark, tmp_path):
     assert done.first().status == "executed" and kb.tickets().count() == 1
     assert kb.delete_document("ship") == 1 and kb.documents().count() == 1
     assert agent_layers({"a": [], "b": ["a"], "c": ["b", "x"], "d": ["e"], "e": ["d"]}) == [["a"], ["b"], ["c"], ["d", "e"]]
+
+
+def test_deleting_a_document_keeps_edges_without_documents(spark):
+    nodes = spark.createDataFrame([("Document:d", "Document", "d")], "key string, type string, name string")
+    rows = [("a", "r", "b", ["d"], 1), ("a", "r", "c", ["d", "e"], 2), ("a", "s", "c", [], 3)]
+    edges = spark.createDataFrame(rows, "src string, rel string, dst string, docs array<string>, seq long")
+    left = graph.delete_document(nodes, edges, spark.createDataFrame([("d",)], "doc_id string"))[1]
+    assert sorted((e.rel, e.dst, e.docs) for e in left.collect()) == [("r", "c", ["e"]), ("s", "c", [])]
+
+
+def test_malformed_bytes_do_not_stop_a_scan(spark, tmp_path):
+    (tmp_path / "bad.txt").write_bytes(b"one \xff two")
+    (tmp_path / "good.txt").write_bytes("三".encode())
+    assert {r.text for r in read_files(spark, str(tmp_path)).collect()} == {"one � two", "三"}
