@@ -14,6 +14,8 @@ from .ranking import by_rows
 
 STEP = "array<struct<rel:string,direction:string,node:string>>"
 MOST_DOCS = 5
+#: Properties that say where a node was first found.
+ORIGIN = ("doc_id", "method", "evidence")
 
 
 def relation_schema(spark: SparkSession, relations: dict = V.RELATIONS) -> DataFrame:
@@ -42,8 +44,8 @@ def node_key(kind, name):
 
 
 def edges_of(triples: DataFrame) -> DataFrame:
-    """One edge for each (src, rel, dst): the documents that state it (in order of arrival, five
-    at most) and when it was first stated. An edge goes when all its documents have gone."""
+    """One edge for each (src, rel, dst): all documents that state it, in order of arrival, and
+    when it was first stated. An edge goes when all its documents have gone, so none is left out."""
     src, dst = node_key(F.col("subject_type"), F.col("subject")), node_key(F.col("object_type"), F.col("object"))
     named = triples.select(src.alias("src"), "rel", dst.alias("dst"), "doc_id", "seq")
     return named.groupBy("src", "rel", "dst").agg(_docs().alias("docs"), F.min("seq").alias("seq"))
@@ -61,7 +63,13 @@ def nodes_of(triples: DataFrame) -> DataFrame:
     subject = triples.select(F.col("subject_type").alias("type"), F.col("subject").alias("name"), F.lit(None).cast("map<string,string>").alias("props"), "doc_id", "seq")
     ends = subject.union(triples.select("object_type", "object", props, "doc_id", "seq"))
     ends = ends.withColumn("key", node_key(F.col("type"), F.col("name")))
-    base = ends.groupBy("key", "type", "name").agg(F.slice(_docs(), 1, MOST_DOCS).alias("docs"), F.min("seq").alias("seq"))
+    # a window limit keeps five rows of a node in each task, so a hub never meets all its documents
+    stated = ends.groupBy("key", "type", "name", "doc_id").agg(F.min("seq").alias("seq"))
+    place = F.row_number().over(Window.partitionBy("key").orderBy("seq", "doc_id"))
+    firsts = stated.where("doc_id IS NOT NULL").withColumn("_k", place).where(F.col("_k") <= MOST_DOCS)
+    docs = firsts.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "doc_id"))), lambda d: d["doc_id"]).alias("docs"))
+    base = ends.groupBy("key", "type", "name").agg(F.min("seq").alias("seq")).join(docs, "key", "left")
+    base = base.select("key", "type", "name", F.coalesce("docs", F.array().cast("array<string>")).alias("docs"), "seq")
     if "props" not in triples.columns:
         return base.withColumn("props", F.lit(None).cast("map<string,string>"))
     values = ends.where("props IS NOT NULL").select("key", "seq", F.explode("props").alias("k", "v"))
@@ -70,6 +78,31 @@ def nodes_of(triples: DataFrame) -> DataFrame:
     return base.join(maps, "key", "left")
 
 
+def merge_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``old`` with ``new`` upserted, both with one row for each key: new values of a property
+    win, but a known node keeps where it came from (``ORIGIN``); documents are added up to five."""
+    none, no_docs = F.create_map().cast("map<string,string>"), F.array().cast("array<string>")
+    o, n = old.alias("o"), new.alias("n")
+    taken = F.when(F.col("o.key").isNull(), F.col("n.props")).otherwise(F.map_filter("n.props", lambda k, _: ~k.isin(*ORIGIN)))
+    before, after = F.coalesce("o.props", none), F.coalesce(taken, none)
+    props = F.map_concat(F.map_filter(before, lambda k, _: ~F.array_contains(F.map_keys(after), k)), after)
+    docs = F.array_distinct(F.concat(F.coalesce("o.docs", no_docs), F.coalesce("n.docs", no_docs)))
+    both = lambda c: F.coalesce(f"o.{c}", f"n.{c}").alias(c)
+    return o.join(n, F.col("o.key") == F.col("n.key"), "full_outer").select(
+        both("key"), both("type"), both("name"), F.slice(docs, 1, MOST_DOCS).alias("docs"), F.least("o.seq", "n.seq").alias("seq"),
+        F.when(F.col("o.props").isNotNull() | F.col("n.props").isNotNull(), props).alias("props"),
+    )
+
+
+def merge_edges(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``old`` with ``new`` upserted, both with one row for each (src, rel, dst)."""
+    none, keys = F.array().cast("array<string>"), ("src", "rel", "dst")
+    o, n = old.alias("o"), new.alias("n")
+    same = [F.col(f"o.{c}") == F.col(f"n.{c}") for c in keys]
+    docs = F.array_distinct(F.concat(F.coalesce("o.docs", none), F.coalesce("n.docs", none)))
+    return o.join(n, same, "full_outer").select(*(F.coalesce(f"o.{c}", f"n.{c}").alias(c) for c in keys), docs.alias("docs"), F.least("o.seq", "n.seq").alias("seq"))
+
+
 def directed(edges: DataFrame, direction: str = "both") -> DataFrame:
     """node, rel, direction, next, seq: the edges as they can be walked."""
     out = edges.select(F.col("src").alias("node"), "rel", F.lit("out").alias("direction"), F.col("dst").alias("next"), "seq")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
@@ -14,16 +14,20 @@ from ..sources.tables import VersionedTable
 CHUNKS = "seq long, doc_id string, chunk_index int, char_len int, content string"
 NODES = "key string, type string, name string, docs array<string>, seq long, props map<string,string>"
 EDGES = "src string, rel string, dst string, docs array<string>, seq long"
-ACTIONS = "action_id string, action string, order_id string, field string, value string, amount double, subject string, priority string, confirmed boolean, status string, error string, seq long"
+ACTIONS = "action_id string, action string, order_id string, field string, value string, amount double, subject string, priority string, confirmed boolean, customer string, sku string, ticket_id string, status string, error string, seq long"
+POSTINGS = "seq long, term string, tf long, dl int"
+VECTORS = "seq long, idx int, weight double, dim int"
 
 
 class KnowledgeBase:
-    """Chunks, graph and action log under one folder. Every method that answers takes a table of
+    """Chunks with their postings and embeddings, graph and action log under one folder. Every method that answers takes a table of
     questions (query_id, query, order_id, sku) and returns a DataFrame."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.chunks = VersionedTable(spark, f"{path}/chunks", CHUNKS)
+        self.postings = VersionedTable(spark, f"{path}/postings", POSTINGS)
+        self.vectors = VersionedTable(spark, f"{path}/vectors", VECTORS)
         self.nodes = VersionedTable(spark, f"{path}/nodes", NODES)
         self.edges = VersionedTable(spark, f"{path}/edges", EDGES)
         self.actions = VersionedTable(spark, f"{path}/actions", ACTIONS)
@@ -37,42 +41,70 @@ class KnowledgeBase:
         """Add documents (doc_id, text): their chunks, and the triples they state. Ingesting a
         document again adds its chunks again, as in an append-only store."""
         made = chunking.chunk(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text"), strategy=strategy)
-        seq = F.xxhash64("doc_id", "chunk_index", "content")
-        made = made.select(seq.alias("seq"), "doc_id", "chunk_index", "char_len", "content")
         before = self.chunks.count()
+        # the same document ingested again has chunks of its own
+        seq = F.xxhash64("doc_id", "chunk_index", "content", F.lit(before))
+        made = made.select(seq.alias("seq"), "doc_id", "chunk_index", "char_len", "content")
         self.chunks.append(made)
-        self._add_triples(extraction.extract_triples(docs))
+        tf = ranking.term_frequencies(made, "seq", "content").select("seq", "term", "tf", "dl")
+        self.postings.append(tf)
+        dim = self.dimension()
+        self.vectors.append(ranking.hash_embedding(made, "seq", dim=dim, postings=tf).withColumn("dim", F.lit(dim)))
+        self.add_triples(extraction.extract_triples(docs))
         return self.chunks.count() - before
 
+    def dimension(self) -> int:
+        """The number of slots of the stored embeddings."""
+        row = self.vectors.read().select("dim").first()
+        return row.dim if row else ranking.DIM
+
+    def reembed(self, dim: int) -> int:
+        """Embed all chunks anew with ``dim`` slots, from their postings; returns their number."""
+        made = ranking.hash_embedding(self.chunks.read(), "seq", dim=dim, postings=self.postings.read())
+        self.vectors.replace(made.withColumn("dim", F.lit(dim)))
+        return self.chunks.count()
+
     def ingest_folder(self, path: str, prefix: str = "") -> DataFrame:
         """Ingest all readable files under a folder; returns those that failed."""
         docs, failed = read_folder(self.spark, path, prefix)
         self.ingest(docs)
         return failed
 
-    def _add_triples(self, triples: DataFrame) -> None:
-        ok = graph.valid_triples(triples, graph.relation_schema(self.spark))
-        nodes = self.nodes.read().unionByName(graph.nodes_of(ok).select("key", "type", "name", "docs", "seq", "props"))
-        merged = nodes.groupBy("key", "type", "name").agg(
-            F.slice(F.array_distinct(F.flatten(F.collect_list("docs"))), 1, graph.MOST_DOCS).alias("docs"), F.min("seq").alias("seq"), F.max_by("props", "seq").alias("props")
-        )
-        edges = self.edges.read().unionByName(graph.edges_of(ok).select("src", "rel", "dst", "docs", "seq"))
-        both = edges.groupBy("src", "rel", "dst").agg(F.array_distinct(F.flatten(F.collect_list("docs"))).alias("docs"), F.min("seq").alias("seq"))
-        self.nodes.replace(merged.select("key", "type", "name", "docs", "seq", "props"))
-        self.edges.replace(both)
+    def add_triples(self, triples: DataFrame) -> dict[str, int]:
+        """Write triples (subject_type, subject, rel, object_type, object, doc_id, seq and, if
+        there, props). Their seq counts on from the graph's last, so the latest batch is the
+        newest. Returns how many edges were added, how many valid triples were known already
+        (skipped) and how many the ontology forbids (invalid)."""
+        schema = graph.relation_schema(self.spark)
+        last = self.nodes.read().agg(F.max("seq").alias("s")).first().s
+        ok = graph.valid_triples(triples, schema).withColumn("seq", F.col("seq") + (0 if last is None else last + 1))
+        known = self.edges.read()
+        made = graph.edges_of(ok)
+        n = made.agg(F.count("*").alias("n")).first().n
+        added = made.join(known, ["src", "rel", "dst"], "left_anti").count() if n else 0
+        total, valid = triples.count(), ok.count()
+        self._upsert(graph.nodes_of(ok), made)
+        return {"added": added, "skipped": valid - added, "invalid": total - valid}
+
+    def _upsert(self, nodes: DataFrame, edges: DataFrame) -> None:
+        merged = graph.merge_nodes(self.nodes.read(), nodes), graph.merge_edges(self.edges.read(), edges)
+        self.nodes.replace(merged[0])
+        self.edges.replace(merged[1])
+
+    def clear_graph(self) -> None:
+        self.nodes.replace(self.spark.createDataFrame([], NODES))
+        self.edges.replace(self.spark.createDataFrame([], EDGES))
 
     def rebuild_graph(self) -> DataFrame:
         """The graph made anew from all chunks; returns its statistics."""
-        none = self.spark.createDataFrame([], NODES)
-        self.nodes.replace(none)
-        self.edges.replace(self.spark.createDataFrame([], EDGES))
-        self._add_triples(extraction.extract_triples(chunking.document_text(self.chunks.read())))
+        self.clear_graph()
+        self.add_triples(extraction.extract_triples(chunking.document_text(self.chunks.read())))
         return self.graph_stats()
 
     def update_graph(self) -> None:
         """Add what documents without a Document node state."""
         texts = chunking.document_text(self.chunks.read())
-        self._add_triples(extraction.extract_triples(graph.unseen_documents(texts, self.nodes.read())))
+        self.add_triples(extraction.extract_triples(graph.unseen_documents(texts, self.nodes.read())))
 
     def documents(self) -> DataFrame:
         return chunking.document_list(self.chunks.read())
@@ -82,15 +114,21 @@ class KnowledgeBase:
         nodes, edges = graph.delete_document(self.nodes.read(), self.edges.read(), self.spark.createDataFrame([(doc_id,)], "doc_id string"))
         self.nodes.replace(nodes.select("key", "type", "name", "docs", "seq", "props"))
         self.edges.replace(edges.select("src", "rel", "dst", "docs", "seq"))
+        gone = self.chunks.read().where(F.col("doc_id") == doc_id).select("seq")
+        for table in (self.postings, self.vectors):
+            table.replace(table.read().join(gone, "seq", "left_anti"))
         return self.chunks.delete(F.col("doc_id") == doc_id)
 
     # ------------------------------------------------------------ questions
 
-    def search(self, questions: DataFrame, top_k: int = 5, mode: str = "hybrid", min_score: float = 0.0) -> DataFrame:
-        """query_id, rank, score, doc_id, chunk_index, content."""
+    def search(self, questions: DataFrame, top_k: int = 5, mode: str = "hybrid", min_score: float = 0.0, lam: float | None = 0.6, rerank=None) -> DataFrame:
+        """query_id, rank, score, source, doc_id, chunk_index, content, from the stored postings and
+        embeddings; ``lam`` (none: off) and ``rerank`` as in ``ranking.hybrid_search``."""
         chunks = self.chunks.read()
         own = chunks.select(F.col("seq").alias("id"), F.col("content").alias("text"))
-        hits = ranking.hybrid_search(own, questions.select("query_id", "query"), top_k, mode, min_score)
+        stored = self.postings.read().withColumnRenamed("seq", "id"), self.vectors.read().select(F.col("seq").alias("id"), "idx", "weight")
+        asked = questions.select("query_id", "query")
+        hits = ranking.hybrid_search(own, asked, top_k, mode, min_score, dim=self.dimension(), lam=lam, rerank=rerank, postings=stored[0], embeddings=stored[1])
         return hits.join(chunks, F.col("id") == F.col("seq")).select("query_id", "rank", "score", "source", "doc_id", "chunk_index", "content")
 
     def graph_stats(self) -> DataFrame:
@@ -164,15 +202,39 @@ class KnowledgeBase:
             F.sha2(F.concat_ws("|", F.col("query_id").cast("string"), "action", "query"), 256).alias("action_id"), "action",
             T.order_id(q, F.col("order_id")).alias("order_id"), only("update_order", T.order_field(q)).alias("field"), only("update_order", F.substring(q, 1, 200)).alias("value"),
             only("request_refund", T.refund_amount(q)).alias("amount"), only("create_ticket", F.substring(q, 1, 60)).alias("subject"), only("create_ticket", T.ticket_priority(q)).alias("priority"),
-            F.lit(False).alias("confirmed"), F.monotonically_increasing_id().alias("seq"),
+            F.lit(False).alias("confirmed"), "query_id", *(c for c in ("customer", "sku") if c in questions.columns),
         )
 
-    def run_actions(self, requests: DataFrame) -> DataFrame:
-        """Validate requests, append their outcomes to the log, and return the outcomes; tickets
-        that executed actions open are written to the graph."""
-        done = live.action_status(requests)
-        self.actions.append(done.select([c.split()[0] for c in ACTIONS.split(", ")]))
-        return done
+    def run_actions(self, requests: DataFrame, to_graph: bool = False) -> DataFrame:
+        """Validate requests, append their outcomes to the log, and return the rows appended. Their
+        seq counts on from the log's last, in the order of query_id and action_id. With ``to_graph``
+        the tickets that executed actions open become nodes, with their customer and product (sku)
+        where the requests name those; such edges belong to no document."""
+        last = self.actions.read().agg(F.max("seq").alias("s")).first().s
+        base = 0 if last is None else last + 1
+        done = live.action_status(requests).orderBy(*(c for c in ("query_id", "action_id") if c in requests.columns))
+        opened = (F.col("action") == "create_ticket") & (F.col("status") == "executed")
+        number = F.upper(F.substring(F.sha2("action_id", 256), 1, 16))
+        done = done.withColumn("seq", F.monotonically_increasing_id() + base).withColumn("ticket_id", F.when(opened, F.concat(F.lit("TKT-"), number)))
+        fields = [c.split() for c in ACTIONS.split(", ")]
+        self.actions.append(done.select(*((F.col(c) if c in done.columns else F.lit(None)).cast(t).alias(c) for c, t in fields)))
+        rows = self.actions.read().where(F.col("seq") >= base)
+        if to_graph:
+            self._write_tickets(rows.where(opened))
+        return rows
+
+    def _write_tickets(self, opened: DataFrame) -> None:
+        last = self.nodes.read().agg(F.max("seq").alias("s")).first().s
+        # one ticket for each action, however often it ran
+        first = opened.groupBy("ticket_id").agg(F.min_by(F.struct(*opened.columns), "seq").alias("r")).select("r.*")
+        first = first.withColumn("seq", F.col("seq") + (0 if last is None else last + 1)).withColumn("product", F.col("sku"))
+        level = F.upper(F.coalesce("priority", F.lit("P2")))
+        reply = F.create_map(*(F.lit(x) for pair in V.TICKET_SLA.items() for x in pair))
+        props = F.map_filter(F.create_map(F.lit("subject"), "subject", F.lit("priority"), level, F.lit("sla_response"), F.try_element_at(reply, level), F.lit("status"), F.lit("open")), lambda _, v: F.coalesce(v, F.lit("")) != "")
+        tickets = first.select(graph.node_key(F.lit("Ticket"), F.col("ticket_id")).alias("key"), F.lit("Ticket").alias("type"), F.col("ticket_id").alias("name"), F.array().cast("array<string>").alias("docs"), "seq", props.alias("props"))
+        triples = live.action_effects(first).withColumn("doc_id", F.lit(None).cast("string"))
+        triples = graph.valid_triples(triples, graph.relation_schema(self.spark))
+        self._upsert(graph.merge_nodes(graph.nodes_of(triples), tickets), graph.edges_of(triples))
 
     def action_kinds(self) -> DataFrame:
         risks = {"create_ticket": "write", "update_order": "write", "request_refund": "destructive", "list_tickets": "read"}
@@ -197,10 +259,3 @@ def agent_layers(tasks: dict[str, list[str]]) -> list[list[str]]:
         for d in left.values():
             d.difference_update(ready)
     return layers
-
-
-def first_k(df: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
-    return df.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_k") <= k).drop("_k")
-
-
-SLA = V.TICKET_SLA

@@ -157,6 +157,29 @@ def confidence_and_guardrail(spark, d):
     return top.select("query_id", "score", ranking.confidence_label(s).alias("label"), F.round(ranking.confidence_boost(s, facts), 6).alias("boosted"), ranking.guardrail(s).alias("guardrail"))
 
 
+def _mmr_sql(candidates: str, pairs: str, key: str) -> str:
+    """CTEs c (query_id, id, score, place), p (query_id, a, b, sim) and the greedy choice of five of c."""
+    return f"""c AS MATERIALIZED ({candidates}), p AS MATERIALIZED ({pairs}),
+g AS (SELECT query_id, [first(id ORDER BY score DESC, place)] AS sel, 1 AS k FROM c GROUP BY query_id UNION ALL
+  SELECT query_id, list_append(any_value(sel), first(id ORDER BY val DESC, place)), any_value(k) + 1 FROM (
+    SELECT g.query_id, g.sel, g.k, c.id, c.place, round(6e-1 * c.score - 4e-1 * greatest(0, max(p.sim)), 9) AS val
+    FROM g JOIN c ON c.query_id = g.query_id JOIN p ON p.query_id = c.query_id AND p.a = c.id AND list_contains(g.sel, p.b)
+    WHERE g.k < 5 AND NOT list_contains(g.sel, c.id) GROUP BY g.query_id, g.sel, g.k, c.id, c.place, c.score) GROUP BY query_id),
+ch AS (SELECT query_id, unnest(sel) AS id, generate_subscripts(sel, 1) AS rank FROM (SELECT query_id, arg_max(sel, k) AS sel FROM g GROUP BY query_id)),
+fewer AS (SELECT query_id FROM c GROUP BY query_id HAVING count(*) <= 5)
+SELECT query_id, id AS {key}, c.score, CASE WHEN query_id IN (FROM fewer) THEN c.place ELSE rank END AS rank FROM ch JOIN c USING (query_id, id)"""
+
+
+@query("WITH RECURSIVE " + HYBRID_CTE + ", " + _mmr_sql(
+    "SELECT query_id, id, score, rank AS place FROM rk",
+    """SELECT query_id, a, b, coalesce(sum(x.weight * y.weight), 0) AS sim FROM (SELECT a.query_id, a.id AS a, b.id AS b FROM c a JOIN c b USING (query_id))
+  LEFT JOIN de x ON x.id = a LEFT JOIN de y ON y.id = b AND y.idx = x.idx GROUP BY ALL""", "id",
+))
+def hybrid_mmr(spark, d):
+    hits = ranking.hybrid_search(chunks(spark, d), questions(spark, d), lam=0.6)
+    return hits.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 # ---------------------------------------------------------------- vectors and metrics
 
 COS = "round(list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))), 6)"
@@ -199,11 +222,14 @@ def vector_threshold(spark, d):
     return ranking.vector_top_k(v, q, 20).where("score >= 0.2").groupBy("query_id").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("WITH RECURSIVE " + VEC_CTE + ", " + _mmr_sql(
+    "SELECT query_id, vec_id AS id, score, rank AS place FROM rv WHERE rank <= 30",
+    f"SELECT a.query_id, a.id AS a, b.id AS b, {COS} AS sim FROM c a JOIN c b USING (query_id) JOIN v q ON q.vec_id = a.id JOIN v ON v.vec_id = b.id", "vec_id",
+))
 def mmr_rerank(spark, d):
     v, q = _vectors(spark, d)
-    hits = ranking.vector_top_k(v, q, 30).join(v.select("vec_id", "embedding"), "vec_id")
-    return ranking.mmr(hits, 5, 0.6, "vec_id")
+    hits = ranking.vector_top_k(v, q, 30).drop("rank").join(v.select("vec_id", "embedding"), "vec_id")
+    return ranking.mmr(hits, 5, 0.6, "vec_id").withColumn("rank", F.col("rank").cast("long"))
 
 
 METRICS = ", ".join(

@@ -242,6 +242,18 @@ def test_knowledge_base(spark, tmp_path):
     assert {(r.what, r.name): r.n for r in kb.rebuild_graph().collect()}[("type", "IssueCategory")] >= 1
     done = kb.run_actions(kb.requested(spark.createDataFrame([(1, "投诉 快递太慢", None)], "query_id long, query string, order_id string")))
     assert done.first().status == "executed" and kb.tickets().count() == 1
+    ask = lambda i, text: spark.createDataFrame([(i, text, None, "ACME", "S1")], "query_id long, query string, order_id string, customer string, sku string")
+    kb.run_actions(kb.requested(ask(2, "投诉 第二次")), to_graph=True)
+    newest = kb.tickets().collect()
+    assert [t.subject for t in newest] == ["投诉 第二次", "投诉 快递太慢"] and len({t.seq for t in newest}) == 2
+    ticket = kb.nodes.read().where("type = 'Ticket'").first()
+    assert ticket.name == newest[0].ticket_id and ticket.props["status"] == "open" and ticket.props["subject"] == "投诉 第二次"
+    made = {(e.rel, e.dst, tuple(e.docs)) for e in kb.edges.read().where(F.col("src") == ticket.key).collect()}
+    assert made == {("SUBMITTED_BY", "Customer:ACME", ()), ("ABOUT_PRODUCT", "Product:S1", ())}
+    assert kb.reembed(64) == 6 and kb.vectors.read().agg(F.max("idx")).first()[0] < 64 and kb.search(q, 2).count() > 0
+    by_length = lambda pairs: pairs.select("query_id", "id", F.length("text").cast("double").alias("score"))
+    ranked = kb.search(q, 3, lam=None, rerank=by_length).where("query_id = 2").orderBy("rank").collect()
+    assert [len(r.content) for r in ranked] == sorted((len(r.content) for r in ranked), reverse=True)
     assert kb.delete_document("ship") == 1 and kb.documents().count() == 1
     assert agent_layers({"a": [], "b": ["a"], "c": ["b", "x"], "d": ["e"], "e": ["d"]}) == [["a"], ["b"], ["c"], ["d", "e"]]
 
@@ -258,3 +270,20 @@ def test_malformed_bytes_do_not_stop_a_scan(spark, tmp_path):
     (tmp_path / "bad.txt").write_bytes(b"one \xff two")
     (tmp_path / "good.txt").write_bytes("三".encode())
     assert {r.text for r in read_files(spark, str(tmp_path)).collect()} == {"one � two", "三"}
+
+
+def test_upserts_merge_props_and_count(spark, tmp_path):
+    kb = KnowledgeBase(spark, f"file://{tmp_path}/kb")
+    cols = "subject_type string, subject string, rel string, object_type string, object string, doc_id string, seq long, props map<string,string>"
+    triple = lambda doc, i, props: ("Document", doc, "MENTIONS", "Product", "p", doc, i, props)
+    first = [triple("d1", 5, {"a": "1", "b": "1", "evidence": "x"}), ("Alien", "x", "MENTIONS", "Product", "p", "d1", 6, None)]
+    assert kb.add_triples(spark.createDataFrame(first, cols)) == {"added": 1, "skipped": 0, "invalid": 1}
+    again = [triple("d1", 0, None), triple("d2", 0, {"b": "2", "evidence": "y"})]
+    assert kb.add_triples(spark.createDataFrame(again, cols)) == {"added": 1, "skipped": 1, "invalid": 0}
+    node = kb.nodes.read().where("key = 'Product:p'").first()
+    assert node.props == {"a": "1", "b": "2", "evidence": "x"} and node.docs == ["d1", "d2"] and node.seq == 5
+    many = [triple(f"e{i}", i, None) for i in range(9)]
+    kb.add_triples(spark.createDataFrame(many, cols))
+    assert kb.nodes.read().where("key = 'Product:p'").first().docs == ["d1", "d2", "e0", "e1", "e2"] and kb.edges.count() == 11
+    kb.clear_graph()
+    assert kb.nodes.count() == kb.edges.count() == 0
