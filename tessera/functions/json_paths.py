@@ -10,9 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def at_path(document: Column, path: str) -> Column:
-    """The value at a dotted path with optional ``[i]`` after a name; null if it isn't there."""
-    return F.get_json_object(document, "$." + path) if path else F.lit(None).cast("string")
+def at_path(document: Column, path: str | Column) -> Column:
+    """The value at a dotted path (fixed or a column) with optional ``[i]`` after a name; null if
+    it isn't there or the path is empty."""
+    p = path if isinstance(path, Column) else F.lit(path)
+    return F.when(p != "", F.call_function("get_json_object", document, F.concat(F.lit("$."), p)))
 
 
 def leaf_paths(value, depth: int = 6) -> list[str]:

@@ -124,7 +124,7 @@ def assign_agents(needs: DataFrame, agents: DataFrame) -> DataFrame:
     """The first registered agent (agent, capabilities, seq) of each needed capability (query_id, capability)."""
     offers = agents.select("agent", "seq", F.explode("capabilities").alias("capability"))
     first = Window.partitionBy("query_id", "capability").orderBy("seq")
-    return needs.join(F.broadcast(offers), "capability").withColumn("_k", F.row_number().over(first)).where("_k = 1").select("query_id", "capability", "agent")
+    return needs.join(by_rows(offers), "capability").withColumn("_k", F.row_number().over(first)).where("_k = 1").select("query_id", "capability", "agent")
 
 
 def open_requests(ledger: DataFrame) -> DataFrame:

@@ -387,7 +387,7 @@ def breaker_states(spark, d):
 
 @query("""SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS first_value FROM events""")
 def json_path(spark, d):
-    first = F.expr("get_json_object(props, concat('$.', get(json_object_keys(props), 0)))")
+    first = J.at_path(F.col("props"), F.get(F.json_object_keys("props"), F.lit(0)))
     return read(spark, d, "events").select("event_id", first.alias("first_value"))
 
 
