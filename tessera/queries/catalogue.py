@@ -79,10 +79,10 @@ def bm25_batch(spark, d):
     return scores.withColumn("rank", rank.cast("long")).where("rank <= 10")
 
 
-@query(f"WITH {BM25_CTE} SELECT id, bm25 FROM lx WHERE query_id = 0 AND rank <= 10 ORDER BY rank")
+@query(f"WITH {BM25_CTE} SELECT query_id, id, bm25 FROM bm ORDER BY bm25 DESC, query_id, id LIMIT 10")
 def bm25_topk(spark, d):
-    scores = ranking.bm25(chunks(spark, d), questions(spark, d).where("query_id = 0"))
-    return scores.select("id", "bm25").orderBy(F.desc("bm25"), "id").limit(10)
+    """The ten best matches of all questions."""
+    return ranking.bm25(chunks(spark, d), questions(spark, d)).orderBy(F.desc("bm25"), "query_id", "id").limit(10)
 
 
 @query(f"WITH {BM25_CTE} SELECT query_id, id, norm FROM lx WHERE bm25 > 0")
@@ -207,12 +207,15 @@ def vector_batch_topk(spark, d):
     return ranking.vector_top_k(v, q, 10).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT e FROM v WHERE vec_id = 0)
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+q AS (SELECT list(m ORDER BY i) AS e FROM (SELECT i, avg(x) AS m FROM (SELECT unnest(e) AS x, generate_subscripts(e, 1) AS i FROM v) GROUP BY i))
 SELECT vec_id, round(list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))), 6) AS score
 FROM q, v ORDER BY score DESC, vec_id LIMIT 10""")
 def vector_topk(spark, d):
+    """The vectors nearest to the mean of all."""
     v = read(spark, d, "embeddings")
-    one = v.where("vec_id = 0").select(F.col("embedding").alias("q"))
+    means = v.select(F.posexplode("embedding").alias("i", "x")).groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    one = means.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda r: r["m"]).alias("q"))  # a number for each dimension
     return v.crossJoin(F.broadcast(one)).select("vec_id", F.round(ranking.cosine(F.col("q"), F.col("embedding")), 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(10)
 
 
@@ -246,12 +249,14 @@ n AS (SELECT q.vec_id AS query_id, count(v.vec_id) AS n_rel FROM q LEFT JOIN v O
 SELECT round(avg(coalesce(1e0 / first, 0)), 4) AS mrr, count(*) AS n_queries, {METRICS} FROM n LEFT JOIN w USING (query_id) LEFT JOIN s USING (query_id)""")
 def ranking_metrics(spark, d):
     """Relevance is an equal label; a query's own row counts for strict recall only. The whole
-    ranking of each query is measured, as the MRR has no cutoff."""
+    ranking of each query is measured, as the MRR has no cutoff; what lies below the cutoffs of
+    the other metrics is counted, not listed."""
     v, q = _vectors(spark, d)
-    r = _ranked(spark, d, v.count())
+    r = _ranked(spark, d, 6)
     others = r.where("vec_id <> query_id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     rows = others.select("query_id", "rank", F.lit(False).alias("own"), (F.col("label") == F.col("query_label")).alias("rel"))
-    rows = rows.union(r.where("vec_id = query_id").select("query_id", "rank", F.lit(True), F.lit(False)))
+    rows = rows.where("rank <= 5").union(r.where("vec_id = query_id").select("query_id", "rank", F.lit(True), F.lit(False)))
+    rows = rows.union(ranking.first_relevant_rank(v, q).where("rank > 5").select("query_id", F.col("rank").cast("int"), F.lit(False), F.lit(True)))
     n = v.groupBy("label").agg(F.count("*").alias("c"))
     relevant = q.join(n, q["query_label"] == n["label"], "left").select("query_id", (F.col("c") - 1).alias("n_rel"))
     return evaluation.ranking_metrics(rows, relevant)

@@ -317,11 +317,11 @@ def critic_missing(spark, d):
 # ---------------------------------------------------------------- evaluation and logs
 
 
-@query("""WITH p AS (SELECT item_id, doc_id, text, b.words FROM documents, (SELECT item_id, string_split(text, ' ')[1:4] AS words FROM benchmark) b WHERE doc_id = item_id),
+@query("""WITH p AS (SELECT item_id, doc_id, text, b.words FROM documents, (SELECT item_id, string_split(text, ' ') AS words FROM benchmark) b WHERE doc_id = item_id),
 r AS (SELECT item_id, len(list_filter(words, lambda w: contains(text, w) OR contains(lower(regexp_replace(text, '\\s+', '', 'g')), lower(w)))) AS n_hit, len(words) AS n FROM p)
 SELECT item_id, round(n_hit / n, 3) AS recall, n_hit / n >= 6e-1 AS passed FROM r""")
 def eval_recall(spark, d):
-    b = read(spark, d, "benchmark").select("item_id", F.transform(F.slice(F.split("text", " "), 1, 4), lambda w: F.array(w)).alias("expect"))
+    b = read(spark, d, "benchmark").select("item_id", F.transform(F.split("text", " "), lambda w: F.array(w)).alias("expect"))
     a = read(spark, d, "documents").select("doc_id", F.col("text").alias("answer"))
     cases = a.join(b, F.col("doc_id") == F.col("item_id")).withColumn("forbid", F.array().cast("array<string>")).withColumn("confidence", F.lit(0.5)).withColumn("min_confidence", F.lit(0.0))
     return evaluation.judge_answers(cases).select("item_id", "recall", "passed")
