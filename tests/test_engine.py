@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions.json_paths import at_path, json_leaf_paths, json_object_in, leaf_paths
-from tessera.operators import answers, chunking, evaluation, extraction, graph, live, logs
+from tessera.operators import agents, answers, chunking, evaluation, extraction, graph, live, logs
 from tessera.plans.engine import KnowledgeBase, agent_layers
 from tessera.sources.files import docx_text, read_files, read_folder, read_golden
 from tessera.sources.tables import VersionedTable
@@ -287,3 +287,25 @@ def test_upserts_merge_props_and_count(spark, tmp_path):
     assert kb.nodes.read().where("key = 'Product:p'").first().docs == ["d1", "d2", "e0", "e1", "e2"] and kb.edges.count() == 11
     kb.clear_graph()
     assert kb.nodes.count() == kb.edges.count() == 0
+
+
+def test_agents_take_odd_rows(spark):
+    registry = spark.createDataFrame([("Searcher", ["retrieval"], 0), ("g", ["graph"], 1)], "agent string, capabilities array<string>, seq int")
+    asked = spark.createDataFrame([(1, None, False), (2, False, True), (3, False, False)], "query_id int, need_graph boolean, need_live boolean")
+    # nobody can do live: that step has no agent
+    assert sorted((r.query_id, r.agent) for r in agents.plan(asked, registry).collect()) == [(1, "Searcher"), (1, "g"), (2, "Searcher"), (3, "Searcher")]
+    said = [(1, '{"subtasks": [{"agent": " G "}, {"agent": "g"}, {"capability": "Retrieval"}]}'), (2, None), (3, '{"subtasks": "x"}')]
+    made = agents.plan_from_answers(spark.createDataFrame(said, "query_id int, answer string"), asked, registry)
+    assert sorted((r.query_id, r.step, r.agent) for r in made.collect()) == [(1, 0, "g"), (1, 1, "Searcher"), (2, 0, "Searcher"), (3, 0, "Searcher")]
+    assert agents.plan(asked.limit(0), registry).count() == 0
+
+
+def test_retried_calls_end_as_one_by_one(spark):
+    rng = random.Random(5)
+    calls = {i: [(rng.random() < 0.3, rng.choice([None, 401, 404, 408, 429, 500])) for _ in range(rng.randint(1, 5))] for i in range(60)}
+    rows = [(i, n, ok, None if ok else status) for i, c in calls.items() for n, (ok, status) in enumerate(c, 1)]
+    got = {r.call_id: r for r in agents.retry_outcomes(spark.createDataFrame(rows, "call_id int, attempt int, ok boolean, status int")).collect()}
+    for i, c in calls.items():
+        ok, n, waited = state.retry([(ok, None if ok else s) for ok, s in c])
+        assert (got[i].outcome == "ok", got[i].attempts, got[i].waited) == (ok, n, waited)
+    assert {r.outcome for r in got.values()} == {"ok", "not_found", "refused", "failed"}
