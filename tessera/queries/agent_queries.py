@@ -87,7 +87,7 @@ def first_value(spark, d):
 
 
 @query("""SELECT event_id AS id FROM events WHERE event_type = 'view' AND event_id NOT IN (SELECT event_id - 1 FROM events WHERE event_type = 'purchase')""")
-def open_requests(spark, d):
+def unanswered_requests(spark, d):
     kind = F.when(F.col("event_type") == "view", "request").when(F.col("event_type") == "purchase", "reply")
     ledger = read(spark, d, "events").select(F.col("event_id").alias("id"), kind.alias("kind"), (F.col("event_id") - 1).alias("reply_to"))
     return live.open_requests(ledger).select("id")
