@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence_rules, mixing, ngram_join, piece_counts, repeat_spans, rule_ensemble, secret_scan, template_decontam, token_files, url_filter
+from . import conversation_repair, divergence_rules, fill_in_middle, mixing, ngram_join, overlap_bpe, piece_counts, repeat_spans, rule_ensemble, secret_scan, template_decontam, token_files, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +83,25 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest repair and repaired text of every damaged conversation; see :mod:`.conversation_repair`."""
+    damaged = conversation_repair.damage(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return conversation_repair.repair(damaged)
+
+
+def op12_overlap_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every document and of the bytes they decode to; see :mod:`.overlap_bpe`."""
+    return overlap_bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-the-middle form of every document, and digests of it and of the text restored from it; see :mod:`.fill_in_middle`."""
+    made = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(back).alias("restored_sha256"))
+
+
 OP10_SQL = r"""
 WITH a AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -102,6 +121,24 @@ WITH a AS (
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM d WHERE k = 1
 """
 
+OP13_SQL = r"""
+WITH a AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), b AS (
+  SELECT doc_id, t, length(t) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+         CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM a
+), c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS x, greatest(h1 % (n + 1), h2 % (n + 1)) AS y,
+         CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM b
+), d AS (
+  SELECT *, substring(t, 1, x) AS p, substring(t, x + 1, y - x) AS m, substring(t, y + 1) AS s FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN x END AS prefix_chars, CASE WHEN form <> 'plain' THEN y - x END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256 FROM d
+"""
+
 QUERIES = {
     "op1_wavelet_tokens": op1_wavelet_tokens,
     "op2_rule_ensemble": op2_rule_ensemble,
@@ -113,5 +150,8 @@ QUERIES = {
     "op8_secret_ledger": op8_secret_ledger,
     "op9_piece_counts": op9_piece_counts,
     "op10_url_filter": op10_url_filter,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_overlap_bpe": op12_overlap_bpe,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
-ORACLE_SQL = {"op10_url_filter": OP10_SQL}
+ORACLE_SQL = {"op10_url_filter": OP10_SQL, "op13_fill_in_middle": OP13_SQL}
