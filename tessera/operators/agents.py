@@ -11,6 +11,11 @@ from .ranking import by_rows
 
 #: The evidence that each capability adds to.
 CHANNELS = {"retrieval": "hits", "graph": "facts", "live": "live", "action": "actions"}
+#: Other names of capabilities.
+SYNONYMS = {
+    "semantic": "retrieval", "bm25": "retrieval", "keyword": "retrieval", "reasoning": "graph", "kg": "graph",
+    "api": "live", "realtime": "live", "actions": "action", "ticket": "action",
+}
 PLAN = "subtasks array<struct<agent:string,capability:string>>"
 
 
@@ -49,14 +54,15 @@ def plan_from_answers(answers: DataFrame, questions: DataFrame, agents: DataFram
     return made.unionByName(plan(rest, agents).select("query_id", "step", "agent"))
 
 
-def evidence_gain(rounds: DataFrame) -> DataFrame:
-    """query_id, capability, one difference for each kind of evidence, and gained: whether the
+def evidence_gain(rounds: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """query_id, capability, the columns ``keep``, one difference for each kind of evidence, and gained: whether the
     round added to the capability's own kind, or to any if it has none. ``rounds`` has query_id,
     capability, and before and after, each a struct of the arrays hits, facts, live and actions."""
     n = lambda side, c: F.coalesce(F.array_size(f"{side}.{c}"), F.lit(0))
     diff = {c: n("after", c) - n("before", c) for c in CHANNELS.values()}
-    own = F.coalesce(*(F.when(F.col("capability") == k, diff[c]) for k, c in CHANNELS.items()), sum(diff.values(), F.lit(0)))
-    return rounds.select("query_id", "capability", *(d.alias(f"d_{c}") for c, d in diff.items()), (own > 0).alias("gained"))
+    channels = CHANNELS | {k: CHANNELS[c] for k, c in SYNONYMS.items()}
+    own = F.coalesce(*(F.when(F.col("capability") == k, diff[c]) for k, c in channels.items()), sum(diff.values(), F.lit(0)))
+    return rounds.select("query_id", "capability", *keep, *(d.alias(f"d_{c}") for c, d in diff.items()), (own > 0).alias("gained"))
 
 
 def retry_outcomes(attempts: DataFrame, retries: int = 2) -> DataFrame:

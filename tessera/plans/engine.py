@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions import text as T
-from ..operators import answers, chunking, extraction, graph, live, ranking
+from ..operators import agents, answers, chunking, extraction, graph, live, ranking
 from ..sources.files import read_folder
+from ..sources.scratch import stored
 from ..sources.tables import VersionedTable
+from .rounds import Outcome, Worker, ask_in_rounds
 
 CHUNKS = "seq long, doc_id string, chunk_index int, char_len int, content string"
 NODES = "key string, type string, name string, docs array<string>, seq long, props map<string,string>"
@@ -152,43 +154,105 @@ class KnowledgeBase:
     def ask(self, questions: DataFrame, orders: DataFrame, stock: DataFrame, failures: DataFrame | None = None, top_k: int = 5) -> DataFrame:
         """query_id, summary, answer, score, confidence, n_facts, guardrail, missing of each
         question: hits, facts and live cards are independent branches of one plan."""
-        spark = self.spark
-        failures = failures if failures is not None else spark.createDataFrame([], "order_id string, error string, attempts int")
-        hits = self.search(questions, top_k)
-        per_hits = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "content"))), lambda h: h["content"]).alias("hits"), F.max_by("score", -F.col("rank")).alias("score"))
-        facts = self.graph_expand(questions.select(F.col("query_id"), "query"))
-        per_facts = facts.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda f: f["path"]).alias("paths"))
-        found = live.lookup(questions.select("query_id", "order_id"), orders, failures, "order_id").where("outcome <> 'not_asked'")
+        of = lambda df, channel: df.select("query_id", F.lit(channel).alias("channel"), "place", "item", "score")
+        evidence = of(self.hit_evidence(questions, top_k), "hits").unionByName(of(self.fact_evidence(questions), "facts")).unionByName(of(self.live_evidence(questions, orders, stock, failures), "live"))
+        tried = questions.select("query_id", F.array(F.lit("retrieval"), F.lit("graph")).alias("done"), F.array().cast("array<string>").alias("declined"))
+        return self._answers(questions, evidence, tried).select("query_id", "summary", "answer", "score", "confidence", "n_facts", "guardrail", "missing")
+
+    def hit_evidence(self, questions: DataFrame, top_k: int = 5, **search) -> DataFrame:
+        """query_id, place, item, score of what the search finds."""
+        return self.search(questions, top_k, **search).select("query_id", F.col("rank").cast("int").alias("place"), F.col("content").alias("item"), "score")
+
+    def fact_evidence(self, questions: DataFrame) -> DataFrame:
+        """query_id, place, item, score (null): paths in the graph near a question's entities."""
+        found = self.graph_expand(questions.select("query_id", "query"))
+        own = F.col("query_id").cast(dict(questions.dtypes)["query_id"]).alias("query_id")
+        return found.select(own, F.col("rank").cast("int").alias("place"), F.col("path").alias("item"), F.lit(None).cast("double").alias("score"))
+
+    def live_evidence(self, questions: DataFrame, orders: DataFrame, stock: DataFrame, failures: DataFrame | None = None) -> DataFrame:
+        """query_id, place, item, score (null): lines of order and stock cards, and what to ask for
+        where a question wants live data but names no id."""
+        failures = failures if failures is not None else self.spark.createDataFrame([], "order_id string, error string, attempts int")
         blank = F.lit(None).cast("string")
+        found = live.lookup(questions.select("query_id", "order_id"), orders, failures, "order_id").where("outcome <> 'not_asked'")
         card = F.struct(
             F.when(F.col("outcome") == "found", "order").when(F.col("outcome") == "unavailable", "degraded").otherwise("not_found").alias("type"),
             F.lit("order_status").alias("adapter"), "order_id", blank.alias("sku"), "status", "carrier", "eta", blank.alias("stock"), blank.alias("warehouse"), "error",
             "attempts", F.lit(False).alias("short_circuited"), F.lit(False).alias("non_retryable"), blank.alias("note"),
         )
-        cards = found.select("query_id", F.struct(F.lit(0).alias("k"), answers.live_line(card).alias("line")).alias("c"))
+        cards = found.select("query_id", F.lit(0).alias("place"), answers.live_line(card).alias("item"))
         items = live.lookup(questions.select("query_id", "sku"), stock, failures.select(F.col("order_id").alias("sku"), "error", "attempts").limit(0), "sku").where("outcome <> 'not_asked'")
         item = F.struct(
             F.when(F.col("outcome") == "found", "inventory").otherwise("not_found").alias("type"), F.lit("inventory").alias("adapter"), blank.alias("order_id"), "sku",
             blank.alias("status"), blank.alias("carrier"), blank.alias("eta"), F.col("stock").cast("string").alias("stock"), "warehouse", "error", "attempts",
             F.lit(False).alias("short_circuited"), F.lit(False).alias("non_retryable"), blank.alias("note"),
         )
-        cards = cards.union(items.select("query_id", F.struct(F.lit(1).alias("k"), answers.live_line(item).alias("line")).alias("c")))
+        cards = cards.union(items.select("query_id", F.lit(1), answers.live_line(item)))
         notes = questions.select("query_id", F.explode(live.prompts(F.col("query"), F.col("order_id"), F.col("sku"))).alias("n"))
-        cards = cards.union(notes.select("query_id", F.struct(F.lit(2).alias("k"), F.concat(F.lit("："), "n").alias("line")).alias("c")))
-        per_live = cards.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list("c")), lambda c: c["line"]).alias("live"))
-        key = questions.select("query_id", "query", "order_id", "sku")
+        return cards.union(notes.select("query_id", F.lit(2), F.concat(F.lit("："), "n"))).withColumn("score", F.lit(None).cast("double"))
+
+    def action_evidence(self, questions: DataFrame) -> DataFrame:
+        """query_id, place, item, score (null): the outcome of the action that each question asks
+        for, which is run (or waits for its confirmation) and logged."""
+        done = self.run_actions(self.requested(questions))
+        asked = self.requested(questions).select("action_id", "query_id").distinct()
+        line = F.concat_ws(" ", F.concat(F.col("action"), F.lit("：")), "status", F.coalesce("error", F.lit("")))
+        return done.join(asked, "action_id").select("query_id", F.lit(0).alias("place"), F.trim(line).alias("item"), F.lit(None).cast("double").alias("score"))
+
+    def _answers(self, questions: DataFrame, evidence: DataFrame, tried: DataFrame) -> DataFrame:
+        """Answers from evidence (query_id, channel, place, item, score); ``tried`` has query_id and
+        the arrays done and declined of capabilities."""
         none = F.array().cast("array<string>")
-        q = key.join(per_hits, "query_id", "left").join(per_facts.withColumn("query_id", F.col("query_id").cast(dict(key.dtypes)["query_id"])), "query_id", "left").join(per_live, "query_id", "left")
-        q = q.withColumn("actions", none)
-        for c in ("hits", "paths", "live"):
-            q = q.withColumn(c, F.coalesce(c, none))
+        pick = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col("channel") == c, F.struct("place", "item")))), lambda x: x["item"])
+        best = F.max_by("score", F.when(F.col("channel") == "hits", -F.col("place")))
+        per = evidence.groupBy("query_id").agg(pick("hits").alias("hits"), pick("facts").alias("paths"), pick("live").alias("live"), pick("actions").alias("actions"), best.alias("score"))
+        q = questions.select("query_id", "query", "order_id", "sku").join(per, "query_id", "left").join(tried, "query_id", "left")
+        q = q.withColumns({c: F.coalesce(c, none) for c in ("hits", "paths", "live", "actions", "done", "declined")})
         made = answers.synthesise(q).withColumn("n_facts", F.size("paths"))
-        score = F.round(ranking.confidence_boost(F.coalesce("score", F.lit(0.0)), F.col("n_facts")), 4)
-        made = made.withColumn("score", score)
+        made = made.withColumn("score", F.round(ranking.confidence_boost(F.coalesce("score", F.lit(0.0)), F.col("n_facts")), 4))
         made = made.withColumn("confidence", ranking.confidence_label(F.col("score"))).withColumn("guardrail", ranking.guardrail(F.col("score")))
-        tried = F.array(F.lit("retrieval"), F.lit("graph"))
-        judged = live.critic(made.withColumn("n_hits", F.size("hits")).withColumn("n_live", F.size("live")).withColumn("done", tried).withColumn("declined", none))
-        return judged.select("query_id", "summary", "answer", "score", "confidence", "n_facts", "guardrail", "missing")
+        return live.critic(made.withColumn("n_hits", F.size("hits")).withColumn("n_live", F.size("live")))
+
+    def workers(self, orders: DataFrame, stock: DataFrame, failures: DataFrame | None = None, top_k: int = 5, actions: bool = False) -> list[Worker]:
+        """Those who can be asked for evidence. The one who acts joins only where ``actions`` says
+        so, and never confirms what it starts."""
+        bad = F.contains("item", F.lit("实时数据暂不可用"))
+        out = [
+            Worker("Retriever", ("retrieval", "semantic"), "hits", lambda q: self.hit_evidence(q, top_k), "search"),
+            Worker("GraphReasoner", ("graph", "reasoning"), "facts", self.fact_evidence, "graph walk"),
+            Worker("LiveData", ("live", "api"), "live", lambda q: self.live_evidence(q, orders, stock, failures), "lookups", bad),
+        ]
+        return [*out, Worker("ActionAgent", ("action",), "actions", self.action_evidence, "actions")] if actions else out
+
+    def multi_ask(
+        self, questions: DataFrame, orders: DataFrame, stock: DataFrame, failures: DataFrame | None = None, top_k: int = 5, max_rounds: int = 2,
+        plans: DataFrame | None = None, actions: bool = False, workers: list[Worker] | None = None, delegate=None,
+    ) -> tuple[DataFrame, Outcome]:
+        """As :meth:`ask`, in rounds (:mod:`.rounds`): answers with the columns of ``ask`` and how
+        they came about (rounds, executed, negotiated, delegated, requests, replies, declined,
+        pending_human), and the outcome with the ledger and the stages.
+
+        Questions may say need_graph and need_live; ``plans`` (query_id, answer) are plans that a
+        model wrote. Questions whose guardrail fails, or that have an action to confirm, wait for
+        a person (pending_human).
+        """
+        team = workers or self.workers(orders, stock, failures, top_k, actions)
+        roster = self.spark.createDataFrame([(w.agent, list(w.capabilities), i) for i, w in enumerate(team)], "agent string, capabilities array<string>, seq int")
+        asked = questions.withColumns({c: F.lit(None).cast("boolean") for c in ("need_graph", "need_live") if c not in questions.columns})
+        planned = agents.plan(asked, roster) if plans is None else agents.plan_from_answers(plans, asked, roster)
+        planned = planned.select("query_id", "agent")
+        if actions:  # whoever may act is not for a planner to say
+            planned = planned.unionByName(questions.select("query_id", F.lit("ActionAgent").alias("agent")))
+        outcome = ask_in_rounds(questions, team, planned, max_rounds, delegate)
+        story = stored(outcome.collaboration(questions), "story")
+        skills = self.spark.createDataFrame([(w.agent, list(w.capabilities)) for w in team], "agent string, capabilities array<string>")
+        done = outcome.ran.join(F.broadcast(skills), "agent").select("query_id", F.explode("capabilities").alias("c")).groupBy("query_id").agg(F.collect_set("c").alias("done"))
+        tried = story.select("query_id", "declined").join(done, "query_id", "left")
+        own = questions.withColumn("query_id", F.col("query_id").cast("long"))
+        made = self._answers(own, outcome.evidence, tried)
+        waits = F.exists("actions", lambda a: F.contains(a, F.lit("needs_confirmation")))
+        made = made.select("query_id", "summary", "answer", "score", "confidence", "n_facts", "guardrail", "missing", ((F.col("guardrail") == "escalate") | waits).alias("pending_human"))
+        return made.join(story, "query_id"), outcome
 
     # ------------------------------------------------------------ actions
 
