@@ -5,11 +5,12 @@ nodes: key, type, name, props (map), docs (array), seq. edges: src, rel, dst, do
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.text import strip
+from ..sources.scratch import stored
 from .ranking import by_rows
 
 STEP = "array<struct<rel:string,direction:string,node:string>>"
@@ -132,18 +133,65 @@ def find_entities(nodes: DataFrame, edges: DataFrame, part: str = "", kind: str
     return with_degree.select("key", "type", "name", "degree").orderBy(F.desc("degree"), "name", "key").limit(limit)
 
 
+#: Letters of the pieces by which names are looked up.
+PIECE = 3
+
+
+def _pieces(text: str, length: Column) -> Column:
+    """The distinct substrings of ``length`` letters of a column; none of a shorter text."""
+    n = F.length(text) - length + 1
+    every = F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(F.col(text), i, length))
+    return F.array_distinct(F.when(n >= 1, every).otherwise(F.array().cast("array<string>")))
+
+
+def containing(asked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """name, key, seq: nodes (key, _n, seq) whose name ``_n`` contains an asked name.
+
+    An asked name of up to ``PIECE`` letters is looked up among the nodes' substrings of its
+    length, a longer one by the one of its pieces that the fewest nodes have, and verified.
+    """
+    a = asked.select("name").distinct().withColumn("_l", F.least(F.length("name"), F.lit(PIECE)))
+    lengths = sorted(r[0] for r in a.select("_l").distinct().collect())  # PIECE numbers at most
+    if not lengths:
+        return a.join(nodes, F.lit(False)).select("name", "key", "seq")
+    # pieces of the lengths asked for only
+    index = nodes.select("key", "_n", "seq", F.explode(F.array_distinct(F.flatten(F.array(*(_pieces("_n", F.lit(n)) for n in lengths))))).alias("piece"))
+    grams = by_rows(stored(a.select("name", F.explode(_pieces("name", F.col("_l"))).alias("piece")), "pieces"))
+    share = index.join(grams.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.count("*").alias("n"))
+    known = grams.join(share, "piece", "left")
+    # a piece that no node has leaves its name without a match
+    rare = known.groupBy("name").agg(F.min_by("piece", F.struct(F.col("n").isNotNull(), "n", "piece")).alias("piece"), F.bool_and(F.col("n").isNotNull()).alias("all"))
+    rare = stored(rare.where("all").select("name", "piece"), "rare")
+    return index.join(by_rows(rare), "piece").where(F.contains("_n", "name")).select("name", "key", "seq")
+
+
+def contained(asked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """name, key, seq: nodes (key, _n, seq) whose name is a part of an asked name. The asked names
+    are cut into substrings of the lengths that node names have, and these are the join key."""
+    a = asked.select("name").distinct()
+    longest = a.agg(F.max(F.length("name"))).first()[0] or 0
+    # lengths, not names: as many as the longest asked name has letters at most
+    lengths = [r[0] for r in nodes.select(F.length("_n").alias("l")).where(F.col("l").between(1, longest)).distinct().collect()]
+    if not lengths:
+        return a.join(nodes, F.lit(False)).select("name", "key", "seq")
+    cut = a.select("name", F.explode(F.array(*map(F.lit, sorted(lengths)))).alias("_l")).select("name", F.explode(_pieces("name", F.col("_l"))).alias("_n"))
+    return nodes.join(by_rows(stored(cut, "parts"), 1_000_000), "_n").select("name", "key", "seq")
+
+
 def resolve(names: DataFrame, nodes: DataFrame) -> DataFrame:
     """(query_id, name) to (query_id, key): the exact key or name first, else the earliest node
-    whose name contains the asked one or is contained in it. Exact matches are an equi-join;
-    containment is tried for the names it leaves over only."""
-    n = nodes.select("key", F.col("name").alias("_n"), "seq")
-    exact = names.join(n, F.col("name") == F.col("_n")).union(names.join(n, F.col("name") == F.col("key")))
-    first = Window.partitionBy("query_id", "name").orderBy("seq", "key")
-    exact = exact.withColumn("_k", F.row_number().over(first)).where("_k = 1").select("query_id", "name", "key")
+    whose name contains the asked one or is contained in it. All are equi-joins; containment is
+    tried for the names that exact matches leave over only."""
+    names = stored(names.select("query_id", "name"), "names")
+    nodes = stored(nodes.select("key", F.col("name").alias("_n"), "seq"), "nodes")
+    first = F.min(F.struct("seq", "key"))
+    exact = names.join(nodes, F.col("name") == F.col("_n")).union(names.join(nodes, F.col("name") == F.col("key")))
+    exact = stored(exact.groupBy("query_id", "name").agg(first.alias("f")).select("query_id", "name", "f.key"), "exact")
     rest = names.join(exact, ["query_id", "name"], "left_anti").where("name <> ''")
-    near = by_rows(rest, 10_000).join(n, (F.col("_n") != "") & (F.contains("_n", "name") | F.contains("name", "_n")))
-    near = near.withColumn("_k", F.row_number().over(first)).where("_k = 1").select("query_id", "name", "key")
-    return exact.unionByName(near)
+    if rest.isEmpty():
+        return exact
+    near = containing(rest, nodes).union(contained(rest, nodes)).groupBy("name").agg(first.alias("f")).select("name", "f.key")
+    return exact.unionByName(rest.distinct().join(near, "name").select("query_id", "name", "key"))
 
 
 def neighbours(starts: DataFrame, edges: DataFrame, depth: int = 1, direction: str = "out", rel: str | None = None, limit: int | None = None) -> DataFrame:
@@ -152,16 +200,17 @@ def neighbours(starts: DataFrame, edges: DataFrame, depth: int = 1, direction: s
     ``starts`` has query_id and key. ``depth`` is clamped to 1..4; ``rel`` restricts every hop;
     of several shortest paths the one of the smallest (previous node, edge seq) stays, and
     ``limit`` keeps the nearest nodes of each query. Each hop is a join with the edges and an
-    anti-join with what was seen; nothing is collected.
+    anti-join with what was seen. Edges and frontiers are written once, so a hop reads those of
+    one hop before it; the edges of a hub are split by the adaptive skew join.
     """
-    walk = directed(edges if rel is None else edges.where(F.col("rel") == rel), direction)
-    seen = starts.select("query_id", F.col("key"), F.lit(0).alias("depth"), F.expr(f"CAST(array() AS {STEP})").alias("path"))
-    frontier = seen
+    walk = stored(directed(edges if rel is None else edges.where(F.col("rel") == rel), direction), "walk")
+    frontier = stored(starts.select("query_id", F.col("key"), F.lit(0).alias("depth"), F.expr(f"CAST(array() AS {STEP})").alias("path")), "hop")
+    seen = frontier
     for d in range(1, max(1, min(4, depth)) + 1):
         step = F.array(F.struct("rel", "direction", F.col("next").alias("node")))
         hop = frontier.join(walk, F.col("key") == F.col("node")).select("query_id", F.col("next").alias("key"), F.col("key").alias("_from"), "seq", "rel", F.concat("path", step).alias("path"))
         best = hop.groupBy("query_id", "key").agg(F.min_by("path", F.struct("_from", "seq", "rel")).alias("path"))
-        frontier = best.join(seen.select("query_id", "key"), ["query_id", "key"], "left_anti").select("query_id", "key", F.lit(d).alias("depth"), "path")
+        frontier = stored(best.join(seen.select("query_id", "key"), ["query_id", "key"], "left_anti").select("query_id", "key", F.lit(d).alias("depth"), "path"), "hop")
         seen = seen.unionByName(frontier)
     found = seen.where("depth > 0")
     if limit is not None:
@@ -170,20 +219,40 @@ def neighbours(starts: DataFrame, edges: DataFrame, depth: int = 1, direction: s
 
 
 def simple_paths(pairs: DataFrame, edges: DataFrame, depth: int = 3, limit: int = 10) -> DataFrame:
-    """query_id, length, nodes (from start to end) of paths without a repeated node over
+    """query_id, length, nodes (from start to end), rank of paths without a repeated node over
     undirected edges, shortest first, ``limit`` for each pair (query_id, src, dst). ``depth`` is
-    clamped to 1..5. Paths grow from both rows' starts by joins; a path is dropped where it
-    would meet a node again, and kept once it reaches its end."""
+    clamped to 1..5.
+
+    Paths grow from both ends, half of the depth each, and meet in the middle: one of length n
+    is a half of ceil(n / 2) edges from its start and one of the other edges from its end, so it
+    is found once. A pair that has ``limit`` paths grows no further, as longer ones come after.
+    """
     depth = max(1, min(5, depth))
-    walk = directed(edges).select("node", "next").distinct()
-    grown = pairs.where("src <> dst").select("query_id", F.col("dst").alias("_end"), F.col("src").alias("_at"), F.array("src").alias("nodes"))
-    done = None
-    for _ in range(depth):
-        grown = grown.join(walk, F.col("_at") == F.col("node")).where(~F.array_contains("nodes", F.col("next"))).select("query_id", "_end", F.col("next").alias("_at"), F.concat("nodes", F.array("next")).alias("nodes"))
-        hit = grown.where(F.col("_at") == F.col("_end")).select("query_id", (F.size("nodes") - 1).alias("length"), "nodes")
-        done = hit if done is None else done.unionByName(hit)
-        grown = grown.where(F.col("_at") != F.col("_end"))
+    walk = stored(directed(edges).select("node", "next").distinct(), "walk")
+    pairs = stored(pairs.where("src <> dst").select("query_id", "src", "dst").distinct(), "pairs")
+    ends = {"src": "dst", "dst": "src"}
+    halves = {e: pairs.select("query_id", "src", "dst", F.col(e).alias("at"), F.col(o).alias("other"), F.array(e).alias("nodes")) for e, o in ends.items()}
+
+    def grown(half: DataFrame) -> DataFrame:
+        longer = half.join(walk, F.col("at") == F.col("node")).where((F.col("next") != F.col("other")) & ~F.array_contains("nodes", F.col("next")))
+        return stored(longer.select("query_id", "src", "dst", F.col("next").alias("at"), "other", F.concat("nodes", F.array("next")).alias("nodes")), "half")
+
     order = Window.partitionBy("query_id").orderBy("length", F.array_join("nodes", "\x00"))
+    done = None
+    for n in range(1, depth + 1):
+        # the half from the start takes its last edge when it meets, so neither grows past the other end
+        back = halves["dst"].select("query_id", "src", "dst", F.col("at").alias("next"), F.col("nodes").alias("_back"))
+        met = halves["src"].join(walk, F.col("at") == F.col("node")).join(back, ["query_id", "src", "dst", "next"])
+        met = met.where(~F.arrays_overlap("nodes", "_back")).select("query_id", F.lit(n).alias("length"), F.concat("nodes", F.reverse("_back")).alias("nodes"))
+        # rows of one pair that rank below the limit go before they are written
+        met = stored(met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).drop("rank"), "met")
+        done = met if done is None else done.unionByName(met)
+        if n == depth:
+            break
+        full = done.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= limit).select("query_id")
+        side = "dst" if n % 2 else "src"
+        halves = {e: h.join(full, "query_id", "left_anti") for e, h in halves.items()}
+        halves[side] = grown(halves[side])
     return done.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 

@@ -124,6 +124,42 @@ def graph_paths(spark, d):
     return found.select("query_id", "length", F.array_join("nodes", " ").alias("path"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(f"""WITH {EDGES_SQL}, w AS (SELECT DISTINCT node, next FROM b), p AS (SELECT c_custkey AS query_id, 'Customer:' || c_custkey AS s, 'Customer:' || (c_custkey + 1) AS t FROM customer WHERE c_custkey % 50 = 0),
+l AS (SELECT query_id, s, a.next AS t1, m.next AS m FROM p JOIN w a ON a.node = s JOIN w m ON m.node = a.next WHERE m.next <> s), r AS (SELECT query_id, t, a.next AS t2, m.next AS m FROM p JOIN w a ON a.node = t JOIN w m ON m.node = a.next WHERE m.next <> t)
+SELECT query_id, path, rank FROM (SELECT query_id, concat_ws(' ', s, t1, m, t2, t) AS path, row_number() OVER (PARTITION BY query_id ORDER BY concat_ws(chr(1), s, t1, m, t2, t)) AS rank
+  FROM l JOIN r USING (query_id, m) WHERE t1 <> t2 AND m NOT IN (s, t)) WHERE rank <= 10""")
+def graph_paths_deep(spark, d):
+    """Paths of up to four edges from customers to the next ones: over tickets of one category or product."""
+    pairs = _customers(spark, d).select("query_id", F.col("key").alias("src"), F.concat(F.lit("Customer:"), (F.col("query_id") + 1).cast("string")).alias("dst"))
+    found = graph.simple_paths(pairs, edges(spark, d), 4, 10)
+    return found.select("query_id", F.array_join("nodes", " ").alias("path"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""WITH {EDGES_SQL}, {START_SQL}, w AS (SELECT DISTINCT node, next FROM b WHERE rel <> 'CATEGORY_OF'),
+h1 AS (SELECT DISTINCT query_id, next AS key FROM st JOIN w ON node = key), h2 AS (SELECT DISTINCT query_id, next AS key FROM h1 JOIN w ON node = key EXCEPT SELECT query_id, key FROM st),
+h3 AS (SELECT DISTINCT query_id, next AS key FROM h2 JOIN w ON node = key EXCEPT (SELECT query_id, key FROM st UNION ALL SELECT query_id, key FROM h1)),
+h4 AS (SELECT DISTINCT query_id, next AS key FROM h3 JOIN w ON node = key EXCEPT (SELECT query_id, key FROM st UNION ALL SELECT query_id, key FROM h1 UNION ALL SELECT query_id, key FROM h2))
+SELECT query_id, depth, count(*) AS n FROM (SELECT query_id, 1::BIGINT AS depth FROM h1 UNION ALL SELECT query_id, 2 FROM h2 UNION ALL SELECT query_id, 3 FROM h3 UNION ALL SELECT query_id, 4 FROM h4) GROUP BY ALL""")
+def graph_reach(spark, d):
+    """How many nodes lie one to four hops from each start, without the categories."""
+    near = graph.neighbours(_customers(spark, d), edges(spark, d).where("rel <> 'CATEGORY_OF'"), 4, "both")
+    return near.groupBy("query_id", F.col("depth").cast("long").alias("depth")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {NODES_SQL}, k AS (SELECT type || ':' || name AS key, name AS n, seq FROM n),
+q AS (SELECT c_custkey AS query_id, 'case ' || c_custkey || ' of' AS name FROM customer WHERE c_custkey % 50 = 0 UNION SELECT o_orderkey, substr(o_orderpriority, 3, 4) FROM orders WHERE o_orderkey % 50 = 0
+  UNION SELECT o_orderkey, 'Ticket:' || o_orderkey FROM orders WHERE o_orderkey % 50 = 0),
+j AS (SELECT query_id, q.name, k.key, row_number() OVER (PARTITION BY query_id, q.name ORDER BY (q.name = k.n OR q.name = k.key) DESC, seq, k.key) AS r FROM q JOIN k ON contains(k.n, q.name) OR contains(q.name, k.n) OR q.name = k.key)
+SELECT query_id, name, key FROM j WHERE r = 1""")
+def graph_resolve(spark, d):
+    """Partial names, longer names and keys of nodes, resolved over all nodes."""
+    o = read(spark, d, "orders").where("o_orderkey % 50 = 0")
+    c = read(spark, d, "customer").where("c_custkey % 50 = 0")
+    names = c.select(F.col("c_custkey").alias("query_id"), F.concat(F.lit("case "), F.col("c_custkey").cast("string"), F.lit(" of")).alias("name"))
+    names = names.union(o.select("o_orderkey", F.substring("o_orderpriority", 3, 4))).union(o.select("o_orderkey", F.concat(F.lit("Ticket:"), F.col("o_orderkey").cast("string"))))
+    return graph.resolve(names.distinct(), nodes(spark, d))
+
+
 @query(f"""WITH {EDGES_SQL}, {START_SQL}, f AS (SELECT query_id, 'Ticket' AS k, src AS subject, rel, dst AS object, 1 AS depth FROM st JOIN e ON e.dst = st.key)
 SELECT query_id, subject, rel, object, depth, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY depth, subject, rel, object) AS rank FROM f) WHERE rank <= 12""")
 def graph_expand(spark, d):
