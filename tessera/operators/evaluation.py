@@ -2,27 +2,44 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.text import says
+from ..sources.scratch import stored
 
 
 def nearest_rank(values: DataFrame, column: str, quantiles, by: list[str] | None = None) -> DataFrame:
     """The value at index round((n - 1) q), halves to even, of each group: no interpolation.
 
-    A row's index comes from a distributed count of smaller values: values are grouped, so the
-    window runs over distinct values of a group, not over rows."""
+    Distinct values with their counts are dealt by ranges of (group, value), so a group of any
+    size lies in as many partitions as it needs. The rows of each partition are counted, and only
+    the partitions in which a wanted index falls are looked into.
+    """
     by = by or []
     counts = values.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("_c"))
-    n = counts.groupBy(*by).agg(F.sum("_c").alias("_n")) if by else counts.agg(F.sum("_c").alias("_n"))
-    upto = F.sum("_c").over(Window.partitionBy(*by, F.lit(0)).orderBy(column))
-    ranked = counts.withColumn("_upto", upto)
-    joined = ranked.join(n, by) if by else ranked.crossJoin(F.broadcast(n))  # one row
+    dealt = stored(counts.repartitionByRange(*by, column).withColumn("_p", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy(*by, "_p").agg(F.sum("_c").alias("_s"))
+    if by:
+        upto = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+        sizes = sizes.withColumn("_e", F.sum("_s").over(upto)).withColumn("_n", F.sum("_s").over(Window.partitionBy(*by)))
+    else:  # a row for each partition
+        rows = sorted((r["_p"], r["_s"]) for r in sizes.collect())
+        ends = list(accumulate(s for _, s in rows))
+        table = [(p, s, e, ends[-1]) for (p, s), e in zip(rows, ends, strict=True)]
+        sizes = dealt.sparkSession.createDataFrame(table, "_p int, _s long, _e long, _n long")
     qs = F.explode(F.array(*(F.lit(float(q)) for q in quantiles)))
     index = F.bround((F.col("_n") - 1) * F.col("q"))
-    hit = joined.withColumn("q", qs).where((F.col("_upto") > index) & (F.col("_upto") - F.col("_c") <= index))
+    wanted = sizes.withColumn("q", qs).where((F.col("_e") > index) & (F.col("_e") - F.col("_s") <= index))
+    wanted = wanted.select(*(F.col(c).alias(f"_by_{i}") for i, c in enumerate(by)), F.col("_p").alias("_w"), "q", (index - (F.col("_e") - F.col("_s"))).alias("_i"))
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{i}")) for i, c in enumerate(by)]
+    inside = Window.partitionBy(*by, "_p").orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
+    places = wanted.drop("q", "_i").distinct()
+    looked = dealt.join(places, [F.col("_p") == F.col("_w"), *same], "left_semi").withColumn("_u", F.sum("_c").over(inside))
+    hit = looked.join(wanted, [F.col("_p") == F.col("_w"), *same]).where((F.col("_u") > F.col("_i")) & (F.col("_u") - F.col("_c") <= F.col("_i")))
     return hit.select(*by, "q", F.col(column).alias("value"))
 
 

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions import text as T
 from ..operators import agents, answers, chunking, extraction, graph, live, ranking
+from ..operators.embedders import HashEmbedder
 from ..sources.files import read_folder
+from ..sources.graph_store import GraphStore, View
 from ..sources.scratch import stored
 from ..sources.tables import VersionedTable
 from .rounds import Outcome, Worker, ask_in_rounds
 
 CHUNKS = "seq long, doc_id string, chunk_index int, char_len int, content string"
-NODES = "key string, type string, name string, docs array<string>, seq long, props map<string,string>"
-EDGES = "src string, rel string, dst string, docs array<string>, seq long"
 ACTIONS = "action_id string, action string, order_id string, field string, value string, amount double, subject string, priority string, confirmed boolean, customer string, sku string, ticket_id string, status string, error string, seq long"
 POSTINGS = "seq long, term string, tf long, dl int"
 VECTORS = "seq long, idx int, weight double, dim int"
@@ -25,13 +25,13 @@ class KnowledgeBase:
     """Chunks with their postings and embeddings, graph and action log under one folder. Every method that answers takes a table of
     questions (query_id, query, order_id, sku) and returns a DataFrame."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, path: str, embedder=None):
+        self.spark, self.embedder = spark, embedder
         self.chunks = VersionedTable(spark, f"{path}/chunks", CHUNKS)
         self.postings = VersionedTable(spark, f"{path}/postings", POSTINGS)
         self.vectors = VersionedTable(spark, f"{path}/vectors", VECTORS)
-        self.nodes = VersionedTable(spark, f"{path}/nodes", NODES)
-        self.edges = VersionedTable(spark, f"{path}/edges", EDGES)
+        self.graph = GraphStore(spark, f"{path}/graph")
+        self.nodes, self.edges = View(self.graph.nodes), View(self.graph.edges_with_docs)
         self.actions = VersionedTable(spark, f"{path}/actions", ACTIONS)
 
     def ping(self) -> str:
@@ -39,20 +39,24 @@ class KnowledgeBase:
 
     # ------------------------------------------------------------ documents
 
-    def ingest(self, docs: DataFrame, strategy: str = "fine") -> int:
-        """Add documents (doc_id, text): their chunks, and the triples they state. Ingesting a
-        document again adds its chunks again, as in an append-only store."""
-        made = chunking.chunk(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text"), strategy=strategy)
+    def ingest(self, docs: DataFrame, strategy: str = "fine", batch: str | None = None) -> int:
+        """Add documents (doc_id, text): their chunks, and the triples they state; returns how many
+        chunks were added. Ingesting a document again adds its chunks again, as in an append-only
+        store. A named ``batch`` can be given again after a failure: what it had added already
+        stays as it is, and the rest is added. Chunks come last of what a search reads."""
+        docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
         before = self.chunks.count()
         # the same document ingested again has chunks of its own
-        seq = F.xxhash64("doc_id", "chunk_index", "content", F.lit(before))
-        made = made.select(seq.alias("seq"), "doc_id", "chunk_index", "char_len", "content")
-        self.chunks.append(made)
-        tf = ranking.term_frequencies(made, "seq", "content").select("seq", "term", "tf", "dl")
-        self.postings.append(tf)
-        dim = self.dimension()
-        self.vectors.append(ranking.hash_embedding(made, "seq", dim=dim, postings=tf).withColumn("dim", F.lit(dim)))
-        self.add_triples(extraction.extract_triples(docs))
+        seq = F.xxhash64("doc_id", "chunk_index", "content", F.lit(before if batch is None else batch))
+        made = chunking.chunk(docs, strategy=strategy).select(seq.alias("seq"), "doc_id", "chunk_index", "char_len", "content")
+        # all is made, and each text read once by each step, before any table changes
+        made = stored(made, "chunks")
+        tf = stored(ranking.term_frequencies(made, "seq", "content").select("seq", "term", "tf", "dl"), "postings")
+        vectors = stored(self._embedded(made, tf), "vectors")
+        triples = stored(extraction.extract_triples(docs), "triples")
+        for table, rows in ((self.postings, tf), (self.vectors, vectors), (self.chunks, made)):
+            table.append(rows if batch is None else rows.join(table.read().select("seq").distinct(), "seq", "left_anti").select(rows.columns))
+        self.add_triples(triples)
         return self.chunks.count() - before
 
     def dimension(self) -> int:
@@ -60,10 +64,18 @@ class KnowledgeBase:
         row = self.vectors.read().select("dim").first()
         return row.dim if row else ranking.DIM
 
-    def reembed(self, dim: int) -> int:
-        """Embed all chunks anew with ``dim`` slots, from their postings; returns their number."""
-        made = ranking.hash_embedding(self.chunks.read(), "seq", dim=dim, postings=self.postings.read())
-        self.vectors.replace(made.withColumn("dim", F.lit(dim)))
+    def _embedder(self):
+        return self.embedder or HashEmbedder(self.dimension())
+
+    def _embedded(self, chunks: DataFrame, postings: DataFrame) -> DataFrame:
+        own = self._embedder()
+        return own.embed(chunks, "seq", "content", postings if own.from_postings else None).withColumn("dim", F.lit(own.dim))
+
+    def reembed(self, by) -> int:
+        """Embed all chunks anew, by an embedder or by the hash embedder with so many slots, from
+        their postings where it can; returns their number. Searches use it from then on."""
+        self.embedder = HashEmbedder(by) if isinstance(by, int) else by
+        self.vectors.replace(self._embedded(self.chunks.read(), self.postings.read()))
         return self.chunks.count()
 
     def ingest_folder(self, path: str, prefix: str = "") -> DataFrame:
@@ -78,24 +90,17 @@ class KnowledgeBase:
         newest. Returns how many edges were added, how many valid triples were known already
         (skipped) and how many the ontology forbids (invalid)."""
         schema = graph.relation_schema(self.spark)
-        last = self.nodes.read().agg(F.max("seq").alias("s")).first().s
-        ok = graph.valid_triples(triples, schema).withColumn("seq", F.col("seq") + (0 if last is None else last + 1))
-        known = self.edges.read()
-        made = graph.edges_of(ok)
-        n = made.agg(F.count("*").alias("n")).first().n
-        added = made.join(known, ["src", "rel", "dst"], "left_anti").count() if n else 0
+        last = self.graph.last_seq()
+        triples = stored(triples, "triples")
+        ok = stored(graph.valid_triples(triples, schema).withColumn("seq", F.col("seq") + (0 if last is None else last + 1)), "valid")
+        made = stored(ok.select(graph.node_key(F.col("subject_type"), F.col("subject")).alias("src"), "rel", graph.node_key(F.col("object_type"), F.col("object")).alias("dst")).distinct(), "edges")
+        added = made.count() - self.graph.known(made).count()
         total, valid = triples.count(), ok.count()
-        self._upsert(graph.nodes_of(ok), made)
+        self.graph.upsert_triples(ok)
         return {"added": added, "skipped": valid - added, "invalid": total - valid}
 
-    def _upsert(self, nodes: DataFrame, edges: DataFrame) -> None:
-        merged = graph.merge_nodes(self.nodes.read(), nodes), graph.merge_edges(self.edges.read(), edges)
-        self.nodes.replace(merged[0])
-        self.edges.replace(merged[1])
-
     def clear_graph(self) -> None:
-        self.nodes.replace(self.spark.createDataFrame([], NODES))
-        self.edges.replace(self.spark.createDataFrame([], EDGES))
+        self.graph.clear()
 
     def rebuild_graph(self) -> DataFrame:
         """The graph made anew from all chunks; returns its statistics."""
@@ -106,16 +111,14 @@ class KnowledgeBase:
     def update_graph(self) -> None:
         """Add what documents without a Document node state."""
         texts = chunking.document_text(self.chunks.read())
-        self.add_triples(extraction.extract_triples(graph.unseen_documents(texts, self.nodes.read())))
+        self.add_triples(extraction.extract_triples(graph.unseen_documents(texts, self.graph.nodes())))
 
     def documents(self) -> DataFrame:
         return chunking.document_list(self.chunks.read())
 
     def delete_document(self, doc_id: str) -> int:
         """Remove a document's chunks and what only it states; returns the number of chunks."""
-        nodes, edges = graph.delete_document(self.nodes.read(), self.edges.read(), self.spark.createDataFrame([(doc_id,)], "doc_id string"))
-        self.nodes.replace(nodes.select("key", "type", "name", "docs", "seq", "props"))
-        self.edges.replace(edges.select("src", "rel", "dst", "docs", "seq"))
+        self.graph.delete_documents(self.spark.createDataFrame([(doc_id,)], "doc_id string"))
         gone = self.chunks.read().where(F.col("doc_id") == doc_id).select("seq")
         for table in (self.postings, self.vectors):
             table.replace(table.read().join(gone, "seq", "left_anti"))
@@ -128,28 +131,28 @@ class KnowledgeBase:
         embeddings; ``lam`` (none: off) and ``rerank`` as in ``ranking.hybrid_search``."""
         chunks = self.chunks.read()
         own = chunks.select(F.col("seq").alias("id"), F.col("content").alias("text"))
-        stored = self.postings.read().withColumnRenamed("seq", "id"), self.vectors.read().select(F.col("seq").alias("id"), "idx", "weight")
+        have = self.postings.read().withColumnRenamed("seq", "id"), self.vectors.read().select(F.col("seq").alias("id"), "idx", "weight")
         asked = questions.select("query_id", "query")
-        hits = ranking.hybrid_search(own, asked, top_k, mode, min_score, dim=self.dimension(), lam=lam, rerank=rerank, postings=stored[0], embeddings=stored[1])
+        hits = ranking.hybrid_search(own, asked, top_k, mode, min_score, lam=lam, rerank=rerank, postings=have[0], embeddings=have[1], embedder=self._embedder())
         return hits.join(chunks, F.col("id") == F.col("seq")).select("query_id", "rank", "score", "source", "doc_id", "chunk_index", "content")
 
     def graph_stats(self) -> DataFrame:
-        return graph.stats(self.nodes.read(), self.edges.read())
+        return graph.stats(self.graph.nodes(), self.graph.edges())
 
     def graph_entities(self, part: str = "", kind: str | None = None, limit: int = 20) -> DataFrame:
-        return graph.find_entities(self.nodes.read(), self.edges.read(), part, kind, limit)
+        return graph.find_entities(self.graph.nodes(), self.graph.edges(), part, kind, limit)
 
     def graph_query(self, names: DataFrame, depth: int = 1, direction: str = "out", rel: str | None = None, limit: int = 20) -> DataFrame:
-        return graph.neighbours(graph.resolve(names, self.nodes.read()), self.edges.read(), depth, direction, rel, limit)
+        return graph.neighbours(graph.resolve(names, self.graph.nodes()), self.graph.edges(), depth, direction, rel, limit)
 
     def graph_paths(self, pairs: DataFrame, depth: int = 3, limit: int = 10) -> DataFrame:
-        return graph.simple_paths(pairs, self.edges.read(), depth, limit)
+        return graph.simple_paths(pairs, self.graph.edges(), depth, limit)
 
     def graph_expand(self, questions: DataFrame, depth: int = 2, limit: int = 12) -> DataFrame:
-        return graph.expand_facts(extraction.query_entities(questions), self.nodes.read(), self.edges.read(), depth, limit)
+        return graph.expand_facts(extraction.query_entities(questions), self.graph.nodes(), self.graph.edges(), depth, limit)
 
     def graph_export(self) -> tuple[DataFrame, DataFrame]:
-        return graph.export(self.nodes.read(), self.edges.read())
+        return graph.export(self.graph.nodes(), self.graph.edges())
 
     def ask(self, questions: DataFrame, orders: DataFrame, stock: DataFrame, failures: DataFrame | None = None, top_k: int = 5) -> DataFrame:
         """query_id, summary, answer, score, confidence, n_facts, guardrail, missing of each
@@ -288,7 +291,7 @@ class KnowledgeBase:
         return rows
 
     def _write_tickets(self, opened: DataFrame) -> None:
-        last = self.nodes.read().agg(F.max("seq").alias("s")).first().s
+        last = self.graph.last_seq()
         # one ticket for each action, however often it ran
         first = opened.groupBy("ticket_id").agg(F.min_by(F.struct(*opened.columns), "seq").alias("r")).select("r.*")
         first = first.withColumn("seq", F.col("seq") + (0 if last is None else last + 1)).withColumn("product", F.col("sku"))
@@ -298,7 +301,9 @@ class KnowledgeBase:
         tickets = first.select(graph.node_key(F.lit("Ticket"), F.col("ticket_id")).alias("key"), F.lit("Ticket").alias("type"), F.col("ticket_id").alias("name"), F.array().cast("array<string>").alias("docs"), "seq", props.alias("props"))
         triples = live.action_effects(first).withColumn("doc_id", F.lit(None).cast("string"))
         triples = graph.valid_triples(triples, graph.relation_schema(self.spark))
-        self._upsert(graph.merge_nodes(graph.nodes_of(triples), tickets), graph.edges_of(triples))
+        links = triples.select(graph.node_key(F.col("subject_type"), F.col("subject")).alias("src"), "rel", graph.node_key(F.col("object_type"), F.col("object")).alias("dst"), "doc_id", "seq")
+        edges = links.groupBy("src", "rel", "dst").agg(F.min("seq").alias("seq"))
+        self.graph.upsert(graph.merge_nodes(graph.nodes_of(triples), tickets), edges, links)
 
     def action_kinds(self) -> DataFrame:
         risks = {"create_ticket": "write", "update_order": "write", "request_refund": "destructive", "list_tickets": "read"}

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking, evaluation, logs, ranking
+from ..operators.embedders import embedder
 from ..sources.files import clean_markdown, page_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,6 +158,29 @@ def confidence_and_guardrail(spark, d):
     return top.select("query_id", "score", ranking.confidence_label(s).alias("label"), F.round(ranking.confidence_boost(s, facts), 6).alias("boosted"), ranking.guardrail(s).alias("guardrail"))
 
 
+def _projection_sql(table: str, key: str) -> str:
+    part = lambda at, width: f"('0x' || substr(md5(term), {at}, {width}))::INT"
+    slots = " UNION ALL ".join(f"SELECT id, {part(1 + 4 * j, 4)} % 256 AS idx, CASE WHEN {part(17 + j, 1)} >= 8 THEN w ELSE -w END AS w FROM l" for j in range(4))
+    return f"""SELECT id, idx, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM (
+  WITH l AS (SELECT id, term, 1 + ln(count(*)) AS w FROM (SELECT {key} AS id, unnest({TOKENS}) AS term FROM {table}) GROUP BY ALL)
+  SELECT id, idx, sum(w) AS w FROM ({slots}) GROUP BY ALL) WHERE abs(w) > 1e-9"""
+
+
+@query(f"SELECT id, idx::INT AS idx, round(weight, 6) AS weight FROM ({_projection_sql('documents', 'doc_id')})")
+def embed_projection(spark, d):
+    """All documents by the projection embedder."""
+    return embedder("projection").embed(chunks(spark, d)).withColumn("weight", F.round("weight", 6))
+
+
+@query(f"""WITH de AS ({_projection_sql('documents', 'doc_id')}), qe AS ({_projection_sql('benchmark', 'item_id')}),
+cs AS (SELECT qe.id AS query_id, de.id, round(sum(qe.weight * de.weight), 6) AS vec_score FROM qe JOIN de USING (idx) GROUP BY ALL)
+SELECT query_id, id, vec_score AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY vec_score DESC, id) AS rank FROM cs) WHERE rank <= 5""")
+def search_projection(spark, d):
+    """Vector search by the projection embedder in place of the hash embedder."""
+    hits = ranking.hybrid_search(chunks(spark, d), questions(spark, d), mode="vector", embedder=embedder("projection"))
+    return hits.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 def _mmr_sql(candidates: str, pairs: str, key: str) -> str:
     """CTEs c (query_id, id, score, place), p (query_id, a, b, sim) and the greedy choice of five of c."""
     return f"""c AS MATERIALIZED ({candidates}), p AS MATERIALIZED ({pairs}),

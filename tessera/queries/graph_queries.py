@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import json_paths as J
 from ..functions import text as T
 from ..operators import answers, evaluation, extraction, graph, live, logs, ranking
+from ..sources.scratch import kept, new_folder
 from ..streaming import state
 from .catalogue import BM25_CTE, SQL, chunks, query, questions, read
 
@@ -415,12 +416,6 @@ def rate_limit_fixed(spark, d):
     return state.limit_requests(_requests_by_time(spark, d), 5, 3_600_000).select("client", "place", "n", "admitted")
 
 
-@query()
-def breaker_states(spark, d):
-    e = read(spark, d, "events").select((F.col("user_id") % 20).cast("string").alias("backend"), F.col("ts").cast("timestamp").cast("double").alias("ts"), F.col("event_id").cast("long").alias("place"), (F.col("event_type") != "error").alias("ok"))
-    return state.breaker_states(e, 2, 3600)
-
-
 @query("""SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS first_value FROM events""")
 def json_path(spark, d):
     first = J.at_path(F.col("props"), F.get(F.json_object_keys("props"), F.lit(0)))
@@ -432,31 +427,51 @@ def json_leaf_paths(spark, d):
     return read(spark, d, "events").select("event_id", F.array_join(J.json_leaf_paths("props"), ",").alias("paths"))
 
 
-def _drained(df: DataFrame, name: str, mode: str) -> DataFrame:
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+def _event_stream(spark, d, *columns):
+    """Events as a file stream, and one row long after them, which lets the watermark pass all. A
+    folder of files is watched, so the table's file is matched by name."""
+    events = read(spark, d, "events")
+    own = spark.readStream.schema(events.schema).option("pathGlobFilter", "events*.parquet").parquet(d).select(*columns)
+    last = events.agg((F.max("ts") + F.expr("INTERVAL 400 DAYS")).alias("ts"), F.lit(0).alias("user_id"), F.lit(0).alias("event_id"), F.lit("end").alias("event_type"))
+    end = new_folder(spark, "end")
+    kept(last.select(*(F.col(n).cast(t) for n, t in events.dtypes if n in last.columns)), end)
+    return own.unionByName(spark.readStream.schema(spark.read.parquet(end).schema).parquet(end).select(*columns))
 
 
-def _event_stream(spark, d):
-    """Events as a file stream; a folder of files is watched, so the table's file is matched by name."""
-    schema = read(spark, d, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(d)
+def _seconds(column: str):
+    return F.col(column).cast("timestamp").cast("double").alias("ts")
 
 
 @query(SQL["rate_limit_fixed"])
 def stream_rate_limit(spark, d):
-    s = _event_stream(spark, d).select(F.col("user_id").cast("string").alias("client"), F.col("ts").cast("timestamp").cast("double").alias("ts"), F.col("event_id").cast("long").alias("place"))
-    return _drained(state.limit_stream(s, 5, 3_600_000), "stream_rate_limit", "append").select("client", "place", "n", "admitted")
+    client = F.when(F.col("event_type") == "end", "").otherwise(F.col("user_id").cast("string"))
+    s = _event_stream(spark, d, "user_id", "ts", "event_id", "event_type").select(client.alias("client"), _seconds("ts"), F.col("event_id").cast("long").alias("place"))
+    out = state.drained(state.limit_stream(s, 5, 3_600_000), new_folder(spark, "limited"))
+    return out.where("client <> ''").select("client", "place", "n", "admitted")
 
 
 @query("SELECT time_bucket(INTERVAL 3600 SECOND, ts) AS window_start, event_type AS key, count(*) AS n FROM events GROUP BY ALL")
 def stream_windowed_counts(spark, d):
-    return _drained(state.windowed_counts(_event_stream(spark, d), "ts", "event_type", 3600), "stream_windowed_counts", "complete")
+    return state.drained(state.windowed_counts(_event_stream(spark, d, "ts", "event_type"), "ts", "event_type", 3600), new_folder(spark, "counted"))
 
 
-@query()
-def stream_breaker(spark, d):
-    s = _event_stream(spark, d).select((F.col("user_id") % 20).cast("string").alias("backend"), F.col("ts").cast("timestamp").cast("double").alias("ts"), F.col("event_id").cast("long").alias("place"), (F.col("event_type") != "error").alias("ok"))
-    return _drained(state.breaker_stream(s, 2, 3600), "stream_breaker", "append")
+BREAKER_SQL = """WITH RECURSIVE e AS (SELECT (user_id % 20)::VARCHAR AS backend, epoch_us(ts) / 1e6 AS ts, event_id::BIGINT AS place, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS i FROM events),
+b AS (SELECT backend, 0::BIGINT AS i, 0::BIGINT AS failures, -1e0 AS opened, 0e0 AS ts, 0::BIGINT AS place, false AS called, '' AS state FROM (SELECT DISTINCT backend FROM e)
+UNION ALL SELECT e.backend, e.i, CASE WHEN wait THEN b.failures WHEN e.ok THEN 0 ELSE b.failures + 1 END,
+  CASE WHEN wait THEN b.opened WHEN e.ok THEN -1e0 WHEN b.opened >= 0 OR b.failures + 1 >= 2 THEN e.ts ELSE -1e0 END, e.ts, e.place, NOT wait,
+  CASE WHEN wait THEN 'open' WHEN NOT e.ok AND (b.opened >= 0 OR b.failures + 1 >= 2) THEN 'open' ELSE 'closed' END
+  FROM b JOIN e ON e.backend = b.backend AND e.i = b.i + 1, LATERAL (SELECT b.opened >= 0 AND e.ts - b.opened < 3600 AS wait))
+SELECT backend, ts, place, called, state FROM b WHERE i > 0"""
 
+
+@query(BREAKER_SQL)
+def breaker_states(spark, d):
+    e = read(spark, d, "events").select((F.col("user_id") % 20).cast("string").alias("backend"), _seconds("ts"), F.col("event_id").cast("long").alias("place"), (F.col("event_type") != "error").alias("ok"))
+    return state.breaker_states(e, 2, 3600)
+
+
+@query(BREAKER_SQL)
+def stream_breaker(spark, d):
+    backend = F.when(F.col("event_type") == "end", "").otherwise((F.col("user_id") % 20).cast("string"))
+    s = _event_stream(spark, d, "user_id", "ts", "event_id", "event_type").select(backend.alias("backend"), _seconds("ts"), F.col("event_id").cast("long").alias("place"), (F.col("event_type") != "error").alias("ok"))
+    return state.drained(state.breaker_stream(s, 2, 3600), new_folder(spark, "breaker")).where("backend <> ''")
