@@ -17,8 +17,9 @@ blocks and only where the size-derived bounds leave a pair possible:
   n-grams) that most of its probes lead to. Components of these links are then known, and only
   sets of different components are compared further. The sets whose leaders are in one component
   are a family; families are cut into blocks, and the product of two blocks is taken inside a task, so the
-  pairs of a large group are never rows. Pairs of different families are found by the probes,
-  for two components first the pair that shares most of them.
+  pairs of a large group are never rows. Sets that heavy n-grams bring together, those with many
+  probes and members, are multiplied in the same way. Other pairs of different families are found
+  by the probes, for two components first the pair that shares most of them.
 * Sizes bound what two linked sets may lack of each other. Pairs whose sizes exclude the
   similarity, or whose lists have fewer n-grams in common than the sizes demand, are dropped
   before any set is fetched; for the rest, a block's overlap counts are accumulated from its
@@ -48,6 +49,10 @@ SLACK = 10
 _ALL = (1 << 63) - 1
 #: About so many sets of a family, of so many n-grams together, are multiplied with so many others at once.
 BLOCK, BLOCK_GRAMS = 192, 1 << 17
+#: Blocks of a family that one task multiplies with all blocks that may be linked with them.
+PART_BLOCKS = 8
+#: An n-gram that would lead to more pairs of sets than this has its sets multiplied in blocks too.
+HEAVY_PAIRS = 4096
 #: Products of single n-grams that are spread out at once.
 SPREAD = 1 << 20
 #: N-grams counted at once in a worker.
@@ -282,15 +287,17 @@ def _block_pairs(rows: DataFrame) -> DataFrame:
     main = parts.groupBy("family").agg(
         F.count("*").alias("k"), F.max_by("root", F.struct("c", "root")).alias("main"), F.max(F.struct("c", "root", "w")).alias("most"), F.sum("c").alias("c"), F.sum("w").alias("w")
     ).where("k > 1")
+    size = lambda c, w: F.greatest(F.ceil(c / F.lit(float(BLOCK))), F.ceil(w / F.lit(float(BLOCK_GRAMS))), F.lit(1)).cast("long")
+    main = main.select("family", "main", size(F.col("most.c"), F.col("most.w")).alias("b_main"), size(F.col("c") - F.col("most.c"), F.col("w") - F.col("most.w")).alias("b_rest"))
+    # each part of a family has some of its blocks on one side, and all that may meet them on the other
+    main = main.withColumn("parts", F.ceil((F.col("b_main") + F.col("b_rest")) / F.lit(float(PART_BLOCKS))).cast("long"))
     cut = rows.join(main, "family").withColumn("is_main", F.col("root") == F.col("main"))
-    part = lambda k: F.when(F.col("is_main"), F.col(f"most.{k}")).otherwise(F.col(k) - F.col(f"most.{k}"))
-    blocks = F.greatest(F.ceil(part("c") / F.lit(float(BLOCK))), F.ceil(part("w") / F.lit(float(BLOCK_GRAMS))), F.lit(1))
-    cut = cut.withColumn("block", F.pmod(F.xxhash64("class"), blocks.cast("long")))
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("class"), F.when(F.col("is_main"), F.col("b_main")).otherwise(F.col("b_rest"))))
     row = F.struct("class", "root", "n", "upto", "grams")
-    blocks = stored(cut.groupBy("family", "is_main", "block").agg(F.collect_list(row).alias("rows")), "family-blocks")
-    x = blocks.where("NOT is_main").select("family", F.col("block").alias("bx"), F.col("rows").alias("x"))
-    y = blocks.select("family", "is_main", "block", F.col("rows").alias("y"))
-    return x.join(y, "family").where("is_main OR bx <= block").select("x", "y")
+    blocks = stored(cut.groupBy("family", "parts", "is_main", "block").agg(F.collect_list(row).alias("rows")), "family-blocks")
+    x = blocks.where("NOT is_main").select("family", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("block").alias("bx"), F.col("rows").alias("x"))
+    y = blocks.select("family", F.pmod(F.xxhash64("is_main", "block"), F.col("parts")).alias("part"), "is_main", "block", F.col("rows").alias("y"))
+    return x.join(y, ["family", "part"]).where("is_main OR bx <= block").select("x", "y")
 
 
 def _read_block(column: pa.Array, i: int):
@@ -337,6 +344,26 @@ def _as_grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:4], lists], names=["family", "class", "root", "n", "grams"])
 
 
+def _inside(docs: DataFrame, filled: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links (u, v) between different roots of each family of ``rows``, as a table. Products of
+    what sets list say which sets may have a link; those are fetched whole and multiplied again."""
+    plausible = stored(_block_pairs(rows).mapInArrow(lean(_plausible), "class long").distinct(), "plausible")
+    carriers = stored(filled.join(plausible, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id")), "carriers")
+    sets = class_sets(docs, carriers, carriers.count()).dropDuplicates(["class"])
+    whole = rows.select("family", "class", "root").join(sets, "class").select("family", "class", "root", "n", "grams")
+    full = whole.mapInArrow(lean(_as_grams), "family long, class long, root long, n long, grams array<long>")
+    return stored(_block_pairs(full.withColumn("upto", F.lit(0).cast("long"))).mapInArrow(lean(_family_links), "u long, v long").distinct(), "links")
+
+
+def _heavy(probes: DataFrame, members: DataFrame, placed: DataFrame) -> DataFrame:
+    """gram: probed n-grams whose probes and members make more than ``HEAVY_PAIRS`` pairs and don't
+    all have one root, as a table."""
+    of = lambda df, n: df.select("class", "gram").join(placed.select("class", "root"), "class").groupBy("gram").agg(F.count("*").alias(n), F.min("root").alias(f"least_{n}"), F.max("root").alias(f"most_{n}"))
+    both = of(probes, "x").join(of(members, "y"), "gram")
+    apart = F.least("least_x", "least_y") != F.greatest("most_x", "most_y")
+    return stored(both.where((F.col("x") * F.col("y") > HEAVY_PAIRS) & apart).select("gram"), "heavy")
+
+
 def class_components(docs: DataFrame, table: DataFrame) -> DataFrame:
     """(class, root) of every class that any link reaches; ``table`` is the class table."""
     filled = table.where("n > 0")
@@ -370,17 +397,24 @@ def class_components(docs: DataFrame, table: DataFrame) -> DataFrame:
     placed = placed.withColumn("family", F.when(F.col("leads"), F.col("root")).otherwise(F.coalesce("family", "root")))
     placed = stored(placed.select("class", "root", "family"), "placed")
     rows = placed.join(own, "class").select("family", "class", "root", "n", "upto", F.transform("grams", lambda x: x["gram"]).alias("grams"))
-    plausible = stored(_block_pairs(rows).mapInArrow(lean(_plausible), "class long").distinct(), "plausible")
-    carriers = stored(filled.join(plausible, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id")), "carriers")
-    sets = class_sets(docs, carriers, carriers.count()).dropDuplicates(["class"])
-    full = placed.join(sets, "class").select("family", "class", "root", "n", "grams").mapInArrow(lean(_as_grams), "family long, class long, root long, n long, grams array<long>")
-    inside = stored(_block_pairs(full.withColumn("upto", F.lit(0).cast("long"))).mapInArrow(lean(_family_links), "u long, v long").distinct(), "links")
-    links = links.union(inside)
+    links = links.union(_inside(docs, filled, rows))
     # pairs of different families
-    placed = _roots(nodes, links).join(placed.select("class", "family"), "class").join(own.select("class", "n", "upto"), "class")
-    placed = stored(placed, "placed")
-    x = probes.select("class", "gram", "most").join(placed, "class").select("gram", *(F.col(c).alias(f"{c}_x") for c in ("class", "root", "family", "n", "upto")), "most")
-    y = members.select("class", "gram").join(placed, "class")
+    families = placed.select("class", "family")
+    placed = stored(_roots(nodes, links).join(families, "class").join(own.select("class", "n", "upto"), "class"), "placed")
+    heavy = _heavy(probes, members, placed)
+    many = heavy.count()
+    if many:
+        # their sets are one family for each component of sets and heavy n-grams
+        met = probes.select("gram", "class").union(members.select("gram", "class")).join(by_size(heavy, many, BROADCAST_GRAMS), "gram", "left_semi").distinct()
+        met = stored(met, "heavy-sets")
+        stars = met.join(met.groupBy("gram").agg(F.min("class").alias("v")), "gram").where("class <> v").select(F.col("class").alias("u"), "v")
+        together = connected_components(stored(stars.distinct(), "heavy-links")).toDF("class", "family")
+        rows = together.join(placed.select("class", "root"), "class").join(own, "class").select("family", "class", "root", "n", "upto", F.transform("grams", lambda x: x["gram"]).alias("grams"))
+        links = links.union(_inside(docs, filled, rows))
+        placed = stored(_roots(nodes, links).join(families, "class").join(own.select("class", "n", "upto"), "class"), "placed")
+    light = lambda df: df.join(by_size(heavy, many, BROADCAST_GRAMS), "gram", "left_anti") if many else df
+    x = light(probes.select("class", "gram", "most")).join(placed, "class").select("gram", *(F.col(c).alias(f"{c}_x") for c in ("class", "root", "family", "n", "upto")), "most")
+    y = light(members.select("class", "gram")).join(placed, "class")
     cross = x.join(y, "gram").where(
         (F.col("root_x") != F.col("root")) & (F.col("family_x") != F.col("family")) & (F.col("upto_x") <= F.col("upto"))
         & (F.col("n") <= F.col("most")) & (100 * F.col("n") >= SIMILARITY * F.col("n_x"))

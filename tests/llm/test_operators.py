@@ -130,7 +130,6 @@ def test_templates_find_items_and_changed_slots(spark, none):
     items = spark.createDataFrame([(10, item), (10, item), (11, None), (12, "a b"), (13, "five short words stand here")], "item_id long, text string")
     got = {(r.doc_id, r.item_id): (r.kind, r.n_changed) for r in template_decontam.find_leaks(docs, items).collect()}
     assert got[(1, 10)] == ("exact", 0) and got[(None, 10)] == ("exact", 0) and got[(2, 10)][0] == "template" and got[(2, 10)][1] == 4
-    assert (3, 10) in got or True
     assert {d for d, _ in got} <= {1, 2, 3, 7, None} and 6 not in {d for d, _ in got}
     kept = template_decontam.without_leaks(docs, items)
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == [x for x in (3, 4, 5, 6, 6, 7) if (x, 10) not in got] and kept.columns == docs.columns
@@ -412,6 +411,27 @@ def test_added_spans(text, want):
     assert [s for s in secret_scan.find_spans(text) if s[0] in ("pem", "login")] == want
 
 
+@pytest.mark.parametrize("heavy", [1, 4096])
+def test_ngram_join_of_sets_that_are_close_but_mostly_apart(spark, monkeypatch, heavy):
+    """A group in which every text is near every other, but few pairs reach the similarity."""
+    import random
+
+    monkeypatch.setattr(ngram_join, "HEAVY_PAIRS", heavy)
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "PART_BLOCKS", 2)
+    rng = random.Random(heavy)
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for i in range(260):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 2, 2, 3, 3, 4])):
+            words[rng.randrange(len(words))] = rng.choice([f"x{rng.randrange(5)}", f"y{i}"])
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute_components(rows)
+    assert as_set(ngram_join.near_duplicates(df)) == want and 3 < len({w[2] for w in want}) < 260
+
+
 def test_added_spans_take_linear_time():
     import time
 
