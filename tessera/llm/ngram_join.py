@@ -357,8 +357,18 @@ def _inside(docs: DataFrame, filled: DataFrame, rows: DataFrame) -> DataFrame:
 
 def _heavy(probes: DataFrame, members: DataFrame, placed: DataFrame) -> DataFrame:
     """gram: probed n-grams whose probes and members make more than ``HEAVY_PAIRS`` pairs and don't
-    all have one root, as a table."""
-    of = lambda df, n: df.select("class", "gram").join(placed.select("class", "root"), "class").groupBy("gram").agg(F.count("*").alias(n), F.min("root").alias(f"least_{n}"), F.max("root").alias(f"most_{n}"))
+    all have one root, as a table. As many sets probe or list an n-gram as share it at most, so
+    only those that enough sets share are counted."""
+    likely = stored(probes.where(F.col("times") * F.col("times") > HEAVY_PAIRS).select("gram").distinct(), "likely")
+    n = likely.count()
+    roots = placed.select("class", "root")
+
+    def of(df: DataFrame, name: str) -> DataFrame:
+        few = df.select("class", "gram").join(by_size(likely, n, BROADCAST_GRAMS), "gram", "left_semi").join(roots, "class")
+        return few.groupBy("gram").agg(F.count("*").alias(name), F.min("root").alias(f"least_{name}"), F.max("root").alias(f"most_{name}"))
+
+    if not n:
+        return likely
     both = of(probes, "x").join(of(members, "y"), "gram")
     apart = F.least("least_x", "least_y") != F.greatest("most_x", "most_y")
     return stored(both.where((F.col("x") * F.col("y") > HEAVY_PAIRS) & apart).select("gram"), "heavy")
@@ -380,7 +390,7 @@ def class_components(docs: DataFrame, table: DataFrame) -> DataFrame:
     probing = probing.select("class", "n", "upto", g.alias("g"), listed.alias("listed"), F.posexplode(F.slice("grams", F.lit(1), F.col("open"))).alias("i", "x"))
     # probe i serves partners that must share g - i listed n-grams at most
     most = F.floor((F.col("g") - F.col("i") - F.col("listed") + F.col("n")) * F.lit((100 + SIMILARITY) / SIMILARITY) + 1e-6) - F.col("n")
-    probes = stored(probing.select("class", F.col("x.gram").alias("gram"), most.alias("most")), "probes")
+    probes = stored(probing.select("class", F.col("x.gram").alias("gram"), F.col("x.times").alias("times"), most.alias("most")), "probes")
     probed = stored(probes.select("gram").distinct(), "probed")
     members = shared.select("gram", "class").join(by_size(probed, probed.count(), BROADCAST_GRAMS), "gram", "left_semi")
     members = stored(members.join(own.select("class", "central"), "class"), "members")

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import _K1, by_size, lean, lowered, mix, slices, small_batches, span_hashes, stored, text_buffer, window_hashes, word_spans
+from .shared import _K1, by_size, lean, lowered, mix, slices, small_batches, span_hashes, stored, text_buffer, unused_prefix, window_hashes, word_spans
 
 WINDOW = 8
 #: Items of fewer words than a window are matched whole; below this many words only verbatim.
@@ -29,6 +29,11 @@ LEAST_WORDS = 5
 COVERAGE = 0.5
 #: Literal tokens that a window of templates must have; verbatim windows need none.
 LITERALS = 4
+#: An item with windows of fewer literals is also searched whole, if it has so many different ones,
+#: or one less and so many words: all its windows with a literal must then be found in a row.
+WHOLE_LITERALS, WHOLE_WORDS = 3, 12
+#: Kinds of windows: templates, plain words, and templates of items that are searched whole.
+TEMPLATE, VERBATIM, WHOLE = 0, 1, 2
 #: Up to so many benchmark windows are sent to all workers, which then emit matching windows
 #: only; for more, all windows are shuffled.
 BROADCAST_WINDOWS = 2_000_000
@@ -65,7 +70,7 @@ def _text_hash(words: list[str]) -> np.ndarray:
 
 
 _UNIT_HASHES, _OPENER_HASHES = np.sort(_text_hash(UNITS)), np.sort(_text_hash(OPENERS))
-_VERBATIM = np.uint64(0x5851F42D4C957F2D)
+_VERBATIM, _WHOLE = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _NUM, _NAME, _UNIT = _text_hash(["\x00number", "\x00name", "\x00unit"])
 
 
@@ -118,12 +123,12 @@ def _named_hashes(tokens: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     return h
 
 
-_ROWS = "id long, digest long, pos int, size int, hash long, verbatim boolean, slots array<long>"
+_ROWS = "id long, digest long, pos int, size int, hash long, kind int, slots array<long>"
 
 
 def windows(texts: DataFrame, sizes: list[int], whole: bool, wanted: np.ndarray | None = None) -> DataFrame:
-    """Windows of the texts (id, digest, text): id, digest, pos, size, hash, whether it is of plain
-    words, and else the values of the slots. ``whole``: a text shorter than WINDOW gives windows
+    """Windows of the texts (id, digest, text): id, digest, pos, size, hash, kind, and the values of
+    the slots unless it is of plain words. ``whole``: a text shorter than WINDOW gives windows
     of its own size; else windows of all ``sizes`` are made. A word that opens a sentence with a
     capital stands both as a literal and as a name at the start of a window. With ``wanted``
     (sorted), only hashes in it are emitted."""
@@ -138,19 +143,23 @@ def windows(texts: DataFrame, sizes: list[int], whole: bool, wanted: np.ndarray
                 doc_of = np.repeat(np.arange(j - i), n)
                 place = np.arange(len(tokens)) - first[doc_of]
                 before = np.concatenate(([0], np.cumsum(slot)))
+                if whole:
+                    different = np.unique(np.stack((doc_of[~slot].astype(np.uint64), tokens[~slot])), axis=1)[0]
+                    literal = np.bincount(different.astype(np.int64), minlength=j - i)
+                    enough = literal >= np.where(n >= WHOLE_WORDS, WHOLE_LITERALS - 1, WHOLE_LITERALS)
 
-                def emit(size, at, h, verbatim, named=False):
+                def emit(size, at, h, kind, named=False):
                     if wanted is not None:
                         if not len(wanted):
                             return
                         keep = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
                         at, h = at[keep], h[keep]
-                    if verbatim and size < WINDOW and len(at):  # a whole item: once for each text
+                    if kind == VERBATIM and size < WINDOW and len(at):  # a whole item: once for each text
                         keep = np.sort(np.unique(np.stack((doc_of[at].astype(np.uint64), h)), axis=1, return_index=True)[1])
                         at, h = at[keep], h[keep]
                     if not len(at):
                         return
-                    if verbatim:
+                    if kind == VERBATIM:
                         slots = pa.array([[]] * len(at), pa.list_(pa.int64()))
                     else:
                         is_slot = lambda k: np.concatenate(([True], slot[k + 1 : k + size])) if named else slot[k : k + size]
@@ -159,9 +168,9 @@ def windows(texts: DataFrame, sizes: list[int], whole: bool, wanted: np.ndarray
                     yield pa.RecordBatch.from_arrays(
                         [
                             batch.column(0).take(take), batch.column(1).take(take), pa.array(place[at].astype(np.int32)), pa.array(np.full(len(at), size, np.int32)),
-                            pa.array(h.view(np.int64)), pa.array(np.full(len(at), verbatim)), slots,
+                            pa.array(h.view(np.int64)), pa.array(np.full(len(at), kind, np.int32)), slots,
                         ],
-                        names=["id", "digest", "pos", "size", "hash", "verbatim", "slots"],
+                        names=["id", "digest", "pos", "size", "hash", "kind", "slots"],
                     )
 
                 for size in sizes:
@@ -172,14 +181,22 @@ def windows(texts: DataFrame, sizes: list[int], whole: bool, wanted: np.ndarray
                     if whole and size < WINDOW:
                         fits &= n[doc_of[at]] == size
                     of = np.flatnonzero(fits)
-                    yield from emit(size, of, mix(window_hashes(values, size)[of] ^ _VERBATIM), True)
+                    yield from emit(size, of, mix(window_hashes(values, size)[of] ^ _VERBATIM), VERBATIM)
                     if size < LEAST_WORDS:
                         continue
                     literals = size - (before[at + size] - before[at])
+                    hashes = window_hashes(tokens, size)
                     of = np.flatnonzero(fits & (literals >= LITERALS))
-                    yield from emit(size, of, window_hashes(tokens, size)[of], False)
+                    yield from emit(size, of, hashes[of], TEMPLATE)
                     of = np.flatnonzero(fits & opening[at] & (literals > LITERALS))
-                    yield from emit(size, of, _named_hashes(tokens, of, size), False, True)
+                    yield from emit(size, of, _named_hashes(tokens, of, size), TEMPLATE, True)
+                    some = fits & (literals > 0)
+                    if whole:  # items with a window of few literals, but enough of them in all
+                        few = np.zeros(j - i, bool)
+                        few[doc_of[at[fits & (literals < LITERALS)]]] = True
+                        some &= few[doc_of[at]] & enough[doc_of[at]]
+                    of = np.flatnonzero(some)
+                    yield from emit(size, of, mix(hashes[of] ^ _WHOLE), WHOLE)
 
     return texts.select("id", "digest", "text").mapInArrow(lean(rows), _ROWS)
 
@@ -195,7 +212,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
     values; one row for each document and item.
 
     An item is held if ``coverage`` of its template windows match, or of its windows of plain
-    words; the figures are of that with fewer changes, the templates first. Items of one word
+    words, or if it has few literals between its slots and all of its windows match in a row; the
+    figures are of that with fewer changes, the templates first. Items of one word
     or more are searched. Null texts are empty and contain nothing; null ids are ids like
     others; repeated rows of a document give one row; items repeated with the same id and text
     count once; other columns are ignored; without documents or items there are no rows. A
@@ -213,11 +231,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
     if n <= BROADCAST_WINDOWS:
         wanted = np.unique(bench.select("hash").toPandas()["hash"].to_numpy(np.int64).view(np.uint64))
     found = windows(_identified(docs, doc_id, text), sizes, whole=False, wanted=wanted)
-    total = bench.groupBy("id", "digest", "verbatim").agg(F.count_distinct("pos").alias("n_windows")).toDF("item", "item_digest", "verbatim", "n_windows")
-    b = bench.select(F.col("id").alias("item"), F.col("digest").alias("item_digest"), F.col("pos").alias("item_pos"), "size", "hash", "verbatim", F.col("slots").alias("item_slots"))
-    pairs = found.join(by_size(b, n, BROADCAST_WINDOWS // 10), ["hash", "size", "verbatim"])
+    total = bench.groupBy("id", "digest", "kind").agg(F.count_distinct("pos").alias("n_windows")).toDF("item", "item_digest", "kind", "n_windows")
+    b = bench.select(F.col("id").alias("item"), F.col("digest").alias("item_digest"), F.col("pos").alias("item_pos"), "size", "hash", "kind", F.col("slots").alias("item_slots"))
+    pairs = found.join(by_size(b, n, BROADCAST_WINDOWS // 10), ["hash", "size", "kind"])
     pairs = pairs.withColumn("slots", F.arrays_zip(F.col("item_slots").alias("b"), F.col("slots").alias("d")))
-    key = ["id", "digest", "item", "item_digest", "verbatim"]
+    key = ["id", "digest", "item", "item_digest", "kind"]
     aligned = pairs.groupBy(*key, (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
         F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots")
     )
@@ -226,14 +244,16 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
     changed = F.size(F.filter("slots", lambda s: s["b"] != s["d"]))
     consistent = consistent.withColumn("changed", changed)
     held = consistent.groupBy(*key).agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n_matched"), F.min("changed").alias("n_changed")
+        F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n_anywhere"), F.max(F.size("at")).alias("n_row"), F.min("changed").alias("n_changed")
     )
+    held = held.withColumn("n_matched", F.when(F.col("kind") == WHOLE, F.col("n_row")).otherwise(F.col("n_anywhere")))
     held = held.alias("h").join(
         by_size(total, n, BROADCAST_WINDOWS // 10).alias("t"),
-        F.col("h.item").eqNullSafe(F.col("t.item")) & (F.col("h.item_digest") == F.col("t.item_digest")) & (F.col("h.verbatim") == F.col("t.verbatim")),
+        F.col("h.item").eqNullSafe(F.col("t.item")) & (F.col("h.item_digest") == F.col("t.item_digest")) & (F.col("h.kind") == F.col("t.kind")),
     )
-    out = held.where(F.col("n_matched") >= coverage * F.col("n_windows"))
-    best = F.min(F.struct(F.col("n_changed"), F.col("h.verbatim").alias("verbatim"), F.col("n_windows"), F.col("n_matched"))).alias("x")
+    share = F.when(F.col("h.kind") == WHOLE, 1.0).otherwise(coverage)
+    out = held.where(F.col("n_matched") >= share * F.col("n_windows"))
+    best = F.min(F.struct(F.col("n_changed"), F.col("h.kind").alias("kind"), F.col("n_windows"), F.col("n_matched"))).alias("x")
     out = out.groupBy("id", "digest", F.col("h.item").alias("item_id"), F.col("h.item_digest")).agg(best)
     return out.select(
         F.col("id").alias("doc_id"), "digest", "item_id", F.when(F.col("x.n_changed") > 0, "template").otherwise("exact").alias("kind"),
@@ -243,8 +263,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs``, all columns, without the rows whose text holds a benchmark item."""
-    leaks = stored(find_leaks(docs, items).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct(), "leaks")
-    digest = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    own = docs.withColumn("__d", digest)
+    p = unused_prefix(docs.columns)
+    leaks = stored(find_leaks(docs, items).select(F.col("doc_id").alias(f"{p}id"), F.col("digest").alias(f"{p}digest")).distinct(), "leaks")
+    own = docs.withColumn(f"{p}own", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     few = by_size(leaks, leaks.count(), 1_000_000)
-    return own.join(few, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__d") == F.col("__digest")), "left_anti").drop("__d")
+    return own.join(few, F.col("doc_id").cast("long").eqNullSafe(F.col(f"{p}id")) & (F.col(f"{p}own") == F.col(f"{p}digest")), "left_anti").drop(f"{p}own")

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import by_size, stored
+from .shared import by_size, stored, unused_prefix
 
 #: (verdict, host, path)
 BASE_RULES = (
@@ -72,6 +72,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", otherwise:
     columns are passed through.
     """
     host, path = host_and_path(F.col(f"`{url}`"))
+    found = unused_prefix(pages.columns) + "best"
     own = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
     pages = pages.select(*own, host.alias("host"), path.alias("path"))
     shape = rules.agg(
@@ -106,12 +107,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", otherwise:
                         F.length("rule").alias("l"), "path_length",
                         (F.col("rule_verdict") == "block").alias("b"), "rule", "rule_verdict",
                     )
-                ).alias("__best")
+                ).alias(found)
             )
         )
         best = stored(best, "best")  # addresses that a rule fits
         judged = pages.join(by_size(best, best.count(), BROADCAST_ADDRESSES), ["host", "path"], "left")
-        rule, verdict = F.col("__best.rule"), F.coalesce("__best.rule_verdict", F.lit(otherwise))
+        rule, verdict = F.col(f"{found}.rule"), F.coalesce(f"{found}.rule_verdict", F.lit(otherwise))
     else:
         judged, rule, verdict = pages, F.lit(None).cast("string"), F.lit(otherwise)
     return judged.select(*own, "host", "path", rule.alias("rule"), verdict.alias("verdict"))

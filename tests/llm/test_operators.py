@@ -163,6 +163,33 @@ def test_verbatim_copies_of_any_item_are_found(spark, broadcast, monkeypatch):
     assert {k: v for k, v in found.items() if k not in exact} == {(30, 5): ("template", 3), (31, 5): ("template", 3)}
 
 
+@pytest.mark.parametrize("most", [template_decontam.BROADCAST_WINDOWS, 0])
+def test_items_with_many_slots_are_found_with_other_values(spark, monkeypatch, most):
+    monkeypatch.setattr(template_decontam, "BROADCAST_WINDOWS", most)
+    items = ["Sort 6 4 8 2 9 1 7 in ascending order", "Convert 3 km 5 kg 7 h 9 min to 4 ft 2 lb", "What is 15 plus 44?", "1 2 3 4 5 6 7 8 9 and 10"]
+    changed = ["Sort 11 3 58 21 90 14 72 in ascending order", "Convert 8 km 1 kg 2 h 6 min to 5 ft 4 lb", "What is 7 plus 19?"]
+    clean = ["Sort the 6 rows in ascending order of 4 keys", "What is 15 plus the rest?", "11 12 13 14 15 16 17 18 19 and 20", "Sort 1 2 3 4 5 6 7 8 in ascending order", "They plus 15 is what 44"]
+    rows = [(i, f"Some text before it. {t} And some words after.") for i, t in enumerate(changed)] + [(10 + i, t) for i, t in enumerate(clean)] + [(20 + i, f"See: {t}") for i, t in enumerate(items)]
+    found = template_decontam.find_leaks(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    got = {(r.doc_id, r.item_id): r.kind for r in found.collect()}
+    assert {k for k in got if k[0] < 10} == {(0, 0), (1, 1), (2, 2)} and {got[i, i] for i in range(3)} == {"template"}
+    assert not {k for k in got if 10 <= k[0] < 20}
+    assert {(20 + i, i) for i in range(4)} <= set(got) and got[20, 0] == got[23, 3] == "exact"
+
+
+def test_every_benchmark_item_is_found_verbatim_and_with_other_numbers(spark):
+    items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    rows = items.collect()
+    other = lambda t: re.sub(r"[0-9]+", lambda m: str(int(m.group()) + 7), t)
+    docs = [(r.item_id, r.text) for r in rows] + [(10_000 + r.item_id, "In short: " + other(r.text)) for r in rows]
+    got = {(r.doc_id, r.item_id) for r in template_decontam.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert {(r.item_id, r.item_id) for r in rows} | {(10_000 + r.item_id, r.item_id) for r in rows} <= got
+    # nothing but items of the same words is held besides
+    words = lambda t: set(re.sub(r"[0-9]+", "#", t.lower()).split())
+    text = {r.item_id: r.text for r in rows}
+    assert all(2 * len(words(text[d % 10_000]) & words(text[i])) >= len(words(text[i])) for d, i in got)
+
+
 # ---------------------------------------------------------------- 4: quality rules
 
 

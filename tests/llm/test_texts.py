@@ -152,3 +152,11 @@ def test_fill_query_over_the_whole_table(spark):
         made = by_hand(r.doc_id, r.text)
         want.append((*made[:5], sha(made[5].encode()), sha((r.text or "").encode())))
     assert got(QUERIES["op13_fill_in_middle"](spark, "/root/testdata/sf0.001")) == sorted(want, key=repr)
+
+
+def test_urls_with_columns_named_like_inner_ones(spark):
+    from tessera.llm import url_filter
+
+    pages = spark.createDataFrame([(1, "https://a.example.org/es/x", "b"), (2, None, "c")], "page_id long, url string, `__best` string")
+    out = {r.page_id: (r["__best"], r.verdict) for r in url_filter.judge_urls(pages, url_filter.rule_table(spark)).collect()}
+    assert out == {1: ("b", "block"), 2: ("c", "allow")}
