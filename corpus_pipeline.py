@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import mixing, ngram_join, rule_ensemble, template_decontam, token_files
-from tessera.llm.shared import by_size, stored
+from tessera.llm.shared import by_size, stored, unused_prefix
 
 #: No SQL scores texts by a fitted rule ensemble; the stages are tested against brute force.
 ORACLE_SQL = None
@@ -22,23 +22,24 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component: that of the smallest doc_id, null last,
     and of several with it that of the smallest key. Documents without words are linked with
-    nothing and stay. Rows are told apart by a 64-bit key of doc_id and text, so rows without an
-    id stay unless their texts are linked, and a near copy never stands for another text of its
-    id. Of the documents chosen so, one stays for each doc_id that isn't null."""
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    found = ngram_join.near_duplicates(keyed.select("__key", "text"), doc_id="__key").select(F.col("doc_id").alias("__key"), "component_id")
-    ids = keyed.select("__key", "doc_id").join(found.distinct(), "__key")
-    best = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key")).alias("best"))
-    nameless = F.when(F.col("best.doc_id").isNull(), F.col("best.__key"))
-    keep = stored(best.groupBy("best.doc_id", nameless).agg(F.min("best.__key").alias("__key")).select("__key"), "kept")
-    kept = keyed.join(by_size(keep, keep.count(), 1_000_000), "__key", "left_semi")
-    repeated = stored(kept.groupBy("__key").count().where("count > 1").select("__key"), "repeated")
+    nothing and stay. Rows are told apart by doc_id and text, not by doc_id, so unlinked texts of
+    one doc_id, or of none, all stay; rows that repeat both are one. Rows whose 64-bit keys
+    collide, which a second key shows, stay if one of them does."""
+    p = unused_prefix(docs.columns)
+    key, twin = f"{p}key", f"{p}twin"
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text")).withColumn(twin, F.xxhash64(F.lit(1), "doc_id", "text"))
+    found = ngram_join.near_duplicates(keyed.select(key, "text"), doc_id=key).select(F.col("doc_id").alias(key), F.col("component_id").alias(f"{p}c"))
+    ids = keyed.select(key, F.col("doc_id").alias(f"{p}id")).join(found.distinct(), key)
+    best = ids.groupBy(f"{p}c").agg(F.min(F.struct(F.col(f"{p}id").isNull(), f"{p}id", key)).alias("b"))
+    keep = stored(best.select(F.col(f"b.{key}").alias(key)).distinct(), "kept")
+    kept = keyed.join(by_size(keep, keep.count(), 1_000_000), key, "left_semi")
+    repeated = stored(kept.groupBy(key, twin).count().where("count > 1").select(key, twin), "repeated")
     n = repeated.count()
     if not n:
-        return kept.drop("__key")
-    first = F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64(*docs.columns)))
-    twice = kept.join(by_size(repeated, n, 1_000_000), "__key", "left_semi").withColumn("__k", first).where("__k = 1").drop("__k")
-    return kept.join(by_size(repeated, n, 1_000_000), "__key", "left_anti").unionByName(twice).drop("__key")
+        return kept.drop(key, twin)
+    few = by_size(repeated, n, 1_000_000)
+    once = kept.join(few, [key, twin], "left_semi").groupBy(key, twin).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias(f"{p}row"))
+    return kept.join(few, [key, twin], "left_anti").drop(key, twin).unionByName(once.select(f"{p}row.*"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,12 +54,12 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     sized = stored(mixing.sizes_of(docs, F.array(F.col("source").cast("string"))), "sized")
     taken, _ = mixing.mix(sized)
-    key = [F.col("doc_id"), F.col("place")]
-    times = taken.where("taken > 0").select(*key, (F.col("taken") / F.col("size")).cast("int").alias("__times")).dropDuplicates(["doc_id", "place"])
-    placed = docs.withColumn("__place", mixing.place_of(F.col("doc_id"), F.col("text")))
-    on = placed["doc_id"].eqNullSafe(times["doc_id"]) & (placed["__place"] == times["place"])
-    joined = placed.join(times, on).select(*(placed[c] for c in docs.columns), "__times")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).drop("__times", "__copy")
+    p = unused_prefix(docs.columns)
+    times = taken.where("taken > 0").select("doc_id", "place", (F.col("taken") / F.col("size")).cast("int").alias(f"{p}times")).dropDuplicates(["doc_id", "place"])
+    times = times.select(F.col("doc_id").alias(f"{p}id"), F.col("place").alias(f"{p}at"), f"{p}times")
+    placed = docs.withColumn(f"{p}place", mixing.place_of(F.col("doc_id"), F.col("text")))
+    joined = placed.join(times, F.col("doc_id").eqNullSafe(F.col(f"{p}id")) & (F.col(f"{p}place") == F.col(f"{p}at")))
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), f"{p}times")).alias(f"{p}copy")).drop(f"{p}copy")
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
