@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import json
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,19 +34,25 @@ def leaf_paths(value, depth: int = 6) -> list[str]:
     return found
 
 
-def json_leaf_paths(documents: Column | str) -> Column:
-    """Leaf paths of each document; malformed or null text has none."""
-
-    def one(text):
-        try:
-            return leaf_paths(json.loads(text))
-        except (TypeError, ValueError):
-            return []
-
-    def paths(column: pd.Series) -> pd.Series:
-        return column.map(one)
-
-    return F.pandas_udf(paths, "array<string>")(documents)
+def json_leaf_paths(documents: Column | str, depth: int = 6) -> Column:
+    """As :func:`leaf_paths`, by columns over VARIANT values, the names of an object in their
+    order as strings; malformed or null text has none."""
+    text = F.col(documents) if isinstance(documents, str) else documents
+    names = lambda v: F.try_variant_get(v, "$", "map<string,variant>")
+    items = lambda v: F.try_variant_get(v, "$", "array<variant>")
+    node = lambda path, v: F.struct(path.alias("path"), v.alias("v"))
+
+    def inner(n: Column) -> Column:
+        under = lambda key: F.when(n["path"] == "", key).otherwise(F.concat(n["path"], F.lit("."), key))
+        first = F.transform(F.slice(items(n["v"]), 1, 1), lambda x: node(F.concat(n["path"], F.lit("[0]")), x))
+        inside = F.transform(F.map_entries(names(n["v"])), lambda e: node(under(e["key"]), e["value"]))
+        return F.coalesce(inside, first, F.array(n))
+
+    level = F.array(node(F.lit(""), F.try_parse_json(text)))
+    for _ in range(depth):
+        level = F.flatten(F.transform(level, inner))
+    leaves = F.filter(level, lambda n: (n["path"] != "") & names(n["v"]).isNull() & items(n["v"]).isNull())
+    return F.transform(leaves, lambda n: n["path"])
 
 
 def json_object_in(text: Column) -> Column:

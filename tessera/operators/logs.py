@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -45,3 +46,24 @@ def conversation_prompt(turns: DataFrame, n: int = 6) -> DataFrame:
     """conv_id, prompt: the last turns, oldest first, a line each."""
     rows = last_turns(turns, n=n).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     return rows.select("conv_id", F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n").alias("prompt"))
+
+
+def append_audit(entries: DataFrame, path: str) -> None:
+    """Append entries as JSON lines at ``path``, with the time as ``ts`` unless they have one."""
+    stamped = entries if "ts" in entries.columns else entries.withColumn("ts", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"))
+    stamped.write.mode("append").json(path)
+
+
+def recent_audit(spark: SparkSession, path: str, schema: str, n: int = 50) -> DataFrame:
+    """The ``n`` newest entries at ``path`` (a file or a folder of JSON lines), newest first, with
+    their place: those among the last 2n lines that are JSON objects. Nothing if there is no log."""
+    try:
+        lines = spark.read.text(path)
+    except AnalysisException:
+        return spark.createDataFrame([], f"place int, {schema}")
+    placed = lines.select("value", F.col("_metadata.file_modification_time").alias("t"), F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("i"))
+    last = placed.orderBy(F.desc("t"), F.desc("f"), F.desc("i")).limit(2 * n)
+    good = F.coalesce(F.schema_of_variant(F.try_parse_json(F.trim("value"))).startswith("OBJECT"), F.lit(False))
+    rank = F.row_number().over(Window.orderBy(F.desc("t"), F.desc("f"), F.desc("i")))  # 2n rows at most
+    found = last.where(good).select(rank.alias("place"), F.from_json("value", schema).alias("e"))
+    return found.where(F.col("place") <= n).select("place", "e.*")

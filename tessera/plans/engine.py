@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions import text as T
-from ..operators import agents, answers, chunking, extraction, graph, live, ranking
+from ..operators import agents, answers, chunking, extraction, graph, live, logs, ranking
 from ..operators.embedders import HashEmbedder
 from ..sources.files import read_folder
 from ..sources.graph_store import GraphStore, View
@@ -17,6 +17,7 @@ from .rounds import Outcome, Worker, ask_in_rounds
 
 CHUNKS = "seq long, doc_id string, chunk_index int, char_len int, content string"
 ACTIONS = "action_id string, action string, order_id string, field string, value string, amount double, subject string, priority string, confirmed boolean, customer string, sku string, ticket_id string, status string, error string, seq long"
+AUDIT = "query_id long, question string, score double, confidence string, guardrail string, rounds int, declined array<string>, delegated boolean, pending_human boolean, failed string, ts string"
 POSTINGS = "seq long, term string, tf long, dl int"
 VECTORS = "seq long, idx int, weight double, dim int"
 
@@ -26,7 +27,7 @@ class KnowledgeBase:
     questions (query_id, query, order_id, sku) and returns a DataFrame."""
 
     def __init__(self, spark: SparkSession, path: str, embedder=None):
-        self.spark, self.embedder = spark, embedder
+        self.spark, self.path, self.embedder = spark, path, embedder
         self.chunks = VersionedTable(spark, f"{path}/chunks", CHUNKS)
         self.postings = VersionedTable(spark, f"{path}/postings", POSTINGS)
         self.vectors = VersionedTable(spark, f"{path}/vectors", VECTORS)
@@ -257,6 +258,17 @@ class KnowledgeBase:
         made = made.select("query_id", "summary", "answer", "score", "confidence", "n_facts", "guardrail", "missing", ((F.col("guardrail") == "escalate") | waits).alias("pending_human"))
         return made.join(story, "query_id"), outcome
 
+    def audit(self, questions: DataFrame, answers: DataFrame, outcome: Outcome) -> None:
+        """Append an entry for each question of :meth:`multi_ask` to the audit log."""
+        own = questions.select(F.col("query_id").cast("long").alias("query_id"), F.col("query").alias("question"))
+        entry = own.join(answers, "query_id").select(
+            "query_id", "question", "score", "confidence", "guardrail", "rounds", "declined", "delegated", "pending_human", F.lit(",".join(outcome.failed)).alias("failed"),
+        )
+        logs.append_audit(entry, f"{self.path}/audit")
+
+    def recent_audit(self, n: int = 50) -> DataFrame:
+        return logs.recent_audit(self.spark, f"{self.path}/audit", AUDIT, n)
+
     # ------------------------------------------------------------ actions
 
     def requested(self, questions: DataFrame) -> DataFrame:

@@ -146,5 +146,20 @@ def test_knowledge_base_asks_in_rounds(spark, tmp_path):
     assert got[3].pending_human and "needs_confirmation" in got[3].answer and kb.actions.count() == 1
     said = {(r.query_id, r.kind, r.capability, r.by) for r in outcome.ledger.collect()}
     assert {(1, "request", "live", "critic"), (1, "reply", "live", "LiveData")} <= said and not outcome.failed
+    assert kb.recent_audit().count() == 0
+    kb.audit(q, answers, outcome)
+    entries = {r.query_id: r for r in kb.recent_audit(2).collect()}
+    assert len(entries) == 2 and all(e.ts and e.question and e.rounds >= 1 for e in entries.values())
     same = kb.multi_ask(q.drop("need_graph", "need_live"), orders, stock, max_rounds=1)[0].select("query_id", "summary", "score", "n_facts")
     assert sorted(map(tuple, same.collect())) == sorted(map(tuple, kb.ask(q, orders, stock).select("query_id", "summary", "score", "n_facts").collect()))
+
+
+def test_audit_tail_passes_over_bad_lines(spark, tmp_path):
+    from tessera.operators import logs
+
+    lines = ['{"a": 1}', "{broken", '{"a": 2}', "", '{"a": 3}', "[1]", '{"a": 4}', "no", "no", '{"a": 5}']
+    (tmp_path / "log.jsonl").write_text("\n".join(lines) + "\n")
+    got = lambda n: [r.a for r in logs.recent_audit(spark, f"{tmp_path}/log.jsonl", "a int", n).orderBy("place").collect()]
+    # the last 2n lines are looked at, so bad ones among them leave fewer than n
+    assert got(1) == [5] and got(2) == [5, 4] and got(3) == [5, 4, 3] and got(9) == [5, 4, 3, 2, 1]
+    assert logs.recent_audit(spark, f"{tmp_path}/none", "a int").count() == 0
