@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation_repair, divergence_rules, fill_in_middle, mixing, ngram_join, overlap_bpe, piece_counts, repeat_spans, rule_ensemble, secret_scan, template_decontam, token_files, url_filter
+from . import conversation_repair, conversation_sql, divergence_rules, fill_in_middle, mixing, ngram_join, overlap_bpe, piece_counts, repeat_spans, rule_ensemble, secret_scan, template_decontam, token_files, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -154,4 +154,4 @@ QUERIES = {
     "op12_overlap_bpe": op12_overlap_bpe,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
-ORACLE_SQL = {"op10_url_filter": OP10_SQL, "op13_fill_in_middle": OP13_SQL}
+ORACLE_SQL = {"op10_url_filter": OP10_SQL, "op11_conversation_repair": conversation_sql.SQL, "op13_fill_in_middle": OP13_SQL}

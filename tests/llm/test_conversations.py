@@ -187,6 +187,18 @@ def test_conversations_that_lose_all_turns_and_empty_tables(spark):
     assert cr.repair(cr.damage(frame(spark, []))).collect() == []
 
 
+def test_the_sql_repairs_odd_rows_too():
+    import duckdb
+
+    from tessera.llm.queries import ORACLE_SQL
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    rows = odd_rows(11)
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    assert sorted(con.sql(ORACLE_SQL["op11_conversation_repair"]).fetchall(), key=repr) == expected(rows, searched)
+
+
 @functools.cache
 def folder():
     from pathlib import Path
