@@ -15,6 +15,7 @@ from ..functions import text as T
 from ..operators import chunking, evaluation, logs, ranking
 from ..operators.embedders import embedder
 from ..sources.files import clean_markdown, page_text
+from . import chunk_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -305,12 +306,12 @@ def duplicate_groups(spark, d):
 # ---------------------------------------------------------------- chunks
 
 
-@query()
+@query(chunk_sql.FINE)
 def chunk_structured(spark, d):
     return chunking.chunk(read(spark, d, "documents"))
 
 
-@query()
+@query(chunk_sql.PLAIN)
 def chunk_plain(spark, d):
     return chunking.chunk(read(spark, d, "documents"), strategy="plain")
 
