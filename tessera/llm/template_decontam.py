@@ -29,7 +29,7 @@ LEAST_WORDS = 5
 COVERAGE = 0.5
 #: Literal tokens that a window of templates must have; verbatim windows need none.
 LITERALS = 4
-#: An item with windows of fewer literals is also searched whole, if it has so many different ones,
+#: An item whose windows all have fewer literals is searched whole, if it has so many different ones,
 #: or one less and so many words: all its windows with a literal must then be found in a row.
 WHOLE_LITERALS, WHOLE_WORDS = 3, 12
 #: Kinds of windows: templates, plain words, and templates of items that are searched whole.
@@ -126,12 +126,12 @@ def _named_hashes(tokens: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
 _ROWS = "id long, digest long, pos int, size int, hash long, kind int, slots array<long>"
 
 
-def windows(texts: DataFrame, sizes: list[int], whole: bool, wanted: np.ndarray | None = None) -> DataFrame:
+def windows(texts: DataFrame, sizes: list[int], whole: bool, wanted: np.ndarray | None = None, with_whole: bool = True) -> DataFrame:
     """Windows of the texts (id, digest, text): id, digest, pos, size, hash, kind, and the values of
     the slots unless it is of plain words. ``whole``: a text shorter than WINDOW gives windows
     of its own size; else windows of all ``sizes`` are made. A word that opens a sentence with a
     capital stands both as a literal and as a name at the start of a window. With ``wanted``
-    (sorted), only hashes in it are emitted."""
+    (sorted), only hashes in it are emitted; those of items searched whole unless not ``with_whole``."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,11 +190,13 @@ def windows(texts: DataFrame, sizes: list[int], whole: bool, wanted: np.ndarray
                     yield from emit(size, of, hashes[of], TEMPLATE)
                     of = np.flatnonzero(fits & opening[at] & (literals > LITERALS))
                     yield from emit(size, of, _named_hashes(tokens, of, size), TEMPLATE, True)
+                    if not with_whole:
+                        continue
                     some = fits & (literals > 0)
-                    if whole:  # items with a window of few literals, but enough of them in all
-                        few = np.zeros(j - i, bool)
-                        few[doc_of[at[fits & (literals < LITERALS)]]] = True
-                        some &= few[doc_of[at]] & enough[doc_of[at]]
+                    if whole:  # items without a window of enough literals, but with enough of them in all
+                        dense = np.zeros(j - i, bool)
+                        dense[doc_of[at[fits & (literals >= LITERALS)]]] = True
+                        some &= ~dense[doc_of[at]] & enough[doc_of[at]]
                     of = np.flatnonzero(some)
                     yield from emit(size, of, mix(hashes[of] ^ _WHOLE), WHOLE)
 
@@ -212,7 +214,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
     values; one row for each document and item.
 
     An item is held if ``coverage`` of its template windows match, or of its windows of plain
-    words, or if it has few literals between its slots and all of its windows match in a row; the
+    words, or if all have too few literals and all of them match in a row; the
     figures are of that with fewer changes, the templates first. Items of one word
     or more are searched. Null texts are empty and contain nothing; null ids are ids like
     others; repeated rows of a document give one row; items repeated with the same id and text
@@ -230,7 +232,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
     wanted = None
     if n <= BROADCAST_WINDOWS:
         wanted = np.unique(bench.select("hash").toPandas()["hash"].to_numpy(np.int64).view(np.uint64))
-    found = windows(_identified(docs, doc_id, text), sizes, whole=False, wanted=wanted)
+    with_whole = not bench.where(F.col("kind") == WHOLE).isEmpty()
+    found = windows(_identified(docs, doc_id, text), sizes, whole=False, wanted=wanted, with_whole=with_whole)
     total = bench.groupBy("id", "digest", "kind").agg(F.count_distinct("pos").alias("n_windows")).toDF("item", "item_digest", "kind", "n_windows")
     b = bench.select(F.col("id").alias("item"), F.col("digest").alias("item_digest"), F.col("pos").alias("item_pos"), "size", "hash", "kind", F.col("slots").alias("item_slots"))
     pairs = found.join(by_size(b, n, BROADCAST_WINDOWS // 10), ["hash", "size", "kind"])
