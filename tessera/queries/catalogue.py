@@ -223,7 +223,7 @@ def _ranked(spark, d, k):
     v, q = _vectors(spark, d)
     hits = ranking.vector_top_k(v, q.select("query_id", "embedding"), k)
     labels = v.select("vec_id", "label")
-    return hits.join(F.broadcast(q.select("query_id", "query_label")), "query_id").join(labels, "vec_id")
+    return hits.join(ranking.by_rows(q.select("query_id", "query_label")), "query_id").join(labels, "vec_id")
 
 
 @query(f"WITH {VEC_CTE} SELECT query_id, vec_id, score, rank FROM rv WHERE rank <= 10")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import json_paths as J
 from ..functions import text as T
 from ..operators import answers, evaluation, extraction, graph, live, logs, ranking
-from ..sources.scratch import kept, new_folder
+from ..sources.scratch import kept, new_folder, stored
 from ..streaming import state
 from .catalogue import BM25_CTE, SQL, chunks, query, questions, read
 
@@ -325,7 +325,7 @@ SELECT query_id, concat_ws(E'\\n', '【实时数据】' || E'\\n' || line, '【
 def answer_template(spark, d):
     hits = ranking.top_lexical(ranking.bm25(chunks(spark, d), questions(spark, d)), 30).where("rank <= 3")
     docs = chunks(spark, d)
-    texts = docs.join(F.broadcast(hits.select("id", "query_id", "rank")), "id")  # three for each question
+    texts = docs.join(ranking.by_rows(stored(hits.select("id", "query_id", "rank"), "hits")), "id")
     per = texts.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda h: h["text"]).alias("hits"))
     o = read(spark, d, "orders")
     blank = F.lit(None).cast("string")
