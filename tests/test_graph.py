@@ -86,3 +86,19 @@ def test_hops_read_what_one_hop_wrote(spark):
         reads.append(near._jdf.queryExecution().executedPlan().toString().count("Scan parquet"))
         assert near.where(F.col("depth") == 2).count() == 2 and near.count() == {2: 3, 3: 304, 4: 305}[depth]
     assert reads[2] - reads[1] == reads[1] - reads[0] <= 2
+
+
+def test_paths_do_not_leave_a_hub(spark, monkeypatch):
+    written, real = {}, graph.stored
+
+    def stored(df, tag):
+        out = real(df, tag)
+        written[tag] = max(written.get(tag, 0), out.count())
+        return out
+
+    monkeypatch.setattr(graph, "stored", stored)
+    rows = [(f"t{i}", "r", "hub", i) for i in range(2000)] + [(f"t{i}", "s", f"c{i % 20}", i) for i in range(40)]
+    pairs = spark.createDataFrame([(i, f"c{i}", "hub") for i in range(10)] + [(i, "hub", f"c{i}") for i in range(10, 20)], "query_id long, src string, dst string")
+    got = {r.query_id: r.nodes for r in graph.simple_paths(pairs, spark.createDataFrame(rows, EDGES), 2, 1).collect()}
+    assert got == {i: [f"c{i}", min(f"t{i}", f"t{i + 20}"), "hub"][:: 1 if i < 10 else -1] for i in range(20)}
+    assert written["half"] <= 40  # 20,000 rows a half if it grew from the hub
