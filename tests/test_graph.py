@@ -102,3 +102,11 @@ def test_paths_do_not_leave_a_hub(spark, monkeypatch):
     got = {r.query_id: r.nodes for r in graph.simple_paths(pairs, spark.createDataFrame(rows, EDGES), 2, 1).collect()}
     assert got == {i: [f"c{i}", min(f"t{i}", f"t{i + 20}"), "hub"][:: 1 if i < 10 else -1] for i in range(20)}
     assert written["half"] <= 40  # 20,000 rows a half if it grew from the hub
+
+
+def test_whole_names_lead_to_no_part(spark):
+    nodes = spark.createDataFrame([("Ticket:5", "Ticket", "5", 1), ("Customer:7", "Customer", "7", 1)], NODES)
+    edges = spark.createDataFrame([("Ticket:5", "SUBMITTED_BY", "Customer:7", 1)], EDGES)
+    names = spark.createDataFrame([(1, "Customer:5", 0), (2, "Customer:7", 0)], "query_id long, name string, seq int")
+    assert {r.query_id for r in graph.expand_facts(names, nodes, edges, 1, partial=False).collect()} == {2}
+    assert {r.query_id for r in graph.expand_facts(names, nodes, edges, 1).collect()} == {1, 2}
