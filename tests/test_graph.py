@@ -110,3 +110,15 @@ def test_whole_names_lead_to_no_part(spark):
     names = spark.createDataFrame([(1, "Customer:5", 0), (2, "Customer:7", 0)], "query_id long, name string, seq int")
     assert {r.query_id for r in graph.expand_facts(names, nodes, edges, 1, partial=False).collect()} == {2}
     assert {r.query_id for r in graph.expand_facts(names, nodes, edges, 1).collect()} == {1, 2}
+
+
+def test_hops_without_paths_reach_the_same(spark):
+    rng = random.Random(5)
+    edges = spark.createDataFrame([(rng.choice("abcdefgh"), rng.choice("rs"), rng.choice("abcdefgh"), i) for i in range(12)], EDGES)
+    starts = spark.createDataFrame([(i, n) for i, n in enumerate("abcdefghz")], "query_id long, key string")
+    for direction in ("in", "both"):
+        for rel in (None, "r"):
+            near = graph.neighbours(starts, edges, 3, direction, rel)
+            bare = graph.neighbours(starts, edges, 3, direction, rel, paths=False)
+            assert bare.columns == ["query_id", "key", "depth"]
+            assert sorted(map(tuple, bare.collect())) == sorted(map(tuple, near.select(bare.columns).collect()))
