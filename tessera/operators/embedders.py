@@ -38,6 +38,9 @@ class HashEmbedder:
     def embed(self, chunks: DataFrame, key: str = "id", text: str = "text", postings: DataFrame | None = None) -> DataFrame:
         return ranking.hash_embedding(chunks, key, text, self.dim, postings)
 
+    def arrays(self, chunks: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+        return ranking.hash_vectors(chunks, key, text, self.dim)
+
 
 @dataclass(frozen=True)
 class ProjectionEmbedder:
@@ -53,6 +56,8 @@ class ProjectionEmbedder:
     def embed(self, chunks: DataFrame, key: str = "id", text: str = "text", postings: DataFrame | None = None) -> DataFrame:
         if not 1 <= self.spread <= 4:
             raise ValueError("spread must be 1 to 4")
+        if postings is None and not ranking._repeat(chunks, key):
+            return ranking.slot_rows(self.arrays(chunks, key, text), key)
         tf = ranking.term_frequencies(chunks, key, text) if postings is None else postings
         digest = F.md5(F.col("term").cast("binary"))
         slot = lambda j: F.struct((_long(digest, 1 + 4 * j) % self.dim).alias("idx"), F.when(_long(digest, 17 + j, 1) >= 8, 1.0).otherwise(-1.0).alias("sign"))
@@ -61,6 +66,18 @@ class ProjectionEmbedder:
         norm = slots.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
         return slots.join(norm, key).select(key, "idx", (F.col("w") / F.col("norm")).alias("weight"))
 
+    def arrays(self, chunks: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+        """key, slots, weights by chunks, of which each has its own key."""
+        dim, spread = self.dim, self.spread
+
+        def slots(digest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            b = digest.astype(np.int64)
+            idx = np.stack([(b[:, 2 * j] << 8 | b[:, 2 * j + 1]) % dim for j in range(spread)], axis=1)
+            half = [b[:, 8 + j // 2] >> (0 if j % 2 else 4) & 15 for j in range(spread)]
+            return idx, np.where(np.stack(half, axis=1) >= 8, 1.0, -1.0)
+
+        return ranking.slot_vectors(chunks, key, text, slots, lambda tf: 1 + np.log(tf), 1e-9)
+
 
 _models: dict[str, Callable] = {}
 

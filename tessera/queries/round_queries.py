@@ -58,7 +58,7 @@ def _team(spark, d):
     blank = F.lit(None).cast("double")
 
     def search(q):
-        hits = ranking.top_lexical(ranking.bm25(docs, q), 30).where("rank <= 3")
+        hits = ranking.top_lexical(ranking.bm25(docs, q, top=30), 30).where("rank <= 3")
         return hits.select("query_id", F.col("rank").alias("place"), F.col("id").cast("string").alias("item"), F.col("norm").alias("score"))
 
     def walk(q):
