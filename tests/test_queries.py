@@ -41,6 +41,11 @@ def test_query(spark, duck, name):
         assert got == sorted((tuple(plain(r[c]) for c in sorted(columns)) for r in rows), key=repr)
 
 
+def test_answers_move_only_the_orders_asked_for(spark):
+    plan = QUERIES["answer_template"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert any("LeftSemi" in line and "o_orderkey" in line for line in plan.splitlines())
+
+
 def test_entry_imports_without_the_llm_folders():
     import subprocess
     import sys
