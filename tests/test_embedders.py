@@ -78,3 +78,12 @@ def test_a_knowledge_base_changes_its_embedder(spark, tmp_path):
     assert kb.vectors.read().agg(F.max("idx")).first()[0] < 64 and kb.search(q, 1).first().doc_id == "b"
     for other in (32, embedders.ModelEmbedder(counting(), 26, 3), embedders.HashEmbedder()):
         assert kb.reembed(other) == kb.chunks.count() and kb.search(q, 1).first().doc_id == "b"
+
+
+def test_projection_of_texts_shuffles_no_terms(spark):
+    chunks = spark.createDataFrame([(1, "a b b c"), (2, "物流 a"), (3, ""), (4, None)], "id long, text string")
+    e = embedders.embedder("projection")
+    got = e.embed(chunks)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    plain = lambda df: sorted((r.id, r.idx, round(r.weight, 9)) for r in df.collect())
+    assert plain(got) == plain(e.embed(chunks, postings=ranking.term_frequencies(chunks)))
