@@ -56,18 +56,17 @@ class ProjectionEmbedder:
     def embed(self, chunks: DataFrame, key: str = "id", text: str = "text", postings: DataFrame | None = None) -> DataFrame:
         if not 1 <= self.spread <= 4:
             raise ValueError("spread must be 1 to 4")
-        if postings is None and not ranking._repeat(chunks, key):
+        if postings is None:
             return ranking.slot_rows(self.arrays(chunks, key, text), key)
-        tf = ranking.term_frequencies(chunks, key, text) if postings is None else postings
         digest = F.md5(F.col("term").cast("binary"))
         slot = lambda j: F.struct((_long(digest, 1 + 4 * j) % self.dim).alias("idx"), F.when(_long(digest, 17 + j, 1) >= 8, 1.0).otherwise(-1.0).alias("sign"))
-        went = tf.select(key, (1 + F.log(F.col("tf").cast("double"))).alias("w"), F.explode(F.array(*(slot(j) for j in range(self.spread)))).alias("s"))
+        went = postings.select(key, (1 + F.log(F.col("tf").cast("double"))).alias("w"), F.explode(F.array(*(slot(j) for j in range(self.spread)))).alias("s"))
         slots = went.groupBy(key, F.col("s.idx").alias("idx")).agg(F.sum(F.col("s.sign") * F.col("w")).alias("w")).where("abs(w) > 1e-9")
         norm = slots.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
         return slots.join(norm, key).select(key, "idx", (F.col("w") / F.col("norm")).alias("weight"))
 
     def arrays(self, chunks: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-        """key, slots, weights by chunks, of which each has its own key."""
+        """key, slots, weights with a row for each key."""
         dim, spread = self.dim, self.spread
 
         def slots(digest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

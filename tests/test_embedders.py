@@ -87,3 +87,33 @@ def test_projection_of_texts_shuffles_no_terms(spark):
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
     plain = lambda df: sorted((r.id, r.idx, round(r.weight, 9)) for r in df.collect())
     assert plain(got) == plain(e.embed(chunks, postings=ranking.term_frequencies(chunks)))
+
+
+@pytest.mark.parametrize("kind", ["hash", "projection"])
+@pytest.mark.parametrize("rows, most", [(1, 10_000), (10_000, 10_000), (10_000, 2), (1, 1)])
+def test_rows_of_a_key_make_one_vector(spark, monkeypatch, kind, rows, most):
+    """As the text that they make together, and lists of terms are dealt once, by key, unless it has very many rows."""
+    monkeypatch.setattr(ranking, "KEY_ROWS", most)
+    some = [(1, "a b b c"), (2, "物流 a"), (1, "a a"), (3, ""), (1, None), (None, "x y"), (2, "b"), (4, "d"), (None, "x"), (1, "c d e"), (3, None)]
+    chunks = spark.createDataFrame(some, "id long, text string").repartition(3)
+    joined = {i: " ".join(t or "" for k, t in some if k == i) for i, _ in some}
+    e, size = embedders.embedder(kind), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    plain = lambda df: sorted(((r.id or 0), r.idx, round(r.weight, 9)) for r in df.collect())
+    want = plain(e.embed(spark.createDataFrame(list(joined.items()), "id long, text string")))
+    before = spark.conf.get(size)
+    spark.conf.set(size, str(rows))
+    try:
+        got = e.embed(chunks)
+        assert plain(got) == want
+        assert most < 10 or got._jdf.queryExecution().sparkPlan().toString().count("Exchange") == 2  # the test's own and one more
+    finally:
+        spark.conf.set(size, before)
+
+
+def test_search_by_rows_of_a_key(spark):
+    rows = [(1, "order shipped"), (1, "by rail"), (2, "order by"), (3, "refund")]
+    q = spark.createDataFrame([(7, "order shipped by rail")], "query_id long, query string")
+    for kind in ("hash", "projection"):
+        hits = ranking.hybrid_search(spark.createDataFrame(rows, "id long, text string"), q, 5, "vector", embedder=makers()[kind])
+        first = hits.where("rank = 1").first()
+        assert first.id == 1 and first.vec_score == pytest.approx(1)
