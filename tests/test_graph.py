@@ -122,3 +122,33 @@ def test_hops_without_paths_reach_the_same(spark):
             bare = graph.neighbours(starts, edges, 3, direction, rel, paths=False)
             assert bare.columns == ["query_id", "key", "depth"]
             assert sorted(map(tuple, bare.collect())) == sorted(map(tuple, near.select(bare.columns).collect()))
+
+
+def test_links_beside_nodes(spark):
+    rng = random.Random(7)
+    links = [(f"n{rng.randrange(4000)}", f"n{rng.randrange(4000)}") for _ in range(12000)] + [("n1", "n1"), ("n1", "hub"), ("n1", "hub"), (None, "n1")]
+    nodes = {f"n{i}" for i in range(0, 4000, 5)}
+    asked = spark.createDataFrame([(n,) for n in nodes] * 2, "node string")
+    both = {p for a, b in links for p in ((a, b), (b, a))}
+    for within in (False, True):
+        want = {p for p in both if p[0] in nodes and (not within or p[1] in nodes)}
+        got = [tuple(r) for r in graph._beside(asked, spark.createDataFrame(links, "src string, dst string"), within).collect()]
+        assert want <= set(got) <= both and len(set(got)) <= len(want) + 100
+    assert graph._beside(asked.limit(0), spark.createDataFrame(links, "src string, dst string")).count() == 0
+
+
+def test_paths_shuffle_links_of_their_ends_only(spark, monkeypatch):
+    written, real = {}, graph.stored
+
+    def stored(df, tag):
+        out = real(df, tag)
+        written[tag] = max(written.get(tag, 0), out.count())
+        return out
+
+    monkeypatch.setattr(graph, "stored", stored)
+    far = [(f"x{i}", "r", f"y{i % 50}", i) for i in range(3000)]
+    near = [("a", "r", "m1", 0), ("m1", "r", "hub", 1), ("b", "r", "m2", 2), ("m2", "r", "hub", 3), ("m2", "s", "hub", 3)] + [(f"t{i}", "r", "hub", i) for i in range(3000)]
+    pairs = spark.createDataFrame([(1, "a", "b"), (2, "a", "y0x")], "query_id long, src string, dst string")
+    got = graph.simple_paths(pairs, spark.createDataFrame(far + near, EDGES), 4).collect()
+    assert [(r.query_id, r.length, r.nodes, r["rank"]) for r in got] == [(1, 4, ["a", "m1", "hub", "m2", "b"], 1)]
+    assert written["walk"] <= 60 and written["half"] <= 4  # all 12,010 rows of both directions before
