@@ -3,7 +3,7 @@
 The state of all questions is kept in tables: who has run for which question, the evidence, and
 a ledger of requests and replies. A round is one pass over the questions that still have
 somebody to run; each worker is a stage (:mod:`.stages`), so one that fails only leaves its
-evidence out. It ends when nobody is left to run or the rounds are used up. A worker runs once
+evidence out, and is told apart from one that found nothing. It ends when nobody is left to run or the rounds are used up. A worker runs once
 for a question, so there are never more rounds than workers.
 """
 
@@ -40,8 +40,8 @@ class Worker:
 
 @dataclass
 class Outcome:
-    """What the rounds left: evidence, ran (query_id, round, agent, source), the ledger, and the
-    stages. ``rounds`` is how many passes there were for the question with the most."""
+    """What the rounds left: evidence, ran (query_id, round, agent, source, ok), the ledger, and the
+    stages. A worker that failed is not ok for all its questions. ``rounds`` is how many passes there were for the question with the most."""
 
     evidence: DataFrame
     ran: DataFrame
@@ -53,9 +53,9 @@ class Outcome:
     def collaboration(self, questions: DataFrame) -> DataFrame:
         """query_id, rounds, executed (sorted), negotiated (more than one round), delegated (a
         request that the critic didn't make), requests, replies, declined (sorted capabilities
-        that were refused or that nobody could serve)."""
+        that were refused or that nobody could serve), failed (sorted agents that ran and failed)."""
         none = F.array().cast("array<string>")
-        per = self.ran.groupBy("query_id").agg(F.max("round").alias("rounds"), F.array_sort(F.collect_set("agent")).alias("executed"))
+        per = self.ran.groupBy("query_id").agg(F.max("round").alias("rounds"), F.array_sort(F.collect_set("agent")).alias("executed"), F.array_sort(F.collect_set(F.when(~F.col("ok"), F.col("agent")))).alias("failed"))
         request, refused = F.col("kind") == "request", F.col("status").isin("declined", "unavailable")
         said = self.ledger.groupBy("query_id").agg(
             F.count_if(request).alias("requests"), F.count_if(~request).alias("replies"), F.array_sort(F.collect_set(F.when(refused, F.col("capability")))).alias("declined"),
@@ -65,7 +65,7 @@ class Outcome:
         zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
         return q.select(
             "query_id", zero("rounds"), F.coalesce("executed", none).alias("executed"), (zero("rounds") > 1).alias("negotiated"), F.coalesce("delegated", F.lit(False)).alias("delegated"),
-            zero("requests"), zero("replies"), F.coalesce("declined", none).alias("declined"),
+            zero("requests"), zero("replies"), F.coalesce("declined", none).alias("declined"), F.coalesce("failed", none).alias("failed"),
         )
 
 
@@ -86,7 +86,7 @@ def _channels(evidence: DataFrame, questions: DataFrame) -> DataFrame:
 
 def ask_in_rounds(
     questions: DataFrame, workers: list[Worker], plan: DataFrame, max_rounds: int = 2,
-    delegate: Callable[[DataFrame, DataFrame], DataFrame] | None = None, stages: Stages | None = None,
+    delegate: Callable[[DataFrame, DataFrame], DataFrame] | None = None, stages: Stages | None = None, strict: bool = False,
 ) -> Outcome:
     """Run the planned workers (``plan``: query_id, agent) for ``questions`` (query_id, query,
     order_id, sku), then, up to ``max_rounds``, those that the critic's requests, and requests
@@ -94,7 +94,8 @@ def ask_in_rounds(
 
     A request is served by the first worker with the capability. It is declined at once if the
     capability was declined before, and unavailable if nobody has it or that worker has run
-    already. One that is served is provided if its channel has grown in the round, else declined.
+    already. One that is served is failed if its worker fails, provided if its channel has grown in
+    the round, else declined. With ``strict`` a worker that fails ends the rounds with an error.
     """
     spark = questions.sparkSession
     stages = stages or Stages(spark)
@@ -102,7 +103,7 @@ def ask_in_rounds(
     roster = spark.createDataFrame([(w.agent, list(w.capabilities), i) for i, w in enumerate(workers)], "agent string, capabilities array<string>, seq int")
     skills = F.broadcast(roster.select("agent", F.explode("capabilities").alias("capability")))  # one row for each capability of a worker
     evidence = spark.createDataFrame([], EVIDENCE)
-    ran = spark.createDataFrame([], "query_id long, round int, agent string, source string")
+    ran = spark.createDataFrame([], "query_id long, round int, agent string, source string, ok boolean")
     ledger = spark.createDataFrame([], LEDGER)
     known = [w.agent for w in workers]
     pending = plan.select(F.col("query_id").cast("long").alias("query_id"), "agent").where(F.col("agent").isin(known)).distinct().withColumn("source", F.lit("plan"))
@@ -119,13 +120,18 @@ def ask_in_rounds(
             mine = questions.join(pending.where(F.col("agent") == w.agent).select("query_id"), "query_id", "left_semi")
             make = lambda w=w, mine=mine: w.run(mine).withColumn("channel", F.lit(w.channel))
             branches.append(Branch(f"{w.agent}#{rounds}", make, EVIDENCE, w.role, w.errors))
+        begun = stages.runs()
         found = stages.run_all(branches)
+        lost = stages.failures(begun)
+        if strict and lost:
+            raise RuntimeError("workers failed: " + "; ".join(f"{stage}: {summary}" for stage, summary in sorted(lost)))
+        failed = [stage.rsplit("#", 1)[0] for stage, _ in lost]
         before, evidence = evidence, reduce(DataFrame.unionByName, found.values(), evidence)
-        ran = ran.unionByName(pending.select("query_id", F.lit(rounds).alias("round"), "agent", "source"))
+        ran = ran.unionByName(pending.select("query_id", F.lit(rounds).alias("round"), "agent", "source", (~F.col("agent").isin(failed)).alias("ok")))
         if served is not None:
             both = _channels(before, questions).withColumnRenamed("seen", "before").join(_channels(evidence, questions).withColumnRenamed("seen", "after"), "query_id")
             gains = agents.evidence_gain(served.select("query_id", "capability", "id", "who").join(both, "query_id"), keep=("id", "who"))
-            status = F.when(F.col("gained"), "provided").otherwise("declined")
+            status = F.when(F.col("who").isin(failed), "failed").when(F.col("gained"), "provided").otherwise("declined")
             ledger = ledger.unionByName(stored(_replies(gains, rounds, F.col("who"), status), "replies"))
         if rounds == max_rounds:
             break
@@ -148,7 +154,7 @@ def _next(questions, evidence, ran, ledger, roster, skills, rnd, delegate):
     """(who runs next, the requests that they serve, the ledger) after a round."""
     no = F.array().cast("array<string>")
     done = ran.join(skills, "agent").groupBy("query_id").agg(F.collect_set("capability").alias("done"))
-    refused = ledger.where("kind = 'reply' AND status <> 'provided'").groupBy("query_id").agg(F.collect_set("capability").alias("declined"))
+    refused = ledger.where("kind = 'reply' AND status IN ('declined', 'unavailable')").groupBy("query_id").agg(F.collect_set("capability").alias("declined"))
     state = counts(questions, evidence).join(done, "query_id", "left").join(refused, "query_id", "left")
     state = state.withColumns({c: F.coalesce(c, no) for c in ("done", "declined")})
     asked = live.critic(state).select("query_id", F.explode("missing").alias("capability"), F.lit(CRITIC).alias("by"), F.lit("evidence is missing").alias("ask"))

@@ -70,5 +70,12 @@ class Stages:
         """stage, role, ok, rows, errors, ms, summary of every run so far."""
         return self.spark.createDataFrame(self._rows, ROWS)
 
+    def runs(self) -> int:
+        return len(self._rows)
+
+    def failures(self, since: int = 0) -> list[tuple[str, str]]:
+        """(stage, summary) of the runs that failed, without the first ``since`` runs."""
+        return [(r[0], r[6]) for r in self._rows[since:] if not r[2]]
+
     def failed(self) -> list[str]:
-        return [r[0] for r in self._rows if not r[2]]
+        return [stage for stage, _ in self.failures()]

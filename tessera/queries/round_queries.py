@@ -83,11 +83,11 @@ SELECT query_id, CASE WHEN g2 OR l2 THEN 2 ELSE 1 END::BIGINT AS rounds, array_t
   h AS n_hits, CASE WHEN g OR g2 THEN f ELSE 0 END AS n_facts, (named AND (l OR l2))::BIGINT AS n_live FROM r""")
 def ask_rounds(spark, d):
     """How many rounds each question took, who ran for it, what was asked for and declined, and the
-    evidence that search, graph and lookups gave."""
+    evidence that search, graph and lookups gave. No row says that a worker failed, so then the query fails."""
     asked, team = _asked(spark, d), _team(spark, d)
     # the router's choices, as a plan
     wanted = F.array_compact(F.array(F.lit("searcher"), F.when(F.col("need_graph"), F.lit("reasoner")), F.when(F.col("need_live"), F.lit("watcher"))))
-    done = ask_in_rounds(asked, team, asked.select("query_id", F.explode(wanted).alias("agent")), max_rounds=3)
+    done = ask_in_rounds(asked, team, asked.select("query_id", F.explode(wanted).alias("agent")), max_rounds=3, strict=True)
     story = done.collaboration(asked)
     n = counts(asked.select("query_id"), done.evidence)
     long = lambda c: F.col(c).cast("long").alias(c)

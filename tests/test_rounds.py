@@ -163,3 +163,42 @@ def test_audit_tail_passes_over_bad_lines(spark, tmp_path):
     # the last 2n lines are looked at, so bad ones among them leave fewer than n
     assert got(1) == [5] and got(2) == [5, 4] and got(3) == [5, 4, 3] and got(9) == [5, 4, 3, 2, 1]
     assert logs.recent_audit(spark, f"{tmp_path}/none", "a int").count() == 0
+
+
+def test_a_failed_worker_is_no_result(spark):
+    q = spark.createDataFrame([(1, "关系 x", None, None), (2, "关系 y", None, None)], Q)
+    nothing = lambda q: q.select("query_id", F.lit(1).alias("place"), F.lit("none").alias("item"), F.lit(0.5).alias("score")).where("query_id = 2")
+
+    def bad(_):
+        raise ValueError("no route")
+
+    def asked(reasoner, **more):
+        team = [Worker("searcher", ("retrieval",), "hits", nothing), Worker("reasoner", ("graph",), "facts", reasoner), Worker("walker", ("walk",), "facts", nothing)]
+        plan = spark.createDataFrame([(1, "searcher"), (2, "searcher"), (2, "reasoner")], "query_id long, agent string")
+        return ask_in_rounds(q, team, plan, 3, **more)
+
+    done = asked(bad)
+    assert {(r.query_id, r.agent, r.ok) for r in done.ran.collect()} == {(1, "searcher", True), (2, "searcher", True), (1, "reasoner", False), (2, "reasoner", False)}
+    assert [(r.query_id, r.by, r.status) for r in done.ledger.where("kind = 'reply'").collect()] == [(1, "reasoner", "failed")]
+    assert {r.query_id: (r.failed, r.declined) for r in done.collaboration(q).collect()} == {1: (["reasoner"], []), 2: (["reasoner"], [])}
+    # one that finds nothing for the same question declines, and has not failed
+    done = asked(nothing)
+    assert [(r.query_id, r.by, r.status) for r in done.ledger.where("kind = 'reply'").collect()] == [(1, "reasoner", "declined")]
+    assert {r.query_id: (r.failed, r.declined) for r in done.collaboration(q).collect()} == {1: ([], ["graph"]), 2: ([], [])}
+    # a failure of an earlier use of the same stages is not one of this
+    stages = Stages(spark)
+    stages.run(Branch("reasoner#1", lambda: spark.range(1), "nothing string"))
+    assert asked(nothing, stages=stages, strict=True).ran.where("NOT ok").count() == 0
+    with pytest.raises(RuntimeError, match="reasoner#1: ValueError: no route"):
+        asked(bad, strict=True)
+
+
+def test_the_query_of_rounds_fails_with_a_worker(spark, monkeypatch):
+    from tessera.queries import round_queries
+
+    def bad(*_, **__):
+        raise ValueError("no postings")
+
+    monkeypatch.setattr(round_queries.ranking, "bm25", bad)
+    with pytest.raises(RuntimeError, match="searcher#1: ValueError: no postings"):
+        round_queries.ask_rounds(spark, "/root/testdata/sf0.001")
